@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 OPS = {
     "op1_mix_sources": ("mixing", "OP1_SQL"),
     "op4_exact_dedup": ("exact", "OP4_SQL"),
+    "op6_token_records": ("tokens", None),
+    "op10_pack_sequences": ("packing", None),
 }
 
 
