@@ -12,6 +12,7 @@ OPS = {
     "op1_mix_sources": ("mixing", "OP1_SQL"),
     "op4_exact_dedup": ("exact", "OP4_SQL"),
     "op6_token_records": ("tokens", None),
+    "op8_hyperminhash_dedup": ("minhash", "OP8_SQL"),
     "op10_pack_sequences": ("packing", None),
 }
 
