@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: query: (module, SQL constant or None)
 OPS = {
     "op1_mix_sources": ("mixing", "OP1_SQL"),
+    "op2_embedding_near_dup": ("pivots", "OP2_SQL"),
     "op4_exact_dedup": ("exact", "OP4_SQL"),
     "op6_token_records": ("tokens", None),
     "op8_hyperminhash_dedup": ("minhash", "OP8_SQL"),
