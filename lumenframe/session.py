@@ -22,6 +22,7 @@ def build_session(master: str = "local[*]", app: str = "lumenframe", partitions:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("LUMENFRAME_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
