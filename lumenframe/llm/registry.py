@@ -11,9 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 OPS = {
     "op1_mix_sources": ("mixing", "OP1_SQL"),
     "op2_embedding_near_dup": ("pivots", "OP2_SQL"),
+    "op3_language_id": ("language", None),
     "op4_exact_dedup": ("exact", "OP4_SQL"),
+    "op5_ppm_scores": ("ppm", None),
     "op6_token_records": ("tokens", None),
+    "op7_fuzzy_passages": ("passages", None),
     "op8_hyperminhash_dedup": ("minhash", "OP8_SQL"),
+    "op9_toxic_spans": ("toxicity", None),
     "op10_pack_sequences": ("packing", None),
 }
 
