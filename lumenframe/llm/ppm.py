@@ -68,7 +68,7 @@ def _count(order: int, most: int):
         held: list[list] = [[], []]
         size = [0, 0]
         for whole in batches:
-            for b in slices(whole, 4 << 20):
+            for b in slices(whole, 1 << 20):
                 tokens, _, g, _ = _split(b.column(0), order)
                 for kind, keys in ((WORD, tokens), (GRAM, g)):
                     part = counts(keys)
@@ -87,7 +87,7 @@ def _count(order: int, most: int):
     return run
 
 
-def count_corpus(docs: DataFrame, order: int, text_col: str = "text", most: int = 3_000_000) -> DataFrame:
+def count_corpus(docs: DataFrame, order: int, text_col: str = "text", most: int = 1_500_000) -> DataFrame:
     """kind (0: word, 1: gram), key, n of all texts."""
     part = docs.select(text_col).mapInArrow(_count(order, most), "kind byte, key long, n long")
     return materialize(part.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm-counts")
@@ -159,7 +159,7 @@ def _score(order: int, tables):
         values = {WORD: np.append(wv, 0.0), GRAM: np.append(gv, 0.0)}
         row = TaskContext.get().partitionId() << 33
         for whole in batches:
-            for b in slices(whole, 4 << 20):
+            for b in slices(whole, 1 << 20):
                 if not b.num_rows:
                     continue
                 tokens, t0, g, g0 = _split(b.column(2), order)
