@@ -7,7 +7,9 @@ Bands of registers are the keys of buckets of candidates. Documents with equal s
 1. Each candidate bucket links its members to its smallest one; links are checked on full sets; components are found.
 2. Buckets that still hold more than one component are compared within: pairs of different components, by their sizes
    and by the Jaccard estimate from registers, corrected for chance collisions. Each member's most similar partners come
-   first, in windows that grow until no pair is left, so every pair is checked or already connected.
+   first, in windows that grow until no pair is left, so every pair is checked or already connected. A bitmap of
+   element parities rules out pairs whose sets differ in too many elements: the bits in which two bitmaps differ are at
+   most as many as the elements in which the sets differ, so no link is lost.
 
 No pairs within a component are made, so a large group of near copies costs about as many checks as it has members.
 """
@@ -31,6 +33,8 @@ P_BITS, MANTISSA = 7, 10
 BUCKETS = 1 << P_BITS
 #: E[equal registers by chance] for sets much larger than the buckets: COLLIDE * 2^(p - r + 1).
 COLLIDE = 0.169919487159739
+#: Bits of a set's bitmap of parities.
+PARITY = 2048
 _STARTS = (np.arange(BUCKETS, dtype=np.uint64) << np.uint64(64 - P_BITS)).astype(np.uint64)
 
 
@@ -49,6 +53,12 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """PARITY bits as bytes: bit i tells whether an odd number of hashes is i modulo PARITY."""
+    odd = np.bincount((hashes & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
 def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Collision-corrected Jaccard estimates of rows of registers, and the number of buckets that they rest on."""
     used = ((a != 0) | (b != 0)).sum(axis=1)
@@ -71,7 +81,7 @@ def band_keys(regs: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_sets(docs: DataFrame, k: int, what: str) -> DataFrame:
-    """id, n, key, regs (what='sketch') or id, members (what='set', the sorted hashes as bytes) of documents with an id."""
+    """id, n, key, regs, parity (what='sketch') or id, members (what='set', the sorted hashes as bytes) of documents with an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -81,12 +91,12 @@ def shingle_sets(docs: DataFrame, k: int, what: str) -> DataFrame:
                 for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     s = np.unique(shingle_hashes(words.of(WORD_RE.findall(lower_ascii(text))), k))
                     raw = s.tobytes()
-                    out.append((key, raw) if what == "set" else (key, len(s), blake2b(raw, digest_size=16).digest() if len(s) else None, registers(s).tobytes()))
+                    out.append((key, raw) if what == "set" else (key, len(s), blake2b(raw, digest_size=16).digest() if len(s) else None, registers(s).tobytes(), parities(s).tobytes()))
                 cols = list(zip(*out, strict=True)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, names.values(), strict=True)], list(names))
 
-    names = {"id": pa.int64(), "members": pa.binary()} if what == "set" else {"id": pa.int64(), "n": pa.int64(), "key": pa.binary(), "regs": pa.binary()}
-    return docs.mapInArrow(run, "id long, members binary" if what == "set" else "id long, n long, key binary, regs binary")
+    names = {"id": pa.int64(), "members": pa.binary()} if what == "set" else {"id": pa.int64(), "n": pa.int64(), "key": pa.binary(), "regs": pa.binary(), "parity": pa.binary()}
+    return docs.mapInArrow(run, "id long, members binary" if what == "set" else "id long, n long, key binary, regs binary, parity binary")
 
 
 def _bands(rows: int):
@@ -121,20 +131,23 @@ def _pairs(m: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compare(num: int, den: int, first: int, last: int):
-    """Pairs of different components in each group of rows: g (group), side, id, n, comp, regs, sorted by g.
+    """Pairs of different components in each group of rows: g (group), side, id, n, comp, regs, parity, sorted by g.
 
     A group is a candidate bucket or, of a large one, one or two of its blocks (side tells which); yields a, b for pairs
-    whose sizes and estimates allow a link and that are first..last-1 by similarity for one of the two, and a row of
+    whose sizes, estimates and parities allow a link and that are first..last-1 by similarity for one of the two, and a row of
     nulls if pairs beyond last are left.
     """
     most = num / den
 
     def close(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        n, comp, regs = rows["n"], rows["comp"], rows["regs"]
+        n, comp, regs, parity = rows["n"], rows["comp"], rows["regs"], rows["parity"]
         keep = (comp[i] != comp[j]) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
         i, j = i[keep], j[keep]
         for s in range(0, len(i), 50_000):
             a, b = i[s : s + 50_000], j[s : s + 50_000]
+            differ = np.bitwise_count(parity[a] ^ parity[b]).sum(axis=1, dtype=np.int64)
+            few = (num + den) * differ <= (den - num) * (n[a] + n[b])
+            a, b = a[few], b[few]
             est, used = estimate(regs[a], regs[b])
             ok = est >= most - 4 * np.sqrt(most * (1 - most) / np.maximum(used, 1))
             yield a[ok], b[ok], est[ok]
@@ -151,6 +164,7 @@ def _compare(num: int, den: int, first: int, last: int):
         t = pa.Table.from_batches(held).combine_chunks()
         rows = {c: t.column(c).to_numpy() for c in ("side", "id", "n", "comp")}
         rows["regs"] = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+        rows["parity"] = np.frombuffer(b"".join(t.column("parity").to_pylist()), np.uint64).reshape(-1, PARITY // 64)
         g = t.column("g").to_numpy()
         starts = np.append(np.flatnonzero(np.append(True, g[1:] != g[:-1])), len(g))
         some: list = []
@@ -215,7 +229,7 @@ def hyperminhash_components(docs: DataFrame, k: int = 5, num: int = 80, den: int
     """
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = materialize(shingle_sets(texts, k, "sketch"), "hmh-sketches")
-    classes = materialize(sketches.where("n > 0").groupBy("key", "n", "regs").agg(F.min("id").alias("id")), "hmh-classes")
+    classes = materialize(sketches.where("n > 0").groupBy("key", "n", "regs", "parity").agg(F.min("id").alias("id")), "hmh-classes")
     buckets = classes.select("id", "n", "regs").mapInArrow(_bands(rows), "bucket long, id long, n long")
     buckets = materialize(buckets, "hmh-bands")
     shared = buckets.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("low"), F.count("*").alias("size")).where("size > 1")
@@ -229,7 +243,7 @@ def hyperminhash_components(docs: DataFrame, k: int = 5, num: int = 80, den: int
     stars = inside.where("id <> low.id").select(F.col("low.id").alias("a"), F.col("id").alias("b"), F.col("low.n").alias("na"), F.col("n").alias("nb"))
     links = verified(stars.where(F.expr(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")).select("a", "b").distinct())
     comps = materialize(components(links), "hmh-comps")
-    regs = classes.select("id", "regs")
+    regs = classes.select("id", "regs", "parity")
     first, last = 0, 4
     open_buckets = inside.where("size > 2")
     while True:
@@ -241,7 +255,7 @@ def hyperminhash_components(docs: DataFrame, k: int = 5, num: int = 80, den: int
         own = F.pmod(F.xxhash64("id"), blocks).cast("int")
         spread = labelled.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         spread = spread.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("g"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "id", "n", "comp")
-        groups = spread.join(regs, "id").select("g", "side", "id", "n", "comp", "regs").repartition("g").sortWithinPartitions("g", "id")
+        groups = spread.join(regs, "id").select("g", "side", "id", "n", "comp", "regs", "parity").repartition("g").sortWithinPartitions("g", "id")
         pairs = materialize(groups.mapInArrow(_compare(num, den, first, last), "a long, b long").distinct(), "hmh-pairs")
         more = not pairs.where("a is null").isEmpty()
         pairs = pairs.where("a is not null")
