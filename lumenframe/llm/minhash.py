@@ -125,7 +125,7 @@ def _linked(num: int, den: int):
     return run
 
 
-@lru_cache(64)
+@lru_cache(8)
 def _pairs(m: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(m, 1)
 
@@ -217,7 +217,7 @@ def _compare(num: int, den: int, first: int, last: int):
     return run
 
 
-def hyperminhash_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rows: int = 4, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def hyperminhash_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rows: int = 4, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents linked by the Jaccard similarity of their k-word shingles, num / den or more.
 
     Words are runs without ASCII white space, A-Z lower-cased; a text with fewer than k words is one shingle; texts
@@ -232,7 +232,10 @@ def hyperminhash_components(docs: DataFrame, k: int = 5, num: int = 80, den: int
     classes = materialize(sketches.where("n > 0").groupBy("key", "n", "regs", "parity").agg(F.min("id").alias("id")), "hmh-classes")
     buckets = classes.select("id", "n", "regs").mapInArrow(_bands(rows), "bucket long, id long, n long")
     buckets = materialize(buckets, "hmh-bands")
-    shared = buckets.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("low"), F.count("*").alias("size")).where("size > 1")
+    # Bands whose buckets hold the same documents need only one of them.
+    prints = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"f{i}") for i in (0, 1)]
+    shared = buckets.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("low"), F.count("*").alias("size"), *prints).where("size > 1")
+    shared = shared.groupBy("low", "size", "f0", "f1").agg(F.min("bucket").alias("bucket"))
     inside = materialize(buckets.join(shared, "bucket").select("bucket", "id", "n", "low", "size"), "hmh-inside")
     sets = materialize(shingle_sets(texts.join(inside.select("id").distinct(), "id", "left_semi"), k, "set"), "hmh-sets")
 
