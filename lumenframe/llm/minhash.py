@@ -251,12 +251,19 @@ def hyperminhash_components(docs: DataFrame, k: int = 5, num: int = 80, den: int
     open_buckets = inside.where("size > 2")
     while True:
         labelled = open_buckets.join(comps.withColumnRenamed("component_id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket")
-        labelled = labelled.join(mixed, "bucket", "left_semi")
-        # Blocks of a large bucket meet two by two; a small one is a single block.
-        blocks = F.ceil(F.col("size") / block).cast("int")
-        own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-        spread = labelled.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket", "c0")
+        labelled = labelled.join(mixed, "bucket")
+        # A small bucket is one block. In a large one, blocks meet two by two, but members of the smallest component,
+        # which have nothing to compare among themselves, have blocks of their own that meet only the others'.
+        others = labelled.where((F.col("size") > block) & (F.col("comp") != F.col("c0"))).groupBy("bucket").agg(F.count("*").alias("rest"))
+        labelled = labelled.join(others, "bucket", "left")
+        large, in_c0 = F.col("rest").isNotNull(), F.col("comp") == F.col("c0")
+        q = F.ceil(F.col("rest") / block).cast("int")
+        p = F.ceil((F.col("size") - F.col("rest")) / block).cast("int")
+        own = F.when(~large, 0).when(in_c0, F.pmod(F.xxhash64("id"), p)).otherwise(p + F.pmod(F.xxhash64("id"), q)).cast("int")
+        low = F.when(large & in_c0, p).otherwise(0)
+        high = F.when(large, p + q - 1).otherwise(0)
+        spread = labelled.withColumn("own", own).withColumn("other", F.explode(F.sequence(low, high)))
         spread = spread.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("g"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "id", "n", "comp")
         groups = spread.join(regs, "id").select("g", "side", "id", "n", "comp", "regs", "parity").repartition("g").sortWithinPartitions("g", "id")
         pairs = materialize(groups.mapInArrow(_compare(num, den, first, last), "a long, b long").distinct(), "hmh-pairs")
