@@ -75,6 +75,24 @@ def test_near_duplicates(docs, spark):
     assert hyperminhash_components(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_near_duplicates_of_a_large_bucket_in_blocks(spark):
+    import random
+
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(60):  # copies with 0 to 14 words changed: some link, some don't
+        w = list(base)
+        for k in rng.sample(range(150), i % 15):
+            w[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(w), "s"))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(146)} for i, t, _ in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = union_find(sorted(sets), links)
+    got = {r["doc_id"]: r["component_id"] for r in hyperminhash_components(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=4).collect()}
+    assert got == {i: want[i] for i in sets} and len(set(got.values())) > 10
+
+
 def test_vectors(spark):
     base = RNG.normal(size=(40, 16))
     rows = [(i, [float(x) for x in base[i % 40] + 0.04 * RNG.normal(size=16)], i % 2) for i in range(240)]
