@@ -164,6 +164,20 @@ def test_passages(spark):
     assert fuzzy_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_two_passages_of_a_pair(spark):
+    rows, want = [], {}
+    for n, (size, left, right) in enumerate(((60, 0, 40), (100, 80, 80), (200, 0, 300))):
+        p, q = words(size), words(size)
+        rows += [(2 * n, f"{p} {words(left)} {q}"), (2 * n + 1, f"{p} {words(right)} {q}")]
+        want[2 * n + 1] = {(0, size), (size + right, 2 * size + right)}
+    got = defaultdict(set)
+    for r in fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r["other_id"] == r["doc_id"] - 1 and r["similarity"] >= 0.8
+        got[r["doc_id"]].add((r["start_word"], r["end_word"]))
+    for i, places in want.items():  # chance growth at an end is a word or two
+        assert len(got[i]) == 2 and all(abs(a - c) < 5 and abs(b - d) < 5 for (a, b), (c, d) in zip(sorted(got[i]), sorted(places), strict=True))
+
+
 def test_passage_parts():
     h = RNG.integers(0, 1 << 60, 500).astype(np.uint64)
     want = sorted({i + int(np.argmin(h[i : i + 12])) for i in range(489)})
