@@ -1,6 +1,7 @@
 """Embedding near-dedup with a pivot-permutation index.
 
-Pivots are a bounded sample of the vectors. Every vector is described by its nearest pivots in order; an inverted list
+Pivots are a bounded sample of the vectors, thinned so that none are near each other: a large group of near copies has one
+pivot, which all its members have, and not many of about equal nearness, of which each would have others. Every vector is described by its nearest pivots in order; an inverted list
 per label and pivot holds the vectors that have it among them. Two vectors that share enough pivots are candidates, and
 candidates are verified by their cosine in double precision. Lists are cut into blocks that meet two by two, so no task
 holds a whole list; a pair is counted where its smallest shared pivot is, so once. Equal vectors are one class with a count.
@@ -20,13 +21,23 @@ from lumenframe.llm.common import components, table
 from lumenframe.session import materialize
 
 MIN_PIVOTS, MAX_PIVOTS = 32, 1024
+#: Vectors read for each pivot, so that enough are left of a sample that is mostly one group.
+SAMPLE = 4
 
 
-def choose_pivots(vectors: DataFrame, n: int) -> np.ndarray:
-    """n vectors by the smallest hash of their id: n x dimensions, unit length."""
-    rows = vectors.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(n).collect()  # n is MAX_PIVOTS at most
-    p = np.array([r["v"] for r in rows], np.float64)
-    return p / np.linalg.norm(p, axis=1, keepdims=True)
+def choose_pivots(vectors: DataFrame, n: int, threshold: float) -> np.ndarray:
+    """Up to n vectors by the smallest hash of their id, none within twice the linking angle of one before it: n x
+    dimensions, unit length. Beyond 60 degrees nothing is left out."""
+    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE * n).select("v").toArrow().column(0).combine_chunks()  # SAMPLE * MAX_PIVOTS at most
+    p = sample.flatten().to_numpy().astype(np.float64).reshape(len(sample), -1)
+    p /= np.linalg.norm(p, axis=1, keepdims=True)
+    near = max(0.5, float(np.cos(min(np.pi, 2 * np.arccos(np.clip(threshold, -1, 1))))))
+    kept, m = np.empty((n, p.shape[1])), 0
+    for v in p:
+        if m < n and (not m or (kept[:m] @ v).max() < near):
+            kept[m] = v
+            m += 1
+    return kept[:m]
 
 
 def _describe(pivots: dict[int, np.ndarray], nearest: int):
@@ -128,7 +139,8 @@ def pivot_links(vectors: DataFrame, threshold: float = 0.98, nearest: int = 8, s
     nor do rows without an id; vectors of different lengths aren't compared. Rows that repeat an id count as vectors of
     their own in n_links and as one in components. Candidates share at least shared of their nearest pivots: the index
     is approximate (see the tests for its recall against brute force) and no link below the threshold is returned. The
-    number of pivots grows with the root of the number of vectors, from 32 to 1024, and the sample is that large.
+    number of pivots grows with the root of the number of vectors, from 32 to 1024, or is what SAMPLE times as many
+    vectors have that aren't near each other. A group of near copies is one pivot's list, so all its pairs are compared.
     """
     spark = vectors.sparkSession
     wide = vectors.schema[vector_col].dataType.elementType
@@ -139,7 +151,7 @@ def pivot_links(vectors: DataFrame, threshold: float = 0.98, nearest: int = 8, s
     rows = rows.withColumn("v", F.when(valid, F.col("v")))
     classes = materialize(rows.where("v is not null").groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("n")), "pivot-classes")
     dims = {r["d"]: r["c"] for r in classes.groupBy(F.size("v").alias("d")).count().withColumnRenamed("count", "c").orderBy(F.desc("c")).limit(16).collect()}
-    pivots = {d: choose_pivots(classes.where(F.size("v") == d), n_pivots or int(np.clip(np.sqrt(c), MIN_PIVOTS, MAX_PIVOTS))) for d, c in dims.items()}
+    pivots = {d: choose_pivots(classes.where(F.size("v") == d), n_pivots or int(np.clip(np.sqrt(c), MIN_PIVOTS, MAX_PIVOTS)), threshold) for d, c in dims.items()}
     described = classes.select("id", "label", "n", "v").mapInArrow(_describe(pivots, nearest), "id long, label string, n long, dim int, pivot int, near binary, raw binary")
     described = materialize(described, "pivot-lists")
     sizes = described.groupBy("label", "dim", "pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))

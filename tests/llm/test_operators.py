@@ -106,6 +106,19 @@ def test_vectors(spark):
     assert all(got[i]["n_links"] == 0 for i in (900, 901, 902, 903, 904))
 
 
+def test_vectors_of_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    copies = unit(np.sqrt(0.985) * unit(rng.normal(size=(1, 64))) + np.sqrt(0.015) * unit(rng.normal(size=(2000, 64))))
+    v = np.concatenate([copies, rng.normal(size=(4000, 64))])
+    want = (copies @ copies.T >= 0.98).sum(axis=1) - 1
+    got = {r["vec_id"]: r for r in pivot_links(spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<double>").selectExpr("*", "1 AS label")).collect()}
+    links = np.array([got[i]["n_links"] for i in range(len(v))])
+    assert (links[:2000] <= want).all() and (links[2000:] == 0).all()
+    assert links[:2000].sum() >= 0.9 * want.sum(), links[:2000].sum() / want.sum()
+    assert {got[i]["component_id"] for i in range(2000) if want[i]} == {0}
+
+
 def test_mixing(docs, spark):
     rows = document_rows(docs, spark.createDataFrame([(7, 1)], "doc_id long, quality int")).cache()
     targets = {r["source"]: r for r in cyclic_targets(totals_of(rows)).collect()}
