@@ -7,7 +7,9 @@ Bands of registers are the keys of buckets of candidates. Documents with equal s
 1. Each candidate bucket links its members to its smallest one; links are checked on full sets; components are found.
 2. Buckets that still hold more than one component are compared within: pairs of different components, by their sizes
    and by the Jaccard estimate from registers, corrected for chance collisions. Each member's most similar partners come
-   first, in windows that grow until no pair is left, so every pair is checked or already connected. A bitmap of
+   first, in windows that grow until no pair is left, so every pair is checked or already connected. Places in a window
+   change as components merge and blocks are dealt anew, so a round takes all pairs in it and leaves out those already
+   checked by comparing with a table of them. A bitmap of
    element parities rules out pairs whose sets differ in too many elements: the bits in which two bitmaps differ are at
    most as many as the elements in which the sets differ, so no link is lost.
 
@@ -130,12 +132,12 @@ def _pairs(m: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(m, 1)
 
 
-def _compare(num: int, den: int, first: int, last: int):
+def _compare(num: int, den: int, last: int):
     """Pairs of different components in each group of rows: g (group), side, id, n, comp, regs, parity, sorted by g.
 
     A group is a candidate bucket or, of a large one, one or two of its blocks (side tells which); yields a, b for pairs
-    whose sizes, estimates and parities allow a link and that are first..last-1 by similarity for one of the two, and a row of
-    nulls if pairs beyond last are left.
+    whose sizes, estimates and parities allow a link and that are among the last first by similarity for one of the two, and a row of
+    nulls if pairs beyond these are left.
     """
     most = num / den
 
@@ -195,7 +197,7 @@ def _compare(num: int, den: int, first: int, last: int):
         gid = np.searchsorted(starts, a, side="right")
         ia, ib = rows["id"][a], rows["id"][b]
         best = np.minimum(ranks(gid * (1 << 32) + a, est, ib), ranks(gid * (1 << 32) + b, est, ia)) if len(a) else np.zeros(0, int)
-        now = (best >= first) & (best < last)
+        now = best < last
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ia[now], ib[now])), pa.array(np.maximum(ia[now], ib[now]))], ["a", "b"])
         if (best >= last).any():
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64())], ["a", "b"])
@@ -247,7 +249,7 @@ def hyperminhash_components(docs: DataFrame, k: int = 5, num: int = 80, den: int
     links = verified(stars.where(F.expr(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")).select("a", "b").distinct())
     comps = materialize(components(links), "hmh-comps")
     regs = classes.select("id", "regs", "parity")
-    first, last = 0, 4
+    last, checked = 4, None
     open_buckets = inside.where("size > 2")
     while True:
         labelled = open_buckets.join(comps.withColumnRenamed("component_id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -266,15 +268,18 @@ def hyperminhash_components(docs: DataFrame, k: int = 5, num: int = 80, den: int
         spread = labelled.withColumn("own", own).withColumn("other", F.explode(F.sequence(low, high)))
         spread = spread.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("g"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "id", "n", "comp")
         groups = spread.join(regs, "id").select("g", "side", "id", "n", "comp", "regs", "parity").repartition("g").sortWithinPartitions("g", "id")
-        pairs = materialize(groups.mapInArrow(_compare(num, den, first, last), "a long, b long").distinct(), "hmh-pairs")
+        pairs = materialize(groups.mapInArrow(_compare(num, den, last), "a long, b long").distinct(), "hmh-pairs")
         more = not pairs.where("a is null").isEmpty()
         pairs = pairs.where("a is not null")
+        if checked is not None:
+            pairs = materialize(pairs.join(checked, ["a", "b"], "left_anti"), "hmh-new")
+        checked = pairs if checked is None else checked.union(pairs)
         if not pairs.isEmpty():
             links = materialize(links.union(verified(pairs)), "hmh-links")
             comps = materialize(components(links), "hmh-comps")
         if not more:
             break
-        first, last = last, last * 8
+        last *= 8
     ids = sketches.select("id", "n", "key").join(classes.select("key", F.col("id").alias("rep")), "key", "left")
     ids = ids.join(comps.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
     component = F.coalesce("component_id", "rep", "id")

@@ -93,6 +93,33 @@ def test_near_duplicates_of_a_large_bucket_in_blocks(spark):
     assert got == {i: want[i] for i in sets} and len(set(got.values())) > 10
 
 
+def test_near_duplicates_linked_by_one_pair_of_many(spark):
+    """Two groups with one link between them, which is the 7th of its members until the groups themselves are merged; 60
+    documents of smaller ids share their buckets and link with nothing, so the first links don't merge the groups."""
+
+    def changed(w, name, places):
+        w = list(w)
+        for p in places:
+            w[p] = f"{name}_{p}"
+        return w
+
+    rows, want = [], {}
+    for salt in range(6):
+        x = [f"s{salt}w{i}" for i in range(300)]
+        y = changed(x, f"s{salt}y", range(5, 300, 37))  # 8 words: 274 of 322 shingles
+        two = list(enumerate((x, y)))
+        texts = [changed(v, f"s{salt}d{s}{i}", [(7 * i + 20 * j + s) % 75 * 4 + 2 for j in range(12)]) for s, v in two for i in range(30)]
+        for s, v in two:
+            near = [changed(v, f"s{salt}n{s}{i}", [50 * i + 31]) for i in range(6)]
+            texts += [*near, v] if s else [v, *near]
+        sets = [{tuple(w[k : k + 3]) for k in range(298)} for w in texts]
+        links = [(a, b) for b in range(len(texts)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+        want |= {100 * salt + i: 100 * salt + r for i, r in union_find(range(len(texts)), links).items()}
+        rows += [(100 * salt + i, " ".join(w)) for i, w in enumerate(texts)]
+    got = {r["doc_id"]: r["component_id"] for r in hyperminhash_components(spark.createDataFrame(rows, "doc_id long, text string"), k=3, num=85, rows=5).collect()}
+    assert got == want and len(set(want.values())) == 6 * 61
+
+
 def test_vectors(spark):
     base = RNG.normal(size=(40, 16))
     rows = [(i, [float(x) for x in base[i % 40] + 0.04 * RNG.normal(size=16)], i % 2) for i in range(240)]
