@@ -17,20 +17,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import table
-from lumenframe.llm.tokens import slices, tokenizer, vocabulary
+from lumenframe.llm.tokens import slices, tokenizer, vocabulary, with_end
 from lumenframe.session import materialize
 
 PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECE_SQL = "struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long>"
 
 
-def cut(n: int, most: int) -> list[tuple[int, int]]:
-    """(start, length) of a document's pieces: whole if it fits, else pieces of most tokens, the first one maybe shorter."""
-    if n <= most:
-        return [(0, n)]
-    first = n % most
-    out = [(0, first)] if first else []
-    return out + [(s, most) for s in range(first, n, most)]
+def cuts(n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of documents of n tokens each: document, number of the piece, start, length.
+
+    A document that fits is one piece; a longer one has pieces of most tokens, the first one maybe shorter.
+    """
+    k = -(-n // most)
+    own = np.repeat(np.arange(len(n)), k)
+    piece = np.arange(len(own)) - np.repeat(np.cumsum(k) - k, k)
+    end = n[own] - (k[own] - 1 - piece) * most
+    start = np.maximum(0, end - most)
+    return own, piece, start, end - start
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -57,17 +61,22 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, end_id: int = 0, most: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of tokenized documents: doc_id, piece, start, length, ids_crc32. Null texts have the end id only."""
+    """Pieces of tokenized documents: doc_id, piece, start, length, ids_crc32.
+
+    Null and empty texts have the end id only. Rows that repeat an id have pieces of their own; null ids stay null. An
+    empty table gives no pieces; other columns aren't read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_file)
         for whole in batches:
             for b in slices(whole):
-                out = []
-                for key, x in zip(b.column(0).to_pylist(), tok.encode(b.column(1).to_pylist()), strict=True):
-                    ids = np.append(np.frombuffer(x, tok.dtype), end_id).astype("<u4")
-                    out += [(key, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut(len(ids), most))]
-                cols = list(zip(*out, strict=True)) or [()] * 5
+                ids, at = with_end(*tok.encode(b.column(1)), end_id)
+                own, piece, start, length = cuts(np.diff(at), most)
+                raw = memoryview(ids.astype("<u4")).cast("B")
+                first = 4 * (at[own] + start)
+                crc = [zlib.crc32(raw[i:j]) for i, j in zip(first.tolist(), (first + 4 * length).tolist(), strict=True)]
+                cols = [b.column(0).take(pa.array(own)), piece.astype(np.int32), start, length, np.array(crc, np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, PIECE, strict=True)], [t.name for t in PIECE])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")

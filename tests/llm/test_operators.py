@@ -14,7 +14,7 @@ from lumenframe.llm.mixing import cyclic_targets, document_rows, mix, totals_of
 from lumenframe.llm.packing import pack, pieces
 from lumenframe.llm.passages import chain, common_words, fuzzy_passages, grow, minimizers
 from lumenframe.llm.pivots import pivot_links
-from lumenframe.llm.tokens import frame, read_frame, read_records, vocabulary, write_records
+from lumenframe.llm.tokens import frame, read_frame, read_records, tokenizer, vocabulary, write_records
 from lumenframe.llm.toxicity import PARTS, WINDOW, fit, marginals, tag_documents, train
 from lumenframe.session import new_path
 
@@ -27,7 +27,7 @@ def words(n):
 
 
 BASE = words(200)
-DOCS = [(0, BASE, "a"), (1, BASE.upper(), "a"), (2, BASE + " tail", "b"), (3, None, None), (4, "", "b"), (5, " \n", "a"), (6, words(30), "c"), (7, words(400), "a"), (8, "two words", "a"), (9, "Two Words", None), (6, words(30), "c"), (10, "é" * 50 + " " + words(5000), "a")]
+DOCS = [(0, BASE, "a"), (1, BASE.upper(), "a"), (2, BASE + " tail", "b"), (3, None, None), (4, "", "b"), (5, " \n", "a"), (6, words(30), "c"), (7, words(400), "a"), (8, "two words", "a"), (9, "Two Words", None), (6, words(30), "c"), (10, "é" * 50 + " " + words(5000), "a"), (11, "a<|endoftext|>b  <|endoftext|>\n c<|endof", "a")]
 SCHEMA = "doc_id long, text string, source string"
 
 
@@ -165,13 +165,16 @@ def test_mixing(docs, spark):
 
 def test_records_and_packing(docs, spark):
     tok = Tokenizer.from_file(vocabulary())
-    tok.encode_special_tokens = True
     ids = {i: tok.encode(t or "", add_special_tokens=False).ids for i, t, _ in DOCS if i != 6}
     crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
     got = sorted(read_records(write_records(docs, new_path(spark, "t"), vocabulary(), shards=3)).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in got] == sorted(i for i, *_ in DOCS)
     assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()]
     assert all(r["ids_crc32"] == crc([*ids[r["doc_id"]], 2]) for r in got if r["doc_id"] != 6)
+    shuffled = read_records(write_records(docs, new_path(spark, "t"), vocabulary(), shards=2), block=3, shuffle_seed=5).collect()
+    assert sorted(shuffled) == sorted(got)
+    empty = spark.createDataFrame([], SCHEMA)
+    assert read_records(write_records(empty, new_path(spark, "t"), vocabulary())).count() == pack(pieces(empty, vocabulary())).count() == 0
     packed = pack(pieces(docs, vocabulary())).collect()
     by_seq = defaultdict(list)
     for r in packed:
@@ -192,6 +195,20 @@ def test_records_and_packing(docs, spark):
         read_frame(io.BytesIO(data[:-1] + b"?"))
 
 
+def test_units_against_the_library():
+    import random
+
+    import pyarrow as pa
+
+    tok, rng = tokenizer(vocabulary()), random.Random(1)
+    parts = ["a", "b", "The", "'s", "'ll", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\u2003", "é", "中", "1", "23", ".", ",", "<|endoftext|>", "<|endof", "\x1c", "\x85", "!", "’", "\u0301", "😀", "_", "'", "\r\n", "\x00"]
+    for _ in range(1500):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) if rng.random() > 0.05 else None for _ in range(6)]
+        ids, at = tok.encode(pa.array(texts, pa.string()))
+        for i, t in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == tok.tokenizer.encode(t or "", add_special_tokens=False).ids, t
+
+
 def test_passages(spark):
     p, q = words(70), words(80).split()
     fuzzy = q[:20] + ["new"] + q[21:45] + q[47:]
