@@ -35,6 +35,14 @@ def _bit(digest: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(digest), F.lit(bits))
 
 
+def filter_bits(n: int, most: int = 1 << 28) -> int:
+    """Bits of a filter of n digests: about 16 each, but never more than most (2^28 bits: 32 MB)."""
+    bits = BITMAP_BITS
+    while bits < min(16 * n, most):
+        bits *= 2
+    return bits
+
+
 def build_filter(digests: DataFrame, bits: int) -> DataFrame:
     """Bitmaps of the digests' bits: at most bits / 32768 rows of 4 KB each, whatever the number of digests."""
     b = digests.select(_bit(F.col("digest"), bits).alias("bit"))

@@ -4,14 +4,17 @@ A document is the set of hashes of its word shingles. The top 7 bits of a hash c
 smallest hash in a bucket the register keeps the number of leading zeros (6 bits) and the 10 bits after the first one.
 Bands of registers are the keys of buckets of candidates. Documents with equal sets are one class from the start.
 
-1. Each candidate bucket links its members to its smallest one; links are checked on full sets; components are found.
-2. Buckets that still hold more than one component are compared within: pairs of different components, by their sizes
+1. In each candidate bucket the smallest member is its centre. Each document is checked on full sets against the centre
+   that it shares most buckets with, which joins most groups of copies at one check a document; components are found.
+2. Where a bucket still holds more than one component, members are checked against its centre if theirs differs.
+3. Buckets that still hold more than one component are compared within: pairs of different components, by their sizes
    and by the Jaccard estimate from registers, corrected for chance collisions. Each member's most similar partners come
    first, in windows that grow until no pair is left, so every pair is checked or already connected. Places in a window
    change as components merge and blocks are dealt anew, so a round takes all pairs in it and leaves out those already
    checked by comparing with a table of them. A bitmap of
    element parities rules out pairs whose sets differ in too many elements: the bits in which two bitmaps differ are at
-   most as many as the elements in which the sets differ, so no link is lost.
+   most as many as the elements in which the sets differ, so no link is lost. Each round goes on with the buckets that
+   the one before left with more than one component.
 
 No pairs within a component are made, so a large group of near copies costs about as many checks as it has members.
 """
@@ -27,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import WORD_RE, WordHashes, components, lower_ascii, mix64, shingle_hashes, table
+from lumenframe.llm.arrays import symbols, words
+from lumenframe.llm.common import components, mix64, table
+from lumenframe.llm.exact import build_filter, filter_bits, probe_filter
 from lumenframe.llm.tokens import slices
-from lumenframe.session import materialize
+from lumenframe.session import drop_table, materialize
 
 P_BITS, MANTISSA = 7, 10
 BUCKETS = 1 << P_BITS
@@ -37,28 +42,59 @@ BUCKETS = 1 << P_BITS
 COLLIDE = 0.169919487159739
 #: Bits of a set's bitmap of parities.
 PARITY = 2048
-_STARTS = (np.arange(BUCKETS, dtype=np.uint64) << np.uint64(64 - P_BITS)).astype(np.uint64)
 
 
-def registers(hashes: np.ndarray) -> np.ndarray:
-    """HyperMinHash registers of a sorted array of distinct 64-bit hashes; 0 for an empty bucket."""
-    out = np.zeros(BUCKETS, np.uint16)
+def shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sets of hashes of all runs of k words (with fewer words, of the whole sequence) of each text: the hashes, sorted
+    within each text, and the place where each text's begin, and the last one's end."""
+    s, at = symbols(column)
+    w = words(s)
+    h, first = w.hash(), w.per_text(at)
+    n = np.diff(first)
+    own, hashes = [], []
+    for size in range(1, k + 1):
+        some = np.flatnonzero(n >= size if size == k else n == size)
+        if not len(some):
+            continue
+        count = n[some] - size + 1
+        place = np.arange(count.sum()) + np.repeat(first[some] - (np.cumsum(count) - count), count)
+        x = np.full(len(place), 0x9E3779B97F4A7C15, np.uint64)
+        for i in range(size):
+            x = mix64(x * np.uint64(0x2545F4914F6CDD1D) + h[place + i])
+        own.append(np.repeat(some, count))
+        hashes.append(x)
+    if not own:
+        return np.zeros(0, np.uint64), np.zeros(len(n) + 1, np.int64)
+    o, x = np.concatenate(own), np.concatenate(hashes)
+    order = np.lexsort((x, o))
+    o, x = o[order], x[order]
+    new = np.append(True, (x[1:] != x[:-1]) | (o[1:] != o[:-1]))
+    o, x = o[new], x[new]
+    return x, np.searchsorted(o, np.arange(len(n) + 1))
+
+
+def registers(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """HyperMinHash registers of sets of hashes (sorted within each set): sets x buckets; 0 for an empty bucket."""
+    out = np.zeros((len(at) - 1, BUCKETS), np.uint16)
     if not len(hashes):
         return out
-    at = np.searchsorted(hashes, _STARTS)
-    full = np.append(at[1:], len(hashes)) > at
-    low = hashes[at[full]] & np.uint64((1 << (64 - P_BITS)) - 1)
+    own = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    bucket = (hashes >> np.uint64(64 - P_BITS)).astype(np.int64)
+    least = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (bucket[1:] != bucket[:-1])))
+    low = hashes[least] & np.uint64((1 << (64 - P_BITS)) - 1)
     exponent = np.frexp(np.maximum(low, 1).astype(np.float64))[1] - 1
     shift = exponent - MANTISSA
     mantissa = np.where(shift >= 0, low >> np.maximum(shift, 0).astype(np.uint64), low << np.maximum(-shift, 0).astype(np.uint64)) & np.uint64((1 << MANTISSA) - 1)
-    out[full] = ((64 - P_BITS - exponent).astype(np.uint16) << MANTISSA) | mantissa.astype(np.uint16)
+    out[own[least], bucket[least]] = ((64 - P_BITS - exponent).astype(np.uint16) << MANTISSA) | mantissa.astype(np.uint16)
     return out
 
 
-def parities(hashes: np.ndarray) -> np.ndarray:
-    """PARITY bits as bytes: bit i tells whether an odd number of hashes is i modulo PARITY."""
-    odd = np.bincount((hashes & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
-    return np.packbits(odd.astype(np.uint8))
+def parities(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """PARITY bits as bytes for each set: bit i tells whether an odd number of hashes is i modulo PARITY."""
+    n = len(at) - 1
+    own = np.repeat(np.arange(n), np.diff(at))
+    odd = np.bincount(own * PARITY + (hashes & np.uint64(PARITY - 1)).astype(np.int64), minlength=n * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, PARITY), axis=1)
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,22 +118,34 @@ def band_keys(regs: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     return at[0], keys[at].view(np.int64)
 
 
+def _binary(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    """A binary array over the bytes of data, cut at the elements at."""
+    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * data.itemsize).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+
+
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Parts of about a MB and at most so many rows."""
+    for whole in batches:
+        for b in slices(whole, 1 << 20):
+            for i in range(0, b.num_rows, rows):
+                yield b.slice(i, rows)
+
+
 def shingle_sets(docs: DataFrame, k: int, what: str) -> DataFrame:
     """id, n, key, regs, parity (what='sketch') or id, members (what='set', the sorted hashes as bytes) of documents with an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        for whole in batches:
-            for b in slices(whole):
-                out = []
-                for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    s = np.unique(shingle_hashes(words.of(WORD_RE.findall(lower_ascii(text))), k))
-                    raw = s.tobytes()
-                    out.append((key, raw) if what == "set" else (key, len(s), blake2b(raw, digest_size=16).digest() if len(s) else None, registers(s).tobytes(), parities(s).tobytes()))
-                cols = list(zip(*out, strict=True)) or [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, names.values(), strict=True)], list(names))
-
-    names = {"id": pa.int64(), "members": pa.binary()} if what == "set" else {"id": pa.int64(), "n": pa.int64(), "key": pa.binary(), "regs": pa.binary(), "parity": pa.binary()}
+        for b in _small(batches):
+            s, at = shingles(b.column(1), k)
+            if what == "set":
+                yield pa.RecordBatch.from_arrays([b.column(0), _binary(s, at)], ["id", "members"])
+                continue
+            raw, n = memoryview(s).cast("B") if len(s) else memoryview(b""), np.diff(at)
+            key = [blake2b(raw[8 * i : 8 * j], digest_size=16).digest() if j > i else None for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            each = np.arange(len(n) + 1)
+            regs, parity = _binary(registers(s, at).ravel(), each * BUCKETS), _binary(parities(s, at).ravel(), each * (PARITY // 8))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(key, pa.binary()), regs, parity], ["id", "n", "key", "regs", "parity"])
+
     return docs.mapInArrow(run, "id long, members binary" if what == "set" else "id long, n long, key binary, regs binary, parity binary")
 
 
@@ -127,6 +175,32 @@ def _linked(num: int, den: int):
     return run
 
 
+def plausible(n: tuple, regs: tuple, parity: tuple, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether two sets' sizes, parities and estimate allow a link, and the estimates (0 where the first two don't)."""
+    differ = np.bitwise_count(parity[0] ^ parity[1]).sum(axis=1, dtype=np.int64)
+    ok = (den * np.minimum(*n) >= num * np.maximum(*n)) & ((num + den) * differ <= (den - num) * (n[0] + n[1]))
+    est, at, most = np.zeros(len(ok)), np.flatnonzero(ok), num / den
+    est[at], used = estimate(regs[0][at], regs[1][at])
+    ok[at] = est[at] >= most - 4 * np.sqrt(most * (1 - most) / np.maximum(used, 1))
+    return ok, est
+
+
+def _unpacked(regs: pa.Array, parity: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(regs.to_pylist()), np.uint16).reshape(-1, BUCKETS), np.frombuffer(b"".join(parity.to_pylist()), np.uint64).reshape(-1, PARITY // 64)
+
+
+def _hopeful(num: int, den: int):
+    """Pairs a, b, na, ra, pa, nb, rb, pb that may link -> a, b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            (ra, pa_), (rb, pb) = _unpacked(b.column(3), b.column(4)), _unpacked(b.column(6), b.column(7))
+            ok, _ = plausible((b.column(2).to_numpy(), b.column(5).to_numpy()), (ra, rb), (pa_, pb), num, den)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
+
+    return run
+
+
 @lru_cache(8)
 def _pairs(m: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(m, 1)
@@ -139,7 +213,6 @@ def _compare(num: int, den: int, last: int):
     whose sizes, estimates and parities allow a link and that are among the last first by similarity for one of the two, and a row of
     nulls if pairs beyond these are left.
     """
-    most = num / den
 
     def close(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         n, comp, regs, parity = rows["n"], rows["comp"], rows["regs"], rows["parity"]
@@ -147,11 +220,7 @@ def _compare(num: int, den: int, last: int):
         i, j = i[keep], j[keep]
         for s in range(0, len(i), 50_000):
             a, b = i[s : s + 50_000], j[s : s + 50_000]
-            differ = np.bitwise_count(parity[a] ^ parity[b]).sum(axis=1, dtype=np.int64)
-            few = (num + den) * differ <= (den - num) * (n[a] + n[b])
-            a, b = a[few], b[few]
-            est, used = estimate(regs[a], regs[b])
-            ok = est >= most - 4 * np.sqrt(most * (1 - most) / np.maximum(used, 1))
+            ok, est = plausible((n[a], n[b]), (regs[a], regs[b]), (parity[a], parity[b]), num, den)
             yield a[ok], b[ok], est[ok]
 
     def ranks(group: np.ndarray, est: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -165,18 +234,29 @@ def _compare(num: int, den: int, last: int):
     def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).combine_chunks()
         rows = {c: t.column(c).to_numpy() for c in ("side", "id", "n", "comp")}
-        rows["regs"] = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS)
-        rows["parity"] = np.frombuffer(b"".join(t.column("parity").to_pylist()), np.uint64).reshape(-1, PARITY // 64)
+        rows["regs"], rows["parity"] = _unpacked(t.column("regs"), t.column("parity"))
         g = t.column("g").to_numpy()
         starts = np.append(np.flatnonzero(np.append(True, g[1:] != g[:-1])), len(g))
-        some: list = []
-        found: list = []
-        size = 0
+        left = False
 
-        def done() -> None:
+        def done(some: list) -> Iterator[pa.RecordBatch]:
+            """What whole groups have: their pairs are gone before those of the next ones come."""
+            nonlocal left
             i, j = (np.concatenate(x) for x in zip(*some, strict=True))
-            found.extend(close(rows, i, j))
+            some.clear()
+            found = list(close(rows, i, j))
+            if not found:
+                return
+            a, b, est = (np.concatenate(x) for x in zip(*found, strict=True))
+            gid = np.searchsorted(starts, a, side="right")
+            ia, ib = rows["id"][a], rows["id"][b]
+            best = np.minimum(ranks(gid * (1 << 32) + a, est, ib), ranks(gid * (1 << 32) + b, est, ia))
+            now = best < last
+            left |= not now.all()
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ia[now], ib[now])), pa.array(np.maximum(ia[now], ib[now]))], ["a", "b"])
 
+        some: list = []
+        size = 0
         for s, e in zip(starts[:-1], starts[1:], strict=True):
             side = rows["side"][s:e]
             if side.any():  # two blocks of one bucket: only pairs across
@@ -187,19 +267,11 @@ def _compare(num: int, den: int, last: int):
             some.append((i, j))
             size += len(i)
             if size > 400_000:
-                done()
-                some, size = [], 0
+                yield from done(some)
+                size = 0
         if some:
-            done()
-        if not found:
-            return
-        a, b, est = (np.concatenate(x) for x in zip(*found, strict=True))
-        gid = np.searchsorted(starts, a, side="right")
-        ia, ib = rows["id"][a], rows["id"][b]
-        best = np.minimum(ranks(gid * (1 << 32) + a, est, ib), ranks(gid * (1 << 32) + b, est, ia)) if len(a) else np.zeros(0, int)
-        now = best < last
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ia[now], ib[now])), pa.array(np.maximum(ia[now], ib[now]))], ["a", "b"])
-        if (best >= last).any():
+            yield from done(some)
+        if left:
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,39 +298,70 @@ def hyperminhash_components(docs: DataFrame, k: int = 5, num: int = 80, den: int
     that are null or without words have none and link with nothing. Returns doc_id, n_shingles, component_id (smallest id reachable
     by links, its own included), kept (doc_id = component_id), one row per row that has an id; rows without one are left
     out. Rows that repeat an id count as one document that has all their links. An empty table gives an empty result.
-    Links are confirmed on full sets (of 64-bit hashes); a link is missed only if no band of rows registers agrees, with
-    probability (1 - s^rows)^(128 div rows) at similarity s. Other columns aren't read.
+    Links are confirmed on full sets (of 64-bit hashes). A link is missed if no band of rows registers agrees, with
+    probability (1 - s^rows)^(128 div rows) at similarity s, or if the estimate is 4 deviations too low (about 3 in 100,000
+    at the threshold, fewer above), and only where no other links connect the two. Other columns aren't read.
     """
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = materialize(shingle_sets(texts, k, "sketch"), "hmh-sketches")
     classes = materialize(sketches.where("n > 0").groupBy("key", "n", "regs", "parity").agg(F.min("id").alias("id")), "hmh-classes")
-    buckets = classes.select("id", "n", "regs").mapInArrow(_bands(rows), "bucket long, id long, n long")
-    buckets = materialize(buckets, "hmh-bands")
+    buckets = materialize(classes.select("id", "n", "regs").mapInArrow(_bands(rows), "bucket long, id long, n long").select("bucket", "id"), "hmh-bands")
     # Bands whose buckets hold the same documents need only one of them.
     prints = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"f{i}") for i in (0, 1)]
-    shared = buckets.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("low"), F.count("*").alias("size"), *prints).where("size > 1")
+    shared = buckets.groupBy("bucket").agg(F.min("id").alias("low"), F.count("*").alias("size"), *prints).where("size > 1")
     shared = shared.groupBy("low", "size", "f0", "f1").agg(F.min("bucket").alias("bucket"))
-    inside = materialize(buckets.join(shared, "bucket").select("bucket", "id", "n", "low", "size"), "hmh-inside")
-    sets = materialize(shingle_sets(texts.join(inside.select("id").distinct(), "id", "left_semi"), k, "set"), "hmh-sets")
+    inside = materialize(buckets.join(shared, "bucket").select("bucket", "id", "low", "size"), "hmh-inside")
+    drop_table(buckets)
+    members = inside.select(F.xxhash64("id").alias("digest")).distinct()
+    bits = filter_bits(members.count())
+    wanted = probe_filter(texts.withColumn("digest", F.xxhash64("id")), build_filter(members, bits), bits)
+    sets = materialize(shingle_sets(wanted.select("id", "text"), k, "set"), "hmh-sets")
+    regs = classes.select("id", "n", "regs", "parity")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        with_sets = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("sb")), "b")
-        return materialize(with_sets.select("a", "b", "sa", "sb").mapInArrow(_linked(num, den), "src long, dst long"), "hmh-links")
-
-    stars = inside.where("id <> low.id").select(F.col("low.id").alias("a"), F.col("id").alias("b"), F.col("low.n").alias("na"), F.col("n").alias("nb"))
-    links = verified(stars.where(F.expr(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")).select("a", "b").distinct())
-    comps = materialize(components(links), "hmh-comps")
-    regs = classes.select("id", "regs", "parity")
-    last, checked = 4, None
-    open_buckets = inside.where("size > 2")
-    while True:
-        labelled = open_buckets.join(comps.withColumnRenamed("component_id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("sb")), "b")
+        with_sets = with_b.join(sets.select(F.col("id").alias("a"), F.col("members").alias("sa")), "a").select("a", "b", "sa", "sb")
+        return materialize(with_sets.mapInArrow(_linked(num, den), "src long, dst long"), "hmh-links")
+
+    def hopeful(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(regs.selectExpr("id AS a", "n AS na", "regs AS ra", "parity AS pa"), "a").join(regs.selectExpr("id AS b", "n AS nb", "regs AS rb", "parity AS pb"), "b")
+        return both.select("a", "b", "na", "ra", "pa", "nb", "rb", "pb").mapInArrow(_hopeful(num, den), "a long, b long")
+
+    def merged(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+        """comps after more links: these are between components, of which only they are looked at."""
+        if comps is None:
+            return materialize(components(links), "hmh-comps")
+        own = lambda c: links.select(c, F.col(c).alias("id")).distinct().join(comps, "id", "left").select(c, F.coalesce("component_id", "id").alias(f"{c}_comp"))
+        ends = materialize(links.join(own("src"), "src").join(own("dst"), "dst"), "hmh-ends")
+        joined = components(ends.select(F.col("src_comp").alias("src"), F.col("dst_comp").alias("dst"))).selectExpr("id AS component_id", "component_id AS to")
+        ids = comps.union(ends.select("src", "src_comp").union(ends.select("dst", "dst_comp"))).distinct()
+        return materialize(ids.join(joined, "component_id", "left").select("id", F.coalesce("to", "component_id").alias("component_id")), "hmh-comps")
+
+    def still_open(members: DataFrame, comps: DataFrame) -> DataFrame:
+        """Members of the buckets that hold more than one component: bucket, id, low, size, comp, c0 (the smallest one's)."""
+        labelled = members.select("bucket", "id", "low", "size").join(comps.withColumnRenamed("component_id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket", "c0")
-        labelled = labelled.join(mixed, "bucket")
+        return materialize(labelled.join(mixed, "bucket"), "hmh-open")
+
+    centres = inside.where("id <> low").repartition("id").groupBy("id", "low").agg(F.count("*").alias("times"))
+    checked = materialize(centres.groupBy("id").agg(F.max_by("low", F.struct("times", -F.col("low"))).alias("a")).select("a", F.col("id").alias("b")), "hmh-pairs")
+    comps = merged(None, verified(checked))
+    open_ = still_open(inside, comps)
+    drop_table(inside)
+    low_comp = open_.where("id = low").select("bucket", F.col("comp").alias("low_comp"))
+    others = open_.join(low_comp, "bucket").where("id <> low AND comp <> low_comp").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = materialize(hopeful(others.join(checked, ["a", "b"], "left_anti")), "hmh-pairs")
+    if not pairs.isEmpty():
+        comps = merged(comps, verified(pairs))
+    # A pair that hopeful() leaves out is left out by _compare() too.
+    checked = checked.union(pairs)
+    open_, last = open_.where("size > 2"), 4
+    while True:
+        open_ = still_open(open_, comps)
         # A small bucket is one block. In a large one, blocks meet two by two, but members of the smallest component,
         # which have nothing to compare among themselves, have blocks of their own that meet only the others'.
-        others = labelled.where((F.col("size") > block) & (F.col("comp") != F.col("c0"))).groupBy("bucket").agg(F.count("*").alias("rest"))
-        labelled = labelled.join(others, "bucket", "left")
+        others = open_.where((F.col("size") > block) & (F.col("comp") != F.col("c0"))).groupBy("bucket").agg(F.count("*").alias("rest"))
+        labelled = open_.join(others, "bucket", "left")
         large, in_c0 = F.col("rest").isNotNull(), F.col("comp") == F.col("c0")
         q = F.ceil(F.col("rest") / block).cast("int")
         p = F.ceil((F.col("size") - F.col("rest")) / block).cast("int")
@@ -266,20 +369,20 @@ def hyperminhash_components(docs: DataFrame, k: int = 5, num: int = 80, den: int
         low = F.when(large & in_c0, p).otherwise(0)
         high = F.when(large, p + q - 1).otherwise(0)
         spread = labelled.withColumn("own", own).withColumn("other", F.explode(F.sequence(low, high)))
-        spread = spread.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("g"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "id", "n", "comp")
+        spread = spread.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("g"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "id", "comp")
         groups = spread.join(regs, "id").select("g", "side", "id", "n", "comp", "regs", "parity").repartition("g").sortWithinPartitions("g", "id")
-        pairs = materialize(groups.mapInArrow(_compare(num, den, last), "a long, b long").distinct(), "hmh-pairs")
-        more = not pairs.where("a is null").isEmpty()
-        pairs = pairs.where("a is not null")
-        if checked is not None:
-            pairs = materialize(pairs.join(checked, ["a", "b"], "left_anti"), "hmh-new")
-        checked = pairs if checked is None else checked.union(pairs)
+        found = materialize(groups.mapInArrow(_compare(num, den, last), "a long, b long").distinct(), "hmh-found")
+        more = not found.where("a is null").isEmpty()
+        pairs = materialize(found.where("a is not null").join(checked, ["a", "b"], "left_anti"), "hmh-pairs")
+        drop_table(found)
+        checked = checked.union(pairs)
         if not pairs.isEmpty():
-            links = materialize(links.union(verified(pairs)), "hmh-links")
-            comps = materialize(components(links), "hmh-comps")
+            comps = merged(comps, verified(pairs))
         if not more:
             break
         last *= 8
+    drop_table(sets)
+    drop_table(open_)
     ids = sketches.select("id", "n", "key").join(classes.select("key", F.col("id").alias("rep")), "key", "left")
     ids = ids.join(comps.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
     component = F.coalesce("component_id", "rep", "id")
