@@ -7,7 +7,7 @@ Empty tables pass through; documents without an id are never taken for copies of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import ascii_lower, table
@@ -23,29 +23,49 @@ from lumenframe.session import materialize
 TOXIC = 0.7
 
 
+def rows_of(docs: DataFrame, *columns: Column) -> DataFrame:
+    """These columns beside the whole row, so that no column of docs clashes with one of a stage's own."""
+    return docs.select(*columns, F.struct("*").alias("row"))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below TOXIC, learnt from the labelled ones that aren't held out."""
+    """Documents whose toxicity score is below TOXIC, learnt from the labelled ones that aren't held out.
+
+    Null and empty texts score low and stay; without labels of both classes all stay.
+    """
     model = train(docs.where(~held_out()), table(spark, sf_dir, "labels"))
-    scored = tag_documents(docs.select("doc_id", "text", F.struct("*").alias("_row")), model, extra=("_row",))
-    return scored.where(F.col("score") < TOXIC).select("_row.*")
+    scored = tag_documents(rows_of(docs, F.col("doc_id"), F.col("text")), model, extra=("row",))
+    return scored.where(F.col("score") < TOXIC).select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal text (A-Z lower-cased; null is empty) the one with the largest id, and that once."""
-    classes = materialize(exact_dedup(docs, keep="max").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "kept"), "exact-classes")
-    gone = classes.where(~F.col("kept")).select("_id", "_digest").distinct()
+    """Of documents with equal text (A-Z lower-cased; null is empty) the one with the largest id.
+
+    Of several rows with that id and text, the one that is first as JSON stays, and that once. A null id loses to any other.
+    """
+    classes = materialize(exact_dedup(docs, keep="max").select("id", "digest", "kept"), "exact-classes")
     digest = F.sha2(ascii_lower(F.col("text")).cast("binary"), 256)
-    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_digest") == F.col("_text_digest"))
-    kept = docs.withColumn("_text_digest", digest).join(gone, same, "left_anti")
-    if not classes.where("kept").groupBy("_id", "_digest").count().where("count > 1").isEmpty():  # rows that repeat an id
-        kept = kept.dropDuplicates(["doc_id", "_text_digest"])
-    return kept.drop("_text_digest")
+    rows = rows_of(docs, F.col("doc_id").alias("id"), digest.alias("digest")).alias("r")
+
+    def same(other: str) -> Column:
+        return F.col("r.id").eqNullSafe(F.col(f"{other}.id")) & (F.col("r.digest") == F.col(f"{other}.digest"))
+
+    kept = rows.join(classes.where(~F.col("kept")).select("id", "digest").distinct().alias("gone"), same("gone"), "left_anti")
+    twice = classes.where("kept").groupBy("id", "digest").count().where("count > 1")
+    if twice.isEmpty():
+        return kept.select("row.*")
+    once = kept.alias("r").join(twice.alias("t"), same("t"), "left_anti").select("row")
+    first = kept.alias("r").join(twice.alias("t"), same("t"), "left_semi").groupBy("id", "digest").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return once.union(first.select("row")).select("row.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a Jaccard similarity of 0.8 or more on five-word shingles the document with the smallest id."""
-    gone = hyperminhash_components(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    """Of each group linked by a Jaccard similarity of 0.8 or more on five-word shingles the document with the smallest id.
+
+    Texts that are null or without words have no shingles and all stay, as do documents without an id.
+    """
+    gone = hyperminhash_components(docs).where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct()
+    return rows_of(docs, F.col("doc_id").alias("id")).join(gone, "id", "left_anti").select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,13 +75,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     rows = materialize(document_rows(docs, table(spark, sf_dir, "labels")), "mix-rows")
     targets = materialize(cyclic_targets(totals_of(rows)), "mix-targets")
-    times = mix(rows, targets, cut_last=False).where("size > 0").groupBy(F.col("id").alias("_id")).agg(F.max(F.expr("taken div size")).cast("int").alias("_times"))
-    out = docs.join(times.where("_times > 0"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_id", "_times", "_copy")
+    times = mix(rows, targets, cut_last=False).where("size > 0").groupBy("id").agg(F.max(F.expr("taken div size")).cast("int").alias("times")).where("times > 0").alias("t")
+    out = rows_of(docs, F.col("doc_id").alias("id")).alias("r").join(times, F.col("r.id").eqNullSafe(F.col("t.id")))
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 2048 tokens."""
+    """Pieces of the documents in sequences of at most 2048 tokens; a null or empty text is its end id alone."""
     return pack(pieces(docs, vocabulary()))
 
 
