@@ -2,14 +2,15 @@
 
 Pivots are a bounded sample of the vectors, thinned so that none are near each other: a large group of near copies has one
 pivot, which all its members have, and not many of about equal nearness, of which each would have others. Every vector is described by its nearest pivots in order; an inverted list
-per label and pivot holds the vectors that have it among them. Two vectors that share enough pivots are candidates, and
-candidates are verified by their cosine in double precision. Lists are cut into blocks that meet two by two, so no task
+per label and pivot holds the vectors that have it among them. Shared pivots are counted for each two vectors of a list;
+those that share enough are candidates, and candidates are verified by their cosine in double precision. Lists are cut into blocks that meet two by two, so no task
 holds a whole list; a pair is counted where its smallest shared pivot is, so once. Equal vectors are one class with a count.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,9 @@ from pyspark.sql import types as T
 from lumenframe.llm.common import components, table
 from lumenframe.session import materialize
 
-MIN_PIVOTS, MAX_PIVOTS = 32, 1024
+MIN_PIVOTS, MAX_PIVOTS = 32, 8192
+#: Numbers that the sample for the pivots holds at most, and pivots of lengths that are none of the 16 commonest.
+MOST_NUMBERS, RANDOM_PIVOTS = 1 << 25, 256
 #: Vectors read for each pivot, so that enough are left of a sample that is mostly one group.
 SAMPLE = 4
 
@@ -40,6 +43,13 @@ def choose_pivots(vectors: DataFrame, n: int, threshold: float) -> np.ndarray:
     return kept[:m]
 
 
+@lru_cache(64)
+def random_pivots(d: int) -> np.ndarray:
+    """RANDOM_PIVOTS directions of d dimensions, the same in every process."""
+    p = np.random.default_rng(d).normal(size=(RANDOM_PIVOTS, d))
+    return p / np.linalg.norm(p, axis=1, keepdims=True)
+
+
 def _describe(pivots: dict[int, np.ndarray], nearest: int):
     """id, label, n, v -> pivots (sorted numbers of the nearest ones, i16 bytes), one row per pivot, and v as bytes."""
 
@@ -53,13 +63,10 @@ def _describe(pivots: dict[int, np.ndarray], nearest: int):
             for d in np.unique(np.diff(ends)):
                 at = np.flatnonzero(np.diff(ends) == d)
                 x = np.stack([flat[ends[i] : ends[i + 1]] for i in at])
-                p = pivots.get(int(d))
-                if p is None:  # a dimension without pivots: one list for all
-                    near = np.zeros((len(at), 1), np.int16)
-                else:
-                    unit = x.astype(np.float64)
-                    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                    near = np.sort(np.argsort(-(unit @ p.T), axis=1, kind="stable")[:, :nearest], axis=1).astype(np.int16)
+                p = pivots[int(d)] if int(d) in pivots else random_pivots(int(d))
+                unit = x.astype(np.float64)
+                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+                near = np.sort(np.argsort(-(unit @ p.T), axis=1, kind="stable")[:, :nearest], axis=1).astype(np.int16)
                 k = near.shape[1]
                 take = pa.array(np.repeat(at, k))
                 raw = pa.array([r.tobytes() for r in x], pa.binary()).take(pa.array(np.repeat(np.arange(len(at)), k)))
@@ -82,17 +89,21 @@ def _count_links(threshold: float, shared: int, dtype: np.dtype):
         i, j = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(len(ids)),) * 2
         if not len(i) or not len(j):
             return None
-        hit = (x[i] @ x[j].T) / np.outer(norm[i], norm[j]) >= threshold
+        pivots, column = np.unique(near, return_inverse=True)
+        has = np.zeros((len(ids), len(pivots)), np.float32)
+        np.put_along_axis(has, column.reshape(near.shape), 1.0, axis=1)
+        before = int(np.searchsorted(pivots, pivot))
+        hit = has[i] @ has[j].T >= min(shared, near.shape[1])
+        hit &= has[i][:, :before] @ has[j][:, :before].T == 0  # else a list before this one has the pair
         if not two:
             np.fill_diagonal(hit, False)
-        if not hit.any():
-            return None
         a, b = hit.any(axis=1), hit.any(axis=0)
+        if not a.any():
+            return None
         i, j, hit = i[a], j[b], hit[np.ix_(a, b)]
-        has = np.zeros((len(ids), int(near.max()) + 1), np.float32)
-        np.put_along_axis(has, near.astype(np.int64), 1.0, axis=1)
-        hit &= has[i] @ has[j].T >= min(shared, near.shape[1])
-        hit &= has[i][:, :pivot] @ has[j][:, :pivot].T == 0
+        hit &= (x[i] @ x[j].T) / np.outer(norm[i], norm[j]) >= threshold
+        if not hit.any():
+            return None
         links = np.zeros(len(ids), np.int64)
         links[i] += hit @ n[j]
         if two:
@@ -139,8 +150,10 @@ def pivot_links(vectors: DataFrame, threshold: float = 0.98, nearest: int = 8, s
     nor do rows without an id; vectors of different lengths aren't compared. Rows that repeat an id count as vectors of
     their own in n_links and as one in components. Candidates share at least shared of their nearest pivots: the index
     is approximate (see the tests for its recall against brute force) and no link below the threshold is returned. The
-    number of pivots grows with the root of the number of vectors, from 32 to 1024, or is what SAMPLE times as many
-    vectors have that aren't near each other. A group of near copies is one pivot's list, so all its pairs are compared.
+    number of pivots grows with the root of the number of vectors, from 32 to 8192 (fewer where 4 times as many vectors
+    have over 2^25 numbers), or is what SAMPLE times as many vectors have that aren't near each other; of lengths that are
+    none of the 16 commonest, pivots are 256 random directions. A group of near copies is one pivot's list, so all its
+    pairs are compared. An empty table gives an empty result; other columns aren't read.
     """
     spark = vectors.sparkSession
     wide = vectors.schema[vector_col].dataType.elementType
@@ -151,7 +164,7 @@ def pivot_links(vectors: DataFrame, threshold: float = 0.98, nearest: int = 8, s
     rows = rows.withColumn("v", F.when(valid, F.col("v")))
     classes = materialize(rows.where("v is not null").groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("n")), "pivot-classes")
     dims = {r["d"]: r["c"] for r in classes.groupBy(F.size("v").alias("d")).count().withColumnRenamed("count", "c").orderBy(F.desc("c")).limit(16).collect()}
-    pivots = {d: choose_pivots(classes.where(F.size("v") == d), n_pivots or int(np.clip(np.sqrt(c), MIN_PIVOTS, MAX_PIVOTS)), threshold) for d, c in dims.items()}
+    pivots = {d: choose_pivots(classes.where(F.size("v") == d), n_pivots or int(np.clip(np.sqrt(c), MIN_PIVOTS, max(MIN_PIVOTS, min(MAX_PIVOTS, MOST_NUMBERS // (SAMPLE * d))))), threshold) for d, c in dims.items()}
     described = classes.select("id", "label", "n", "v").mapInArrow(_describe(pivots, nearest), "id long, label string, n long, dim int, pivot int, near binary, raw binary")
     described = materialize(described, "pivot-lists")
     sizes = described.groupBy("label", "dim", "pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))

@@ -246,8 +246,10 @@ def _strong(found: DataFrame, n_toxic: int, n_clean: int, least_g2: float = 16.0
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = 4000, windows_per_text: int = 4) -> Model | None:
     """Fit on documents with a label (the largest where one is repeated). None unless both classes have texts.
 
-    About per_class distinct texts of either class, by a hash of the id, make the bounded sample for the fit (all of a
-    smaller class); texts with the same rarest part count as one, so groups of copies don't pass for evidence. A fourth
+    About per_class texts of either class, by a hash of the id, make the bounded sample for the fit (all of a smaller
+    class). Of texts that agree in all eight min-hashes of their words (copies do; texts half of whose words differ do by
+    a chance of 1 in 256 at most) the one with the smallest id counts, so groups of copies don't pass for evidence. From
+    each text come at most windows_per_text windows of 32 tokens around each kind of tag. A fourth
     of the sample is kept from the field for the document regression (none where a class would have under 200 left),
     whose case weights restore the class sizes.
     """
@@ -259,7 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = F.pmod(F.xxhash64(F.lit("toxicity sample"), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     wanted = F.when(F.col("toxic") == 1, F.lit(per_class / sizes[1])).otherwise(F.lit(per_class / sizes[0]))
     words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")
-    copies = F.array_min(F.transform(words, lambda x: F.xxhash64(x)))
+    copies = F.xxhash64(*[F.array_min(F.transform(words, lambda x, i=i: F.xxhash64(x, F.lit(i)))) for i in range(8)])
     sample = d.where(share < wanted).withColumn("_copy", copies)
     one = sample.groupBy("toxic", "_copy").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     sample = materialize(sample.join(one, "doc_id", "left_semi").select("doc_id", "toxic", "text"), "toxicity-sample")
