@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,14 +56,30 @@ def dpc(shifts: DataFrame, mrad_per_px: float) -> DataFrame:
     return f.select(*POSITION, "fy", "fx", F.hypot("fy", "fx").alias("magnitude"), F.atan2("fy", "fx").alias("direction"), (slope("fy", "sy", "sx") + slope("fx", "sx", "sy")).alias("divergence"))
 
 
-def radial_coverage(spark: SparkSession, height: int, width: int, cy: float, cx: float) -> DataFrame:
-    """Detector pixels by whole radius."""
+def radial_coverage(spark: SparkSession, height: int, width: int, cy: float, cx: float, n_bins: int = 0) -> DataFrame:
+    """Detector pixels by ring, of rings of even width out to the farthest pixel: bin, radius (its middle), n; a row for every ring."""
+    n_bins = n_bins if n_bins > 0 else max(1, min(height, width) // 2)
+    far = max(math.hypot(y - cy, x - cx) for y in (0, height - 1) for x in (0, width - 1))
+    step = far / n_bins if far > 0 else 0.0
     g = spark.range(height * width).select(F.expr(f"id div {width}").alias("ky"), (F.col("id") % width).alias("kx"))
-    return g.groupBy(F.floor(F.hypot(F.col("ky") - cy, F.col("kx") - cx)).cast("int").alias("r")).agg(F.count("*").alias("n"))
+    at = F.least(F.lit(n_bins - 1), F.floor(F.sqrt(F.pow(F.col("ky") - cy, F.lit(2)) + F.pow(F.col("kx") - cx, F.lit(2))) / step)) if step else F.lit(0)
+    n = g.groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    rings = spark.range(n_bins).select(F.col("id").cast("int").alias("bin"))
+    return rings.join(n, "bin", "left").select("bin", ((F.col("bin") + 0.5) * step).alias("radius"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def scan_shapes(spark: SparkSession, n_frames: int, limit: int = 12) -> DataFrame:
-    """Factor pairs of a number of frames, squarest first, the taller of two before the wider; one row always is 1 x n."""
-    r = spark.range(1, n_frames + 1).where(n_frames % F.col("id") == 0).select(F.col("id").alias("rows"), F.expr(f"{n_frames} div id").alias("cols"))
-    rank = F.row_number().over(W.orderBy(F.greatest("rows", "cols"), F.desc("rows")))
-    return r.withColumn("rank", rank).where((F.col("rank") <= limit) | (F.col("rows") == 1))
+    """At most limit factor pairs of a number of frames, squarest first, the taller of two before the wider.
+
+    A scan of one line is always among them: beyond the limit it takes the last place. No frames, no rows.
+    """
+    r = spark.range(1, max(1, math.isqrt(max(0, n_frames)) + 1)).where(n_frames % F.col("id") == 0).select(F.col("id").alias("a"), F.expr(f"{n_frames} div id").alias("b"))
+    both = r.select(F.col("b").alias("rows"), F.col("a").alias("cols")).union(r.where("a <> b"))
+    rank = F.row_number().over(W.orderBy(F.greatest("rows", "cols"), F.desc("rows")))  # few: the divisors of one number
+    ranked = both.withColumn("rank", rank)
+    if limit <= 0:
+        return ranked
+    line = (F.col("rows") == 1) & (F.col("cols") == n_frames)
+    place = F.when(line, F.least("rank", F.lit(limit))).otherwise(F.col("rank"))
+    crowded = F.max(F.when(line, F.col("rank"))).over(W.partitionBy()) > limit
+    return ranked.withColumn("_crowded", crowded).where((place < limit) | (place == limit) & (line | ~F.col("_crowded"))).select("rows", "cols", place.alias("rank"))

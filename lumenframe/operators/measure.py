@@ -52,16 +52,21 @@ def radial_profile(img: DataFrame, n_bins: int = 0) -> DataFrame:
     return s.groupBy(DS, at.alias("bin")).agg(F.avg("v").alias("mean"), F.max("v").alias("max"), F.stddev_pop("v").alias("std"), F.count("*").alias("n"))
 
 
-def azimuthal(img: DataFrame, lo: float, hi: float, n_bins: int) -> DataFrame:
-    """Mean by radius within the sector [lo, hi) of degrees, which may wrap, inside the inscribed circle."""
+def azimuthal(img: DataFrame, lo: float, hi: float, n_bins: int = 0) -> DataFrame:
+    """Mean by radius within the sector [lo, hi) of degrees from +x towards +y, inside the distance to the nearest edge.
+
+    A sector whose end is not beyond its start wraps; 0 to 360 is all. Rings without pixels have no row.
+    """
     s = img.join(shape(img), DS)
-    dx, dy = F.col("x") - (F.col("w") / 2 + 0.5), F.col("y") - (F.col("h") / 2 + 0.5)
+    cx, cy = (F.col("w") + 1) / 2, (F.col("h") + 1) / 2
+    dx, dy = F.col("x") - cx, F.col("y") - cy
     angle = F.degrees(F.atan2(dy, dx))
     angle = F.when(angle < 0, angle + 360).otherwise(angle)
-    sector = (angle >= lo) & (angle < hi) if lo <= hi else (angle >= lo) | (angle < hi)
-    r_max = F.least("h", "w") / 2
+    sector = F.lit(True) if (lo, hi) == (0, 360) else (angle >= lo) & (angle < hi) if lo < hi else (angle >= lo) | (angle < hi)
+    r_max = F.greatest(F.lit(1.0), F.least(cx, cy, F.col("w") - cx, F.col("h") - cy))
+    bins = F.lit(n_bins) if n_bins > 0 else F.expr("least(h, w) div 2")
     r = F.sqrt(dx * dx + dy * dy)
-    return s.where(sector & (r < r_max) & finite(F.col("v"))).groupBy(DS, F.least(F.lit(n_bins - 1), F.floor(r / (r_max / n_bins))).cast("int").alias("bin")).agg(F.avg("v").alias("mean"), F.count("*").alias("n"))
+    return s.where(sector & (r < r_max) & ~F.isnan("v")).groupBy(DS, F.least(bins - 1, F.floor(r / (r_max / bins))).cast("int").alias("bin")).agg(F.avg("v").alias("mean"), F.count("*").alias("n"))
 
 
 def line_profile(img: DataFrame, x1: float, y1: float, x2: float, y2: float) -> DataFrame:
@@ -94,10 +99,11 @@ def bearing_curve(img: DataFrame, levels: int = 20) -> DataFrame:
 
 
 def hhcf(traces: DataFrame, max_lag: int, least: int = 8) -> DataFrame:
-    """Mean squared difference of heights at each lag, per trace, where it has enough pairs."""
-    far = traces.select("user_id", F.col("i").alias("j"), F.col("v").alias("u"))
-    near = traces.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(max_lag)))).withColumn("j", F.col("i") + F.col("lag"))
-    d = near.join(far, ["user_id", "j"]).groupBy("user_id", "lag").agg(F.avg(F.pow(F.col("u") - F.col("v"), F.lit(2))).alias("g"), F.count("*").alias("n"))
+    """Mean squared difference of heights at each lag, per trace (numbered without gaps), where it has enough pairs."""
+    w = W.partitionBy("user_id").orderBy("i")
+    far = F.array(*[F.struct(F.lit(k).alias("lag"), F.lead("v", k).over(w).alias("u")) for k in range(1, max_lag + 1)])
+    d = traces.select("user_id", "v", far.alias("far")).select("user_id", "v", F.inline("far"))
+    d = d.where("u is not null").groupBy("user_id", "lag").agg(F.avg(F.pow(F.col("u") - F.col("v"), F.lit(2))).alias("g"), F.count("*").alias("n"))
     return d.where(F.col("n") >= least)
 
 
@@ -134,3 +140,22 @@ def trapezoid(traces: DataFrame) -> DataFrame:
     weight = (F.coalesce(F.lead("i").over(w) - F.col("i"), F.lit(0)) + F.coalesce(F.col("i") - F.lag("i").over(w), F.lit(0))) / 2
     t = traces.select("user_id", "v", weight.alias("k"))
     return t.groupBy("user_id").agg(F.sum(F.col("v") * F.col("k")).alias("area"), F.sum(F.col("k") * F.col("k") * F.greatest(F.col("v"), F.lit(0.0))).alias("variance"))
+
+
+def poisson_sigma(c: Column) -> Column:
+    """The counting error of a number of counts; negative counts have none."""
+    return F.sqrt(F.greatest(c, F.lit(0.0)))
+
+
+def fraction_sigma(parts: DataFrame, *group: str) -> DataFrame:
+    """Fractions q / sum(q) within each group and their errors in percentage points, from independent errors q_sigma.
+
+    Adds fraction and fraction_sigma; one part alone has the error 0, and a sum that isn't positive gives null.
+    """
+    q, v = F.col("q"), F.col("q_sigma") * F.col("q_sigma")
+    all_ = W.partitionBy(*group)
+    t = parts.withColumn("_s", F.sum(q).over(all_)).withColumn("_v", F.sum(v).over(all_)).withColumn("_n", F.count("*").over(all_))
+    f = F.when(F.col("_s") > 0, q / F.col("_s"))
+    # The derivatives are (1 - f) / s by the own part and -f / s by each other one.
+    var = (F.pow(1 - f, F.lit(2)) * v + f * f * (F.col("_v") - v)) / (F.col("_s") * F.col("_s"))
+    return t.select(*parts.columns, f.alias("fraction"), F.when(F.col("_s") > 0, F.when(F.col("_n") == 1, 0.0).otherwise(100 * F.sqrt(F.greatest(var, F.lit(0.0))))).alias("fraction_sigma"))

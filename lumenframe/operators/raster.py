@@ -1,7 +1,7 @@
 """Operators on rasters (ds_id, y, x, v): filters, geometry, levelling, normalisation, histograms.
 
-All work on many rasters at once, keyed by ds_id. Stencils are equi-joins after spreading each pixel to the places it
-counts for, so pixels shuffle once per axis and sums combine on the map side.
+All work on many rasters at once, keyed by ds_id; a raster has a pixel at every place of its grid. Separable stencils
+slide windows along columns, then along rows, so pixels shuffle once per axis and a task holds one line of a raster.
 """
 
 from __future__ import annotations
@@ -30,17 +30,17 @@ def gaussian_kernel(sigma: float) -> list[float]:
     return [v / sum(k) for v in k]
 
 
+AXES = (("y", "x"), ("x", "y"))
+
+
 def gaussian(img: DataFrame, sigma: float = 1.0) -> DataFrame:
     """Separable blur, half-width ceil(3 sigma), zero padding."""
     k = gaussian_kernel(sigma)
     r = len(k) // 2
-    taps = F.array(*[F.struct(F.lit(i - r).alias("o"), F.lit(v).alias("k")) for i, v in enumerate(k)])
-    for axis in ("y", "x"):
-        other = "x" if axis == "y" else "y"
-        size = img.groupBy(DS).agg(F.max(axis).alias("_n"))
-        spread = img.select(DS, "y", "x", "v", F.explode(taps).alias("t"))
-        summed = spread.groupBy(DS, (F.col(axis) + F.col("t.o")).alias(axis), other).agg(F.sum(F.col("v") * F.col("t.k")).alias("v"))
-        img = summed.join(size, DS).where((F.col(axis) >= 1) & (F.col(axis) <= F.col("_n"))).select(DS, "y", "x", "v")
+    for axis, other in AXES:
+        w = W.partitionBy(DS, other).orderBy(axis)
+        taps = [F.lit(c) * F.coalesce(F.lag("v", i - r).over(w), F.lit(0.0)) for i, c in enumerate(k)]
+        img = img.select(DS, "y", "x", sum(taps[1:], taps[0]).alias("v"))
     return img
 
 
@@ -59,9 +59,17 @@ def neighbourhood(img: DataFrame, radius: int, square: bool = True, replicate: b
 
 
 def median(img: DataFrame, window_size: int = 3) -> DataFrame:
+    """Median of the square window; places beyond the border count as the nearest pixel."""
     if window_size not in (3, 5, 7):
         raise ValueError("window_size must be 3, 5 or 7")
-    return neighbourhood(img, window_size // 2).groupBy(DS, "y", "x").agg(F.percentile("n", F.lit(0.5)).alias("v"))
+    r = window_size // 2
+    for axis, other in AXES:
+        w = W.partitionBy(DS, other).orderBy(axis)
+        whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        ends = {True: F.first("v").over(whole), False: F.last("v").over(whole)}
+        taps = [F.coalesce(F.lag("v", o).over(w), ends[o > 0]) if o else F.col("v") for o in range(-r, r + 1)]
+        img = img.select(DS, "y", "x", F.array(*taps).alias("v"))
+    return img.select(DS, "y", "x", F.element_at(F.array_sort(F.flatten("v")), window_size**2 // 2 + 1).alias("v"))
 
 
 def unsharp(img: DataFrame, sigma: float = 2.0, amount: float = 1.0) -> DataFrame:
@@ -106,19 +114,38 @@ def plane_level(img: DataFrame) -> DataFrame:
     return img.join(m, DS).select(DS, "y", "x", (F.col("v") - fit).alias("v"))
 
 
-def morph(img: DataFrame, operation: str = "open", radius: int = 1, square: bool = True) -> DataFrame:
-    """Binary morphology of v > mean; what lies outside counts as not set for dilation and is left out for erosion."""
+def above_mean(img: DataFrame) -> DataFrame:
+    """1 where a pixel is above its raster's mean, else 0."""
     mean = img.groupBy(DS).agg(F.avg("v").alias("_m"))
-    mask = img.join(mean, DS).select(DS, "y", "x", (F.col("v") > F.col("_m")).cast("double").alias("v"))
-    steps = {"erode": [F.min], "dilate": [F.max], "open": [F.min, F.max], "close": [F.max, F.min]}[operation]
-    for agg in steps:
-        mask = neighbourhood(mask, radius, square, replicate=False).groupBy(DS, "y", "x").agg(agg("n").alias("v"))
-    return mask
+    return img.join(mean, DS).select(DS, "y", "x", (F.col("v") > F.col("_m")).cast("double").alias("v"))
+
+
+def morph(img: DataFrame, operation: str = "open", radius: int = 1, square: bool = True) -> DataFrame:
+    """Binary morphology of v > 0 with a square or a disk; what lies outside the raster is not set, so borders erode."""
+    img = img.select(DS, "y", "x", (F.col("v") > 0).cast("double").alias("v"))
+    for erode in {"erode": [True], "dilate": [False], "open": [True, False], "close": [False, True]}[operation]:
+        if square:
+            for axis, other in AXES:
+                n = F.sum("v").over(W.partitionBy(DS, other).orderBy(axis).rowsBetween(-radius, radius))
+                img = img.select(DS, "y", "x", (n == 2 * radius + 1 if erode else n > 0).cast("double").alias("v"))
+        else:
+            size = sum(a * a + b * b <= radius * radius for a in range(-radius, radius + 1) for b in range(-radius, radius + 1))
+            n = F.sum("n")
+            img = neighbourhood(img, radius, False, replicate=False).groupBy(DS, "y", "x").agg((n == size if erode else n > 0).cast("double").alias("v"))
+    return img
+
+
+def sanitize(img: DataFrame) -> DataFrame:
+    """Pixels that aren't finite become the median of the finite ones of their raster (0 without any)."""
+    fill = img.groupBy(DS).agg(F.percentile(F.when(finite(F.col("v")), F.col("v")), F.lit(0.5)).alias("_f"))
+    return img.join(fill, DS).select(DS, "y", "x", F.when(finite(F.col("v")), F.col("v")).otherwise(F.coalesce("_f", F.lit(0.0))).alias("v"))
 
 
 def normalize01(img: DataFrame, clip_percentile: float = 0.0) -> DataFrame:
-    """Stretch to 0..1 by the extremes, or by percentiles with clipping; a constant raster becomes 0."""
+    """Stretch to 0..1 by the extremes, or by percentiles with clipping; a constant raster becomes 0. Pixels that aren't
+    finite count as the median."""
     p = clip_percentile / 100
+    img = sanitize(img)
     ends = img.where(finite(F.col("v"))).groupBy(DS).agg(F.percentile("v", F.array(F.lit(p), F.lit(1 - p))).alias("p"), F.min("v").alias("a"), F.max("v").alias("b"))
     flat = F.col("p")[1] <= F.col("p")[0]
     ends = ends.select(DS, F.when(flat, F.col("a")).otherwise(F.col("p")[0]).alias("lo"), F.when(flat, F.col("b")).otherwise(F.col("p")[1]).alias("hi"))
@@ -126,15 +153,22 @@ def normalize01(img: DataFrame, clip_percentile: float = 0.0) -> DataFrame:
     return img.join(ends, DS).select(DS, "y", "x", F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)).alias("v"))
 
 
-def window_level(img: DataFrame, lo: float, hi: float, gamma: float = 1.0) -> DataFrame:
-    v = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("v") - lo) / (hi - lo)))
-    return img.select(DS, "y", "x", F.pow(v, F.lit(gamma)).alias("v"))
+def window_level(img: DataFrame, lo: float | None = None, hi: float | None = None, gamma: float = 1.0) -> DataFrame:
+    """Linear window to 0..1, then the gamma-th root. Without lo or hi the finite extremes of each raster; pixels that
+    aren't finite become 0; an empty window is 1 wide."""
+    ends = img.groupBy(DS).agg(F.min(F.when(finite(F.col("v")), F.col("v"))).alias("_a"), F.max(F.when(finite(F.col("v")), F.col("v"))).alias("_b"))
+    a, b = (F.col("_a") if lo is None else F.lit(float(lo))), (F.col("_b") if hi is None else F.lit(float(hi)))
+    v = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("v") - a) / F.when(b <= a, 1.0).otherwise(b - a)))
+    v = F.when(finite(F.col("v")), v).otherwise(0.0)
+    return img.join(ends, DS).select(DS, "y", "x", (F.pow(v, F.lit(1 / gamma)) if gamma > 0 and gamma != 1 else v).alias("v"))
 
 
 def histogram(img: DataFrame, bins: int = 256) -> DataFrame:
     """Counts over the finite range with the last bin closed: ds_id, bin (from 0), centre, n; empty bins have 0."""
     ok = img.where(finite(F.col("v")))
     ends = ok.groupBy(DS).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    wide = F.when(F.col("lo") == F.col("hi"), 0.5).otherwise(0.0)  # one value: a range of 1 around it
+    ends = ends.select(DS, (F.col("lo") - wide).alias("lo"), (F.col("hi") + wide).alias("hi"))
     ends = ends.withColumn("width", (F.col("hi") - F.col("lo")) / bins)
     at = F.least(F.lit(bins - 1), F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("lo"), F.col("width"))), F.lit(0))).cast("int")
     n = ok.join(ends, DS).groupBy(DS, at.alias("bin")).agg(F.count("*").alias("n"))
@@ -165,11 +199,16 @@ def gradient(img: DataFrame) -> DataFrame:
     return img.select(DS, "y", "x", along("y", "x").alias("gy"), along("x", "y").alias("gx"))
 
 
-def image_math(a: DataFrame, b: DataFrame, op: str) -> DataFrame:
-    """add, subtract, multiply or ratio of rasters of one shape, pixel by pixel; a division by zero is 0."""
+def image_math(a: DataFrame, b: DataFrame, op: str, pairs: DataFrame | None = None) -> DataFrame:
+    """add, subtract, divide a / max(b, 1) or ratio a / max(a + b, 1) of rasters, where both have pixels.
+
+    pairs: ds_id, other; which raster of b goes with one of a. Without it, the one with the same ds_id.
+    """
     u, v = F.col("v"), F.col("_b")
-    out = {"add": u + v, "subtract": u - v, "multiply": u * v, "ratio": F.coalesce(F.try_divide(u, v), F.lit(0.0))}[op]
-    return a.join(b.select("y", "x", F.col("v").alias("_b")), ["y", "x"]).select(DS, "y", "x", out.alias("v"))
+    out = {"add": u + v, "subtract": u - v, "divide": u / F.greatest(v, F.lit(1.0)), "ratio": u / F.greatest(u + v, F.lit(1.0))}[op]
+    other = b.select(F.col(DS).alias("_other"), "y", "x", F.col("v").alias("_b"))
+    a = a.withColumn("_other", F.col(DS)) if pairs is None else a.join(pairs.withColumnRenamed("other", "_other"), DS)
+    return a.join(other, ["_other", "y", "x"]).select(DS, "y", "x", out.alias("v"))
 
 
 def mip(stack: list[DataFrame]) -> DataFrame:

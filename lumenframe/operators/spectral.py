@@ -6,33 +6,83 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# K line energies in keV.
+# K, L and M line energies in keV.
 K_LINES = {
-    "C": 0.277, "N": 0.392, "O": 0.525, "F": 0.677, "Ne": 0.849, "Na": 1.041, "Mg": 1.254, "Al": 1.487, "Si": 1.740, "P": 2.013,
-    "S": 2.307, "Cl": 2.622, "Ar": 2.957, "K": 3.314, "Ca": 3.692, "Sc": 4.091, "Ti": 4.511, "V": 4.952, "Cr": 5.415, "Mn": 5.899,
-    "Fe": 6.404, "Co": 6.930, "Ni": 7.478, "Cu": 8.048, "Zn": 8.639,
+    "Be": 0.108, "B": 0.183, "C": 0.277, "N": 0.392, "O": 0.525, "F": 0.677, "Ne": 0.849, "Na": 1.041, "Mg": 1.254, "Al": 1.487, "Si": 1.740,
+    "P": 2.013, "S": 2.307, "Cl": 2.622, "Ar": 2.957, "K": 3.314, "Ca": 3.692, "Sc": 4.091, "Ti": 4.511, "V": 4.952, "Cr": 5.415, "Mn": 5.899,
+    "Fe": 6.404, "Co": 6.930, "Ni": 7.478, "Cu": 8.048, "Zn": 8.639, "Ga": 9.252, "Ge": 9.886, "As": 10.544, "Se": 11.222, "Br": 11.924,
+    "Rb": 13.395, "Sr": 14.165, "Y": 14.958, "Zr": 15.775, "Nb": 16.615, "Mo": 17.479, "Ru": 19.279, "Rh": 20.216, "Pd": 21.177, "Ag": 22.163,
+    "Cd": 23.174, "In": 24.210, "Sn": 25.271,
 }
+L_LINES = {
+    "Ca": 0.341, "Ti": 0.452, "V": 0.511, "Cr": 0.573, "Mn": 0.637, "Fe": 0.705, "Co": 0.776, "Ni": 0.851, "Cu": 0.930, "Zn": 1.012, "Ga": 1.098,
+    "Ge": 1.188, "As": 1.282, "Zr": 2.042, "Nb": 2.166, "Mo": 2.293, "Ru": 2.559, "Rh": 2.697, "Pd": 2.839, "Ag": 2.984, "Cd": 3.133, "In": 3.287,
+    "Sn": 3.444, "Sb": 3.605, "Ba": 4.466, "La": 4.651, "Ce": 4.840, "Nd": 5.230, "Sm": 5.636, "Gd": 6.057, "Dy": 6.495, "Er": 6.949, "Yb": 7.416,
+    "Hf": 7.899, "Ta": 8.146, "W": 8.398, "Re": 8.652, "Os": 8.911, "Ir": 9.175, "Pt": 9.442, "Au": 9.713, "Hg": 9.989, "Tl": 10.269, "Pb": 10.551,
+    "Bi": 10.839, "Th": 12.968, "U": 13.615,
+}
+M_LINES = {
+    "Hf": 1.645, "Ta": 1.710, "W": 1.775, "Re": 1.843, "Os": 1.910, "Ir": 1.980, "Pt": 2.051, "Au": 2.123, "Hg": 2.196, "Tl": 2.271, "Pb": 2.342,
+    "Bi": 2.420, "Th": 2.996, "U": 3.171,
+}
+# A line's energy as a share of its absorption edge.
+EDGE_SHARE = {"K": 0.90, "L": 0.80, "M": 0.93}
 # Cliff-Lorimer factors at 200 kV relative to Si.
 K_FACTORS = {
-    "C": 3.00, "N": 2.20, "O": 1.80, "F": 1.50, "Na": 1.10, "Mg": 0.95, "Al": 0.87, "Si": 1.00, "P": 0.97, "S": 0.93, "Cl": 0.92,
+    "B": 4.50, "C": 3.00, "N": 2.20, "O": 1.80, "F": 1.50, "Na": 1.10, "Mg": 0.95, "Al": 0.87, "Si": 1.00, "P": 0.97, "S": 0.93, "Cl": 0.92,
     "K": 1.01, "Ca": 1.03, "Sc": 1.05, "Ti": 1.07, "V": 1.09, "Cr": 1.13, "Mn": 1.18, "Fe": 1.21, "Co": 1.25, "Ni": 1.28, "Cu": 1.32, "Zn": 1.36,
+    "Ga": 1.52, "Ge": 1.56, "As": 1.58, "Se": 1.62, "Br": 1.66, "Sr": 2.50, "Y": 2.55, "Zr": 2.60, "Nb": 2.65, "Mo": 2.70, "Ru": 2.80, "Pd": 2.85,
+    "Ag": 2.90, "Sn": 2.95, "Sb": 3.00, "Ba": 2.70, "La": 2.10, "Ce": 2.15, "Hf": 1.70, "Ta": 1.75, "W": 1.80, "Pt": 1.90, "Au": 1.85,
 }
 # Standard atomic weights.
 MASSES = {
-    "C": 12.011, "N": 14.007, "O": 15.999, "F": 18.998, "Na": 22.990, "Mg": 24.305, "Al": 26.982, "Si": 28.086, "P": 30.974, "S": 32.06,
-    "Cl": 35.45, "K": 39.098, "Ca": 40.078, "Sc": 44.956, "Ti": 47.867, "V": 50.942, "Cr": 51.996, "Mn": 54.938, "Fe": 55.845, "Co": 58.933,
-    "Ni": 58.693, "Cu": 63.546, "Zn": 65.38,
+    "C": 12.011, "N": 14.007, "O": 15.999, "F": 18.998, "Ne": 20.180, "Na": 22.990, "Mg": 24.305, "Al": 26.982, "Si": 28.086, "P": 30.974, "S": 32.06,
+    "Cl": 35.45, "Ar": 39.948, "K": 39.098, "Ca": 40.078, "Sc": 44.956, "Ti": 47.867, "V": 50.942, "Cr": 51.996, "Mn": 54.938, "Fe": 55.845,
+    "Co": 58.933, "Ni": 58.693, "Cu": 63.546, "Zn": 65.38,
 }
 #: Pixels that any spectrum has: the key of per-pixel work.
 PIXEL = ["ds_id", "y", "x"]
 
 
 def lines(spark: SparkSession, symbols: list[str] | None = None) -> DataFrame:
-    """The line table: symbol, energy, k, mass; k is 1 where no factor is known."""
-    rows = [(s, e, K_FACTORS.get(s, 1.0), MASSES.get(s)) for s, e in K_LINES.items() if symbols is None or s in symbols]
+    """The K lines: symbol, energy, k, mass; k and mass are 1 where none is known."""
+    rows = [(s, e, K_FACTORS.get(s, 1.0), MASSES.get(s, 1.0)) for s, e in K_LINES.items() if symbols is None or s in symbols]
     return spark.createDataFrame(rows, "symbol string, energy double, k double, mass double")
 
 
+def line_table(spark: SparkSession, symbols: list[str] | None = None) -> DataFrame:
+    """All K, L and M lines: symbol, line, energy."""
+    rows = [(s, n, e) for n, t in (("K", K_LINES), ("L", L_LINES), ("M", M_LINES)) for s, e in t.items() if symbols is None or s in symbols]
+    return spark.createDataFrame(rows, "symbol string, line string, energy double")
+
+
+def lines_in_range(spark: SparkSession, lo: float, hi: float, symbols: list[str] | None = None) -> DataFrame:
+    """Lines with an energy from lo to hi (in any order), both included."""
+    return line_table(spark, symbols).where(F.col("energy").between(min(lo, hi), max(lo, hi)))
+
+
+def principal_lines(table: DataFrame, beam_kv: float, least: float = 1.5) -> DataFrame:
+    """The line that each element is measured by: symbol, line, energy. table: line_table().
+
+    The first of K, L, M whose edge the beam exceeds by the overvoltage `least`; without one, that of the largest overvoltage.
+    """
+    share = F.create_map(*[F.lit(x) for kv in EDGE_SHARE.items() for x in kv])
+    over = F.lit(float(beam_kv)) / (F.col("energy") / share[F.col("line")])
+    enough = over >= least
+    best = F.struct(enough.alias("enough"), F.when(enough, 0.0).otherwise(over).alias("over"), F.when(F.col("line") == "K", 3).when(F.col("line") == "L", 2).otherwise(1).alias("first"), "line", "energy")
+    return table.groupBy("symbol").agg(F.max(best).alias("b")).select("symbol", "b.line", "b.energy")
+
+
+def element_windows(spectrum: DataFrame, beam_kv: float, symbols: list[str], half_window: float = 0.085) -> DataFrame:
+    """Window of each element's principal line: ds_id, symbol, line, energy, lo, hi, reason (null, or why it can't be used)."""
+    axis = spectrum.groupBy("ds_id").agg(F.min("e").alias("e0"), F.max("e").alias("e1"))
+    spark = spectrum.sparkSession
+    asked = spark.createDataFrame([(s,) for s in symbols], "symbol string").join(F.broadcast(principal_lines(line_table(spark, symbols), beam_kv)), "symbol", "left")
+    t = axis.join(F.broadcast(asked))
+    reason = F.when(F.col("energy").isNull(), "no line").when(~F.col("energy").between(F.col("e0"), F.col("e1")), "outside the axis")
+    return t.select("ds_id", "symbol", "line", "energy", (F.col("energy") - half_window).alias("lo"), (F.col("energy") + half_window).alias("hi"), reason.alias("reason"))
+
+
 def sum_spectrum(cube: DataFrame) -> DataFrame:
     return cube.groupBy("ds_id", "ch", "e").agg(F.sum("v").alias("v"))
 
@@ -46,18 +96,34 @@ def within(lo: float | Column, hi: float | Column) -> Column:
     return (F.col("e") >= lo) & (F.col("e") <= hi)
 
 
-def element_map(cube: DataFrame, lo: float, hi: float, background: str = "none", width: float = 0.3, gap: float = 0.0) -> DataFrame:
-    """Counts in a window; with a linear background through the means of the windows of `width` on either side."""
+def element_map(cube: DataFrame, lo: float, hi: float, background: str = "none", width: float | None = None, gap: float = 0.0, e0_kev: float | None = None) -> DataFrame:
+    """Counts in a window, less a background from the windows of `width` (default: the window's own) on either side.
+
+    none: all counts; linear: the mean rate of the two sides (or of the one that has channels); bremsstrahlung: the
+    continuum (e0 - e) / e below the beam energy e0_kev, scaled to both sides by least squares. Negative values are 0.
+    """
+    lo, hi = min(lo, hi), max(lo, hi)
+    peak = within(lo, hi)
     if background == "none":
-        return cube.where(within(lo, hi)).groupBy(*PIXEL).agg(F.sum("v").alias("v"))
-    left, right, peak = within(lo - gap - width, lo - gap), within(hi + gap, hi + gap + width), within(lo, hi)
-    mean = lambda c, side: F.avg(F.when(side, F.col(c)))
-    s = cube.where(left | right | peak).groupBy(*PIXEL).agg(
-        F.sum(F.when(peak & ~left & ~right, F.col("v")).otherwise(0.0)).alias("gross"), F.count(F.when(peak & ~left & ~right, 1)).alias("n"), mean("e", peak & ~left & ~right).alias("em"),
-        mean("v", left).alias("vl"), mean("v", right).alias("vr"), mean("e", left).alias("el"), mean("e", right).alias("er"),
-    )
-    base = F.col("vl") + (F.col("vr") - F.col("vl")) * F.try_divide(F.col("em") - F.col("el"), F.col("er") - F.col("el"))
-    return s.select(*PIXEL, F.greatest(F.lit(0.0), F.col("gross") - F.coalesce(F.col("n") * base, F.lit(0.0))).alias("v"))
+        return cube.where(peak).groupBy(*PIXEL).agg(F.sum("v").alias("v"))
+    if background not in ("linear", "bremsstrahlung"):
+        raise ValueError("background must be none, linear or bremsstrahlung")
+    width, gap = width if width and width > 0 else hi - lo, max(gap, 0.0)
+    left = (F.col("e") >= lo - gap - width) & (F.col("e") < lo - gap)
+    right = (F.col("e") > hi + gap) & (F.col("e") <= hi + gap + width)
+    used = cube.where(peak | left | right)
+    if background == "linear":
+        rate = F.coalesce((F.avg(F.when(left, F.col("v"))) + F.avg(F.when(right, F.col("v")))) / 2, F.avg(F.when(left | right, F.col("v"))), F.lit(0.0))
+        base = rate * F.count(F.when(peak, 1))
+    else:
+        if e0_kev is None or e0_kev <= hi:
+            raise ValueError("the beam energy e0_kev must exceed the window")
+        c = F.when(F.col("e") < e0_kev, (e0_kev - F.col("e")) / F.greatest(F.col("e"), F.lit(1e-9))).otherwise(0.0)
+        side = left | right
+        scale = F.try_divide(F.sum(F.when(side, c * F.col("v"))), F.sum(F.when(side, c * c)))
+        base = F.coalesce(scale * F.sum(F.when(peak, c)), F.lit(0.0))
+    gross = F.sum(F.when(peak, F.col("v")).otherwise(0.0))
+    return used.groupBy(*PIXEL).agg(F.greatest(F.lit(0.0), gross - base).alias("v"))
 
 
 def element_maps(cube: DataFrame, symbols: list[str], half_window: float = 0.2) -> DataFrame:
@@ -74,13 +140,43 @@ def cliff_lorimer(maps: DataFrame) -> DataFrame:
     return i.groupBy("ds_id", "symbol").agg((100 * F.avg(F.col("w") / F.col("ws"))).alias("weight_pct"), (100 * F.avg(F.col("a") / F.col("as_"))).alias("atomic_pct"), F.count("*").alias("n"))
 
 
-def power_law_map(cube: DataFrame, signal: tuple[float, float], fit: tuple[float, float]) -> DataFrame:
-    """Net signal above a power law a e^-r that each pixel's own fit window gives; negative residuals count as 0."""
-    ok = within(*fit) & (F.col("v") > 0) & (F.col("e") > 0)
-    x, y = F.when(ok, F.log("e")), F.when(ok, F.log("v"))
-    law = cube.where(ok).groupBy(*PIXEL).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("icept"))
-    net = F.greatest(F.lit(0.0), F.col("v") - F.exp(F.col("icept") + F.col("slope") * F.log("e")))
-    return cube.where(within(*signal)).join(law, PIXEL).groupBy(*PIXEL).agg(F.sum(net).alias("v"))
+#: Counts and energies below this count as this where their logarithm is taken.
+LEAST = 2.220446049250313e-16
+
+
+def _law(method: str) -> tuple[Column, Column]:
+    """x and y of the straight line that a background method fits."""
+    log = lambda c: F.log(F.greatest(F.col(c), F.lit(LEAST)))
+    if method not in ("powerlaw", "exponential"):
+        raise ValueError("method must be powerlaw or exponential")
+    return (log("e") if method == "powerlaw" else F.col("e")), log("v")
+
+
+def background(spectrum: DataFrame, fit: tuple[float, float], method: str = "powerlaw") -> DataFrame:
+    """Pre-edge background of each spectrum: ds_id, ch, e, signal (0 at least), background, a, r (or the exponent b).
+
+    powerlaw: a e^-r from logarithms of both; exponential: a exp(b e). A fit window of fewer than two channels gives nulls.
+    """
+    x, y = _law(method)
+    law = spectrum.where(within(*fit)).groupBy("ds_id").agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("icept"))
+    base = F.exp(F.col("icept") + F.col("slope") * x)
+    rate = (-F.col("slope")).alias("r") if method == "powerlaw" else F.col("slope").alias("b")
+    return spectrum.join(law, "ds_id").select("ds_id", "ch", "e", F.greatest(F.lit(0.0), F.col("v") - base).alias("signal"), base.alias("background"), F.exp("icept").alias("a"), rate)
+
+
+def edge_map(cube: DataFrame, signal: tuple[float, float], fit: tuple[float, float] | None = None, method: str = "powerlaw") -> DataFrame:
+    """Net signal of each pixel above the background that its own fit window gives; negative residuals count as 0.
+
+    Without a fit window, all counts of the signal window.
+    """
+    if fit is None:
+        return cube.where(within(*signal)).groupBy(*PIXEL).agg(F.sum("v").alias("v"))
+    x, y = _law(method)
+    s, f = within(*signal), within(*fit)
+    used = cube.where(s | f)
+    law = used.where(f).groupBy(*PIXEL).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("icept"))
+    net = F.greatest(F.lit(0.0), F.col("v") - F.exp(F.col("icept") + F.col("slope") * x))
+    return used.where(s).join(law, PIXEL).groupBy(*PIXEL).agg(F.sum(net).alias("v"))
 
 
 def thickness_map(cube: DataFrame, zero_loss: tuple[float, float], least: float = 100.0) -> DataFrame:
