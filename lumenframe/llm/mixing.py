@@ -53,16 +53,17 @@ def mix(rows: DataFrame, targets: DataFrame, ranges: int = 1024, cut_last: bool
     target, one row per source. Adds taken (long, repeats counted): floor(target / source_size) whole epochs, then rows
     by key until the rest of the budget is spent. The last row enters with the words that are left; with
     cut_last=False it enters whole if the source's sum comes nearer its target so. Rows of size 0 take nothing. Ties of
-    the key go by id. Reruns agree, as keys come from ids.
+    the key go by id, rows that repeat an id by size. Reruns agree, as keys come from ids. Columns of rows named
+    source_size, target or taken give way to the mix's own. An empty table gives an empty result.
     """
-    keyed = rows.withColumn("_key", exponential_key(F.col("id"), F.col("weight")))
+    keyed = rows.drop("source_size", "target", "taken").withColumn("_key", exponential_key(F.col("id"), F.col("weight")))
     keyed = keyed.withColumn("_range", F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * ranges).cast("int"))
     sums = keyed.groupBy("skey", "_range").agg(F.sum("size").alias("_sum"))
     before = sums.select("skey", "_range", F.coalesce(F.sum("_sum").over(W.partitionBy("skey").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = before.join(targets.select("skey", "source_size", "target"), "skey").withColumn("_epochs", epochs)
     plan = plan.withColumn("_budget", F.round(F.col("target") - F.col("_epochs") * F.col("source_size")).cast("long"))
-    in_range = W.partitionBy("skey", "_range").orderBy("_key", "id").rowsBetween(W.unboundedPreceding, -1)
+    in_range = W.partitionBy("skey", "_range").orderBy("_key", "id", "size").rowsBetween(W.unboundedPreceding, -1)
     out = keyed.withColumn("_in", F.coalesce(F.sum("size").over(in_range), F.lit(0))).join(plan, ["skey", "_range"])
     rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_budget") - F.col("_before") - F.col("_in")))
     if not cut_last:

@@ -163,6 +163,39 @@ def test_mixing(docs, spark):
     assert all(abs(taken[s] - r["target"]) <= 1 for s, r in targets.items())
 
 
+def test_mixing_of_odd_rows(spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    empty = document_rows(spark.createDataFrame([], SCHEMA), labels)
+    assert mix(empty, cyclic_targets(totals_of(empty))).count() == 0
+    rows = [(1, words(9), "a"), (1, words(4), "a"), (None, words(5), None), (2, words(7), None)]
+    d = document_rows(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "0 AS target"), labels, columns=("target",))
+    out = mix(d, cyclic_targets(totals_of(d)))
+    assert out.columns.count("target") == 1
+    first, again = ({(r["id"], r["size"]): r["taken"] for r in mix(d.repartition(n), cyclic_targets(totals_of(d))).collect()} for n in (1, 4))
+    assert first == again and sum(first.values()) == pytest.approx(1.5 * 25, abs=2)
+
+
+def test_vectors_of_odd_rows(spark):
+    schema = "vec_id long, embedding array<float>, label int, id int, label2 int, v int, n int"
+    assert pivot_links(spark.createDataFrame([], schema)).count() == 0
+    v = [float(x) for x in RNG.normal(size=8)]
+    rows = [(1, v, 0), (1, v, 0), (2, v, 0), (3, v[:5], 0), (4, v[:5], 0), (None, v, 0), (5, v, 1)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in pivot_links(spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], schema)).where("vec_id is not null").collect())
+    assert got == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 1, 3), (4, 1, 3), (5, 0, 5)]
+
+
+def test_exact_where_digests_collide(spark, monkeypatch):
+    """With one digest for all texts, texts are told apart by themselves."""
+    from pyspark.sql import functions as F
+
+    from lumenframe.llm import exact
+
+    monkeypatch.setattr(exact.F, "sha2", lambda c, bits: F.when(c.isNotNull(), F.lit("same")))
+    rows = [(1, "a"), (2, "A"), (3, "b"), (4, "x" * 300_000), (5, "X" * 300_000), (6, None), (7, "")]
+    got = sorted((r["id"], r["keep_id"], r["group_size"]) for r in exact.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, 2), (2, 1, 2), (3, 3, 1), (4, 4, 2), (5, 4, 2), (6, 6, 2), (7, 6, 2)]
+
+
 def test_records_and_packing(docs, spark):
     tok = Tokenizer.from_file(vocabulary())
     ids = {i: tok.encode(t or "", add_special_tokens=False).ids for i, t, _ in DOCS if i != 6}
