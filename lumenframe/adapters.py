@@ -60,12 +60,32 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id", at.alias("i"), F.col("value").alias("v"))
 
 
+def region_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label map on the cube's grid; 0 is background."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.lit("cube").alias("ds_id"), F.expr("1 + vec_id div 25").cast("int").alias("y"), (1 + F.col("vec_id") % 25).cast("int").alias("x"), F.coalesce("label", F.lit(0)).alias("label"))
+
+
+def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An outline for each order: a vertex per line, in the order of lines (of parts and quantities, where a number repeats)."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ring"), F.expr("l_linenumber * 1000000000L + l_partkey * 100 + cast(l_quantity as long)").alias("i"), F.col("l_quantity").alias("x"), (F.col("l_partkey") % 47).cast("double").alias("y"))
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A segment for each order."""
+    at = lambda c, m: (F.col(c) % m).cast("double")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), at("o_orderkey", 83).alias("x1"), at("o_custkey", 59).alias("y1"), at("o_custkey", 71).alias("x2"), at("o_orderkey", 61).alias("y2"))
+
+
 #: The same views as SQL, for statements of expected results.
 VIEWS_SQL = {
     "pix": "SELECT g.y, g.x, coalesce(s.v, 0.0::DOUBLE) AS v FROM (SELECT a.y, b.x FROM range(1, 65) a(y), range(1, 97) b(x)) g LEFT JOIN (SELECT 1 + l_orderkey % 64 AS y, 1 + l_partkey % 96 AS x, sum(l_quantity)::DOUBLE AS v FROM lineitem GROUP BY ALL) s ON s.y = g.y AND s.x = g.x",
     "pix_b": "SELECT g.y, g.x, coalesce(s.v, 0.0::DOUBLE) AS v FROM (SELECT a.y, b.x FROM range(1, 65) a(y), range(1, 97) b(x)) g LEFT JOIN (SELECT 1 + l_orderkey % 64 AS y, 1 + l_partkey % 96 AS x, count(*)::DOUBLE AS v FROM lineitem GROUP BY ALL) s ON s.y = g.y AND s.x = g.x",
     "cube": "SELECT 1 + vec_id // 25 AS y, 1 + vec_id % 25 AS x, ch, 0.1::DOUBLE + 0.15::DOUBLE * ch AS e, floor((embedding[ch + 1]::DOUBLE + 1) * 1000)::DOUBLE AS v FROM embeddings, range(64) r(ch)",
     "scan4d": "SELECT vec_id // 25 AS sy, vec_id % 25 AS sx, ch // 8 AS ky, ch % 8 AS kx, floor((embedding[ch + 1]::DOUBLE + 1) * 1000)::DOUBLE AS v FROM embeddings, range(64) r(ch)",
+    "region_labels": "SELECT 1 + vec_id // 25 AS y, 1 + vec_id % 25 AS x, coalesce(label, 0) AS label FROM embeddings",
+    "rings": "SELECT l_orderkey AS ring, l_linenumber * 1000000000 + l_partkey * 100 + l_quantity::BIGINT AS i, l_quantity AS x, (l_partkey % 47)::DOUBLE AS y FROM lineitem",
+    "segments": "SELECT o_orderkey AS id, (o_orderkey % 83)::DOUBLE AS x1, (o_custkey % 59)::DOUBLE AS y1, (o_custkey % 71)::DOUBLE AS x2, (o_orderkey % 61)::DOUBLE AS y2 FROM orders",
     "populations": "SELECT o_orderpriority AS grp, o_totalprice AS v FROM orders",
     "traces": "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, value AS v FROM events",
 }

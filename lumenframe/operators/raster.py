@@ -114,10 +114,14 @@ def plane_level(img: DataFrame) -> DataFrame:
     return img.join(m, DS).select(DS, "y", "x", (F.col("v") - fit).alias("v"))
 
 
-def above_mean(img: DataFrame) -> DataFrame:
-    """1 where a pixel is above its raster's mean, else 0."""
+def above(img: DataFrame, factor: float = 1.0) -> DataFrame:
+    """1 where a pixel is above factor times its raster's mean, else 0."""
     mean = img.groupBy(DS).agg(F.avg("v").alias("_m"))
-    return img.join(mean, DS).select(DS, "y", "x", (F.col("v") > F.col("_m")).cast("double").alias("v"))
+    return img.join(mean, DS).select(DS, "y", "x", (F.col("v") > factor * F.col("_m")).cast("double").alias("v"))
+
+
+def above_mean(img: DataFrame) -> DataFrame:
+    return above(img)
 
 
 def morph(img: DataFrame, operation: str = "open", radius: int = 1, square: bool = True) -> DataFrame:

@@ -9,25 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenframe import adapters as A
 from lumenframe.operators import fourd, measure, raster, spectral
-
-Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def rounded(df: DataFrame, digits: int = 5) -> DataFrame:
-    """Reals rounded (and -0 made 0), ds_id left out."""
-    return df.select(*[(F.round(F.col(c), digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes if c != "ds_id"])
-
-
-def query(name: str, plan: Callable[[SparkSession, str], DataFrame], sql: str | None = None, *views: str) -> None:
-    Q[name] = lambda spark, sf_dir: rounded(plan(spark, sf_dir))
-    if sql:
-        SQL[name] = A.with_views(sql, *views) if views else sql
-
-
-def r(c: str, name: str | None = None) -> str:
-    return f"round({c}, 5) + 0.0 AS {name or c}"
-
+from lumenframe.plans.registry import SQL, Q, query, r, rounded
 
 # Rasters
 query("image_stats", lambda s, d: measure.image_stats(A.pix(s, d)), f"SELECT count(*) AS n, {r('avg(v)', 'mean')}, {r('stddev_pop(v)', 'std')}, {r('min(v)', 'min')}, {r('max(v)', 'max')}, {r('quantile_cont(v, 0.5)', 'median')} FROM pix", "pix")
@@ -135,9 +117,16 @@ def _events(s: SparkSession, d: str) -> DataFrame:
 query("windowed_events", _events, f"SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, {r('sum(value)', 'total')} FROM events GROUP BY date_trunc('hour', ts), event_type")
 
 
+def _load() -> None:
+    """The other modules of queries register theirs when they are imported."""
+    from lumenframe.plans import structure_queries  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(SQL)
