@@ -84,7 +84,7 @@ VIEWS_SQL = {
     "cube": "SELECT 1 + vec_id // 25 AS y, 1 + vec_id % 25 AS x, ch, 0.1::DOUBLE + 0.15::DOUBLE * ch AS e, floor((embedding[ch + 1]::DOUBLE + 1) * 1000)::DOUBLE AS v FROM embeddings, range(64) r(ch)",
     "scan4d": "SELECT vec_id // 25 AS sy, vec_id % 25 AS sx, ch // 8 AS ky, ch % 8 AS kx, floor((embedding[ch + 1]::DOUBLE + 1) * 1000)::DOUBLE AS v FROM embeddings, range(64) r(ch)",
     "region_labels": "SELECT 1 + vec_id // 25 AS y, 1 + vec_id % 25 AS x, coalesce(label, 0) AS label FROM embeddings",
-    "rings": "SELECT l_orderkey AS ring, l_linenumber * 1000000000 + l_partkey * 100 + l_quantity::BIGINT AS i, l_quantity AS x, (l_partkey % 47)::DOUBLE AS y FROM lineitem",
+    "rings": "SELECT l_orderkey AS ring, l_linenumber::BIGINT * 1000000000 + l_partkey * 100 + l_quantity::BIGINT AS i, l_quantity AS x, (l_partkey % 47)::DOUBLE AS y FROM lineitem",
     "segments": "SELECT o_orderkey AS id, (o_orderkey % 83)::DOUBLE AS x1, (o_custkey % 59)::DOUBLE AS y1, (o_custkey % 71)::DOUBLE AS x2, (o_orderkey % 61)::DOUBLE AS y2 FROM orders",
     "populations": "SELECT o_orderpriority AS grp, o_totalprice AS v FROM orders",
     "traces": "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, value AS v FROM events",

@@ -69,7 +69,7 @@ SIDES = "w AS (SELECT y, x, e, v, e >= 1.17::DOUBLE AND e < 1.47::DOUBLE AS l, e
 query("element_map_linear", lambda s, d: spectral.element_map(A.cube(s, d), 1.52, 2.07, "linear", 0.3, 0.05), f", {SIDES} SELECT y, x, {r('greatest(0, sum(v) FILTER (p) - 0.5::DOUBLE * (avg(v) FILTER (l) + avg(v) FILTER (r)) * count(*) FILTER (p))', 'v')} FROM w GROUP BY y, x", "cube")
 query("element_map_bremsstrahlung", lambda s, d: spectral.element_map(A.cube(s, d), 1.52, 2.07, "bremsstrahlung", 0.3, 0.05, 20.0), f", {SIDES} SELECT y, x, {r('greatest(0, sum(v) FILTER (p) - sum(c * v) FILTER (l OR r) / sum(c * c) FILTER (l OR r) * sum(c) FILTER (p))', 'v')} FROM w GROUP BY y, x", "cube")
 ELEMENTS = ["Si", "Fe", "O"]
-LINES3 = "t(symbol, energy, k, mass) AS (VALUES ('Si', 1.740::DOUBLE, 1.00::DOUBLE, 28.086::DOUBLE), ('Fe', 6.404::DOUBLE, 1.21::DOUBLE, 55.845::DOUBLE), ('O', 0.525::DOUBLE, 1.80::DOUBLE, 15.999::DOUBLE))"
+LINES3 = "t(symbol, energy, k, mass) AS (VALUES ('Si', 1.740::DOUBLE, 1.00::DOUBLE, 28.085::DOUBLE), ('Fe', 6.404::DOUBLE, 1.21::DOUBLE, 55.845::DOUBLE), ('O', 0.525::DOUBLE, 1.80::DOUBLE, 15.999::DOUBLE))"
 MAPS = f"{LINES3}, i AS (SELECT y, x, symbol, k, mass, sum(v) AS v FROM cube JOIN t ON abs(e - energy) <= 0.2::DOUBLE GROUP BY ALL)"
 query("element_maps", lambda s, d: spectral.element_maps(A.cube(s, d), ELEMENTS).drop("k", "mass"), f", {MAPS} SELECT y, x, symbol, {r('v')} FROM i", "cube")
 query("cliff_lorimer", lambda s, d: spectral.cliff_lorimer(spectral.element_maps(A.cube(s, d), ELEMENTS)), f", {MAPS}, f AS (SELECT symbol, v * k / sum(v * k) OVER p AS w, (v * k / mass) / sum(v * k / mass) OVER p AS a FROM i WINDOW p AS (PARTITION BY y, x)) SELECT symbol, {r('100 * avg(w)', 'weight_pct')}, {r('100 * avg(a)', 'atomic_pct')}, count(*) AS n FROM f GROUP BY symbol", "cube")
@@ -119,7 +119,7 @@ query("windowed_events", _events, f"SELECT strftime(date_trunc('hour', ts), '%Y-
 
 def _load() -> None:
     """The other modules of queries register theirs when they are imported."""
-    from lumenframe.plans import structure_queries  # noqa: F401
+    from lumenframe.plans import analysis_queries, structure_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
