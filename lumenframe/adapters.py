@@ -56,8 +56,12 @@ def populations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, sf_dir, "events").select("user_id", at.alias("i"), F.col("value").alias("v"))
+    """Values of each user numbered from 1 in order of time: within days, after the counts of the days before, so no user is one task."""
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("value").alias("v"), F.to_date("ts").alias("day"))
+    days = e.groupBy("user_id", "day").agg(F.count("*").alias("n"))
+    days = days.select("user_id", "day", (F.sum("n").over(W.partitionBy("user_id").orderBy("day")) - F.col("n")).alias("before"))
+    at = F.row_number().over(W.partitionBy("user_id", "day").orderBy("ts", "event_id"))
+    return e.join(days, ["user_id", "day"]).select("user_id", (F.col("before") + at).cast("int").alias("i"), "v")
 
 
 def region_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenframe.operators.quantiles import blocks, quantiles
 from lumenframe.operators.raster import DS, finite, plane_level, shape
 
 
 def image_stats(img: DataFrame) -> DataFrame:
     """Finite pixels only; population standard deviation."""
-    return img.where(finite(F.col("v"))).groupBy(DS).agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), F.percentile("v", F.lit(0.5)).alias("median"))
+    ok = img.where(finite(F.col("v")))
+    s = ok.groupBy(DS).agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    return s.join(quantiles(ok, [DS], [0.5]), DS).select(*s.columns, F.col("q")[0].alias("median"))
 
 
 def in_rect(r1: int, c1: int, r2: int, c2: int) -> Column:
@@ -92,17 +95,16 @@ def roughness(img: DataFrame, level: bool = True) -> DataFrame:
 
 
 def bearing_curve(img: DataFrame, levels: int = 20) -> DataFrame:
-    """Heights that 0..100 % of the surface lies above, in steps."""
-    p = [i / levels for i in range(levels + 1)]
-    q = img.groupBy(DS).agg(F.percentile("v", F.array(*[F.lit(1 - v) for v in p])).alias("q"))
+    """Heights that 0..100 % of the surface lies above, in steps; finite pixels only."""
+    q = quantiles(img.where(finite(F.col("v"))), [DS], [1 - i / levels for i in range(levels + 1)])
     return q.select(DS, F.posexplode("q").alias("step", "height"))
 
 
 def hhcf(traces: DataFrame, max_lag: int, least: int = 8) -> DataFrame:
     """Mean squared difference of heights at each lag, per trace (numbered without gaps), where it has enough pairs."""
-    w = W.partitionBy("user_id").orderBy("i")
+    w = W.partitionBy("user_id", "block").orderBy("i")
     far = F.array(*[F.struct(F.lit(k).alias("lag"), F.lead("v", k).over(w).alias("u")) for k in range(1, max_lag + 1)])
-    d = traces.select("user_id", "v", far.alias("far")).select("user_id", "v", F.inline("far"))
+    d = blocks(traces, "i", 0, max_lag).select("user_id", "v", "own", far.alias("far")).where("own").select("user_id", "v", F.inline("far"))
     d = d.where("u is not null").groupBy("user_id", "lag").agg(F.avg(F.pow(F.col("u") - F.col("v"), F.lit(2))).alias("g"), F.count("*").alias("n"))
     return d.where(F.col("n") >= least)
 
@@ -110,8 +112,9 @@ def hhcf(traces: DataFrame, max_lag: int, least: int = 8) -> DataFrame:
 def summarize(pop: DataFrame) -> DataFrame:
     """Per group: finite values and dropped ones, sample deviation (null for one value), quartiles of type 7."""
     v = F.when(finite(F.col("v")), F.col("v"))
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return pop.groupBy("grp").agg(F.count(v).alias("n"), (F.count("*") - F.count(v)).alias("dropped"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), q.alias("q")).select("grp", "n", "dropped", "mean", "std", "min", "max", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    s = pop.groupBy("grp").agg(F.count(v).alias("n"), (F.count("*") - F.count(v)).alias("dropped"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    q = quantiles(pop.where(finite(F.col("v"))), ["grp"], [0.25, 0.5, 0.75])
+    return s.join(q, "grp", "left").select(*s.columns, *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))])
 
 
 def fit_normal_lognormal(pop: DataFrame) -> DataFrame:
@@ -126,7 +129,8 @@ def fit_normal_lognormal(pop: DataFrame) -> DataFrame:
 def histogram_bins(pop: DataFrame, most: int = 200) -> DataFrame:
     """Freedman-Diaconis bins per group (square root rule without spread), last bin closed; only bins with values."""
     v = pop.where(finite(F.col("v")))
-    s = v.groupBy("grp").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), (F.percentile("v", F.lit(0.75)) - F.percentile("v", F.lit(0.25))).alias("iqr"))
+    s = v.groupBy("grp").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    s = s.join(quantiles(v, ["grp"], [0.25, 0.75]), "grp").withColumn("iqr", F.col("q")[1] - F.col("q")[0])
     step = 2 * F.col("iqr") / F.cbrt(F.col("n").cast("double"))
     bins = F.least(F.lit(most), F.greatest(F.lit(1), F.coalesce(F.ceil(F.try_divide(F.col("hi") - F.col("lo"), step)), F.ceil(F.sqrt("n"))))).cast("int")
     s = s.withColumn("bins", bins)
@@ -135,10 +139,10 @@ def histogram_bins(pop: DataFrame, most: int = 200) -> DataFrame:
 
 
 def trapezoid(traces: DataFrame) -> DataFrame:
-    """Integral over i of each trace, and its Poisson variance with composite weights."""
-    w = W.partitionBy("user_id").orderBy("i")
+    """Integral over i of each trace (numbered without gaps), and its Poisson variance with composite weights."""
+    w = W.partitionBy("user_id", "block").orderBy("i")
     weight = (F.coalesce(F.lead("i").over(w) - F.col("i"), F.lit(0)) + F.coalesce(F.col("i") - F.lag("i").over(w), F.lit(0))) / 2
-    t = traces.select("user_id", "v", weight.alias("k"))
+    t = blocks(traces, "i", 1, 1).select("user_id", "v", "own", weight.alias("k")).where("own")
     return t.groupBy("user_id").agg(F.sum(F.col("v") * F.col("k")).alias("area"), F.sum(F.col("k") * F.col("k") * F.greatest(F.col("v"), F.lit(0.0))).alias("variance"))
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenframe.operators.quantiles import quantiles
+
 DS = "ds_id"
 
 
@@ -114,6 +116,56 @@ def plane_level(img: DataFrame) -> DataFrame:
     return img.join(m, DS).select(DS, "y", "x", (F.col("v") - fit).alias("v"))
 
 
+def quadratic_level(img: DataFrame) -> DataFrame:
+    """Subtract the least-squares paraboloid of whole rasters (a pixel at every place, all finite).
+
+    On such a grid 1, x, y, x^2, y^2 (less their means) and xy about the centre are orthogonal, so each coefficient is
+    a ratio of two sums, and all come from one aggregate. An axis of one or two pixels has no curvature.
+    """
+    mid = img.groupBy(DS).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_pop("x").alias("sx"), F.var_pop("y").alias("sy"))
+    t = img.join(mid, DS).withColumn("u", F.col("x") - F.col("mx")).withColumn("w", F.col("y") - F.col("my"))
+    t = t.select(DS, "y", "x", "v", "u", "w", F.expr("u * u - sx").alias("uu"), F.expr("w * w - sy").alias("ww"), F.expr("u * w").alias("uw"))
+    forms = ("u", "w", "uu", "ww", "uw")
+    part = lambda f: F.coalesce(F.when(F.sum(F.col(f) * F.col(f)) > 1e-9, F.sum(F.col(f) * F.col("v")) / F.sum(F.col(f) * F.col(f))), F.lit(0.0)).alias(f"k_{f}")
+    fit = t.groupBy(DS).agg(F.avg("v").alias("k_1"), *[part(f) for f in forms])
+    plane = sum((F.col(f"k_{f}") * F.col(f) for f in forms), F.col("k_1"))
+    return t.join(fit, DS).select(DS, "y", "x", (F.col("v") - plane).alias("v"))
+
+
+def crop(img: DataFrame, r1: int, c1: int, r2: int, c2: int) -> DataFrame:
+    """The rectangle of two corners in any order, ends included, places counted from 1 again."""
+    y0, x0 = min(r1, r2), min(c1, c2)
+    box = F.col("y").between(y0, max(r1, r2)) & F.col("x").between(x0, max(c1, c2))
+    return img.where(box).select(DS, (F.col("y") - (max(y0, 1) - 1)).alias("y"), (F.col("x") - (max(x0, 1) - 1)).alias("x"), "v")
+
+
+def turn(img: DataFrame, degrees: float) -> DataFrame:
+    """Turn counter-clockwise about the centre by any angle, bilinear, in the same frame; beyond a border its pixels go on."""
+    c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    t = img.join(shape(img), DS)
+    dy, dx = F.col("y") - (F.col("h") + 1) / 2, F.col("x") - (F.col("w") + 1) / 2
+    clamp = lambda v, n: F.greatest(F.lit(1.0), F.least(F.col(n).cast("double"), v))
+    t = t.select(DS, "y", "x", "h", "w", clamp(F.round(c * dy + s * dx + (F.col("h") + 1) / 2, 9), "h").alias("sy"), clamp(F.round(c * dx - s * dy + (F.col("w") + 1) / 2, 9), "w").alias("sx"))
+    fy, fx = F.col("sy") - F.floor("sy"), F.col("sx") - F.floor("sx")
+    taps = [F.struct((F.floor("sy") + a).cast("int").alias("yy"), (F.floor("sx") + b).cast("int").alias("xx"), ((fy if a else 1 - fy) * (fx if b else 1 - fx)).alias("k")) for a in (0, 1) for b in (0, 1)]
+    t = t.select(DS, "y", "x", F.inline(F.array(*taps))).where("k > 0")
+    src = img.select(DS, F.col("y").alias("yy"), F.col("x").alias("xx"), "v")
+    return t.join(src, [DS, "yy", "xx"]).groupBy(DS, "y", "x").agg(F.sum(F.col("k") * F.col("v")).alias("v"))
+
+
+def strip_bar(img: DataFrame, content_rows: int) -> DataFrame:
+    """Without the rows below the content."""
+    return img.where(F.col("y") <= content_rows)
+
+
+def explode_cube(cube: DataFrame, most: int = 256) -> DataFrame:
+    """The channels of a cube as rasters ds_id#channel; more channels than `most` raise, as this many are shown at once."""
+    n = cube.agg(F.max("ch").alias("n")).first()["n"]
+    if n is not None and n >= most:
+        raise ValueError(f"{n + 1} frames are more than {most}")
+    return cube.select(F.concat(DS, F.lit("#"), "ch").alias(DS), "y", "x", "v")
+
+
 def above(img: DataFrame, factor: float = 1.0) -> DataFrame:
     """1 where a pixel is above factor times its raster's mean, else 0."""
     mean = img.groupBy(DS).agg(F.avg("v").alias("_m"))
@@ -141,8 +193,8 @@ def morph(img: DataFrame, operation: str = "open", radius: int = 1, square: bool
 
 def sanitize(img: DataFrame) -> DataFrame:
     """Pixels that aren't finite become the median of the finite ones of their raster (0 without any)."""
-    fill = img.groupBy(DS).agg(F.percentile(F.when(finite(F.col("v")), F.col("v")), F.lit(0.5)).alias("_f"))
-    return img.join(fill, DS).select(DS, "y", "x", F.when(finite(F.col("v")), F.col("v")).otherwise(F.coalesce("_f", F.lit(0.0))).alias("v"))
+    fill = quantiles(img.where(finite(F.col("v"))), [DS], [0.5]).select(DS, F.col("q")[0].alias("_f"))
+    return img.join(fill, DS, "left").select(DS, "y", "x", F.when(finite(F.col("v")), F.col("v")).otherwise(F.coalesce("_f", F.lit(0.0))).alias("v"))
 
 
 def normalize01(img: DataFrame, clip_percentile: float = 0.0) -> DataFrame:
@@ -150,7 +202,8 @@ def normalize01(img: DataFrame, clip_percentile: float = 0.0) -> DataFrame:
     finite count as the median."""
     p = clip_percentile / 100
     img = sanitize(img)
-    ends = img.where(finite(F.col("v"))).groupBy(DS).agg(F.percentile("v", F.array(F.lit(p), F.lit(1 - p))).alias("p"), F.min("v").alias("a"), F.max("v").alias("b"))
+    ends = img.groupBy(DS).agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    ends = ends.join(quantiles(img, [DS], [p, 1 - p]).withColumnRenamed("q", "p"), DS) if p else ends.withColumn("p", F.array("a", "b"))
     flat = F.col("p")[1] <= F.col("p")[0]
     ends = ends.select(DS, F.when(flat, F.col("a")).otherwise(F.col("p")[0]).alias("lo"), F.when(flat, F.col("b")).otherwise(F.col("p")[1]).alias("hi"))
     v = F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenframe.operators.quantiles import quantiles
 from lumenframe.operators.raster import DS, above
 
 # Millimetres of a unit of length.
@@ -143,8 +144,9 @@ def trace_interface(img: DataFrame, position: float, window: int = 10) -> DataFr
 
 def robust_sigma(values: DataFrame, *keys: str) -> DataFrame:
     """1.4826 times the median distance from the median of v, per key."""
-    mid = values.groupBy(*keys).agg(F.median("v").alias("_m"))
-    return values.join(mid, list(keys)).groupBy(*keys).agg((1.4826 * F.median(F.abs(F.col("v") - F.col("_m")))).alias("sigma"))
+    mid = quantiles(values, list(keys), [0.5]).select(*keys, F.col("q")[0].alias("_m"))
+    far = values.join(mid, list(keys)).select(*keys, F.abs(F.col("v") - F.col("_m")).alias("v"))
+    return quantiles(far, list(keys), [0.5]).select(*keys, (1.4826 * F.col("q")[0]).alias("sigma"))
 
 
 def conformality(a: DataFrame, b: DataFrame, least: int = 16) -> DataFrame:

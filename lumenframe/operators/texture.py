@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenframe.operators.quantiles import quantiles
 from lumenframe.operators.raster import DS, gaussian, gradient, histogram, shape
 
 #: Side of the blocks that noise is looked at in.
@@ -28,7 +29,7 @@ def noise(img: DataFrame) -> DataFrame:
     sigma is the median absolute response of second differences, scaled. kind comes from the regression of the variance on
     the mean of 16 x 16 blocks: poisson (r2 above 0.6, rising), gaussian (below 0.4), mixed between, else unknown.
     """
-    sigma = second_differences(img).groupBy(DS).agg((F.median(F.abs("v")) / 0.6745 / math.sqrt(20)).alias("sigma"))
+    sigma = quantiles(second_differences(img).select(DS, F.abs("v").alias("v")), [DS], [0.5]).select(DS, (F.col("q")[0] / 0.6745 / math.sqrt(20)).alias("sigma"))
     level = img.groupBy(DS).agg(F.avg("v").alias("level"))
     at = [F.expr(f"({c} - 1) div {BLOCK}").alias(f"b{c}") for c in ("y", "x")]
     whole = img.join(shape(img), DS).where(f"y <= h div {BLOCK} * {BLOCK} AND x <= w div {BLOCK} * {BLOCK}")

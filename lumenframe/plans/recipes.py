@@ -1,4 +1,4 @@
-"""Recipes: JSON lists of {"op", "params"} over rasters, with typed parameters that are checked before anything runs."""
+"""Recipes: JSON lists of {"op", "params"} over rasters and spectral cubes, with typed parameters that are checked before anything runs."""
 
 from __future__ import annotations
 
@@ -8,15 +8,17 @@ from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lumenframe.operators import measure, raster
+from lumenframe.operators import measure, quantify, raster, spectral, texture
+from lumenframe.sources import tables
 
 FALSE_WORDS = {"false", "no", "0", "off", ""}
 
 
 @dataclass(frozen=True)
 class Param:
-    kind: type
+    kind: Callable[[Any], Any]
     default: Any = None
     least: float | None = None
     most: float | None = None
@@ -25,10 +27,12 @@ class Param:
     def coerce(self, name: str, value: Any) -> Any:
         if self.kind is bool and isinstance(value, str):
             value = value.strip().lower() not in FALSE_WORDS
+        if value is None:
+            raise ValueError(f"{name} is needed")
         try:
             value = self.kind(value)
         except (TypeError, ValueError) as e:
-            raise ValueError(f"{name}: {value!r} is no {self.kind.__name__}") from e
+            raise ValueError(f"{name}: {value!r} is no {self.kind.__name__.strip("_")}") from e
         if self.least is not None and value < self.least or self.most is not None and value > self.most:
             raise ValueError(f"{name}: {value} is out of range")
         if self.choices is not None and value not in self.choices:
@@ -41,14 +45,39 @@ class Op:
     run: Callable[..., DataFrame]
     params: dict[str, Param]
     produces: str = "image"
+    takes: str = "image"
 
 
+def _names(text: Any) -> list[str]:
+    """Elements from a list or a text with commas."""
+    out = [t.strip() for t in (text.split(",") if isinstance(text, str) else text)]
+    if not out or not all(out):
+        raise ValueError("no elements")
+    return out
+
+
+def _quantify(cube: DataFrame, elements: list[str], method: str, half_window: float, beam_kv: float, thickness: float, take_off: float) -> DataFrame:
+    maps = spectral.line_maps(cube, elements, beam_kv, half_window)
+    return spectral.cliff_lorimer(maps) if method == "cliff-lorimer" else quantify.zaf(maps, elements, thickness, take_off)
+
+
+def _totals(maps: DataFrame) -> DataFrame:
+    return maps.groupBy("ds_id", "symbol").agg(F.sum("v").alias("total"), F.max("v").alias("max"))
+
+
+CUBE = {"takes": "cube"}
+ELEMENTS = Param(_names)
+
 OPS: dict[str, Op] = {
     "gaussian": Op(raster.gaussian, {"sigma": Param(float, 1.0, 0)}),
     "median": Op(raster.median, {"window_size": Param(int, 3, choices=(3, 5, 7))}),
     "unsharp": Op(raster.unsharp, {"sigma": Param(float, 2.0, 0), "amount": Param(float, 1.0)}),
     "bin": Op(raster.bin_image, {"bin_size": Param(int, 2, 1), "mode": Param(str, "average", choices=("average", "sum"))}),
-    "plane_level": Op(raster.plane_level, {}),
+    "plane_level": Op(lambda img, order: raster.plane_level(img) if order == 1 else raster.quadratic_level(img), {"order": Param(int, 1, 1, 2)}),
+    "multiotsu": Op(lambda img, n_classes: texture.classify(img, texture.multi_otsu(img, n_classes)).withColumnRenamed("label", "v"), {"n_classes": Param(int, 3, 2, 4)}),
+    "crop": Op(raster.crop, {c: Param(int, None, 1) for c in ("r1", "c1", "r2", "c2")}),
+    "rotate": Op(raster.turn, {"degrees": Param(float)}),
+    "strip_databar": Op(raster.strip_bar, {"content_rows": Param(int, None, 1)}),
     "morph": Op(raster.morph, {"operation": Param(str, "open", choices=("open", "close", "erode", "dilate")), "radius": Param(int, 1, 0), "square": Param(bool, True)}),
     "rotate90": Op(lambda img: raster.rotate(img, 1), {}),
     "rotate180": Op(lambda img: raster.rotate(img, 2), {}),
@@ -59,6 +88,15 @@ OPS: dict[str, Op] = {
     "image_stats": Op(measure.image_stats, {}, "value"),
     "roughness": Op(measure.roughness, {"level": Param(bool, True)}, "value"),
     "radial_profile": Op(measure.radial_profile, {"n_bins": Param(int, 0, 0)}, "value"),
+    "noise": Op(texture.noise, {}, "value"),
+    "auto_window": Op(texture.auto_window, {}, "value"),
+    "eds_element_map": Op(lambda cube, e_lo, e_hi, bg, bg_width, bg_gap, e0_kev: spectral.element_map(cube, e_lo, e_hi, bg, bg_width or None, bg_gap, e0_kev or None), {"e_lo": Param(float), "e_hi": Param(float), "bg": Param(str, "linear", choices=("none", "linear", "bremsstrahlung")), "bg_width": Param(float, 0.0, 0), "bg_gap": Param(float, 0.0, 0), "e0_kev": Param(float, 0.0, 0)}, **CUBE),
+    "eels_map": Op(lambda cube, signal_lo, signal_hi, bg_lo, bg_hi, method: spectral.edge_map(cube, (signal_lo, signal_hi), (bg_lo, bg_hi) if bg_hi > bg_lo else None, method), {"signal_lo": Param(float), "signal_hi": Param(float), "bg_lo": Param(float, 0.0), "bg_hi": Param(float, 0.0), "method": Param(str, "powerlaw", choices=("powerlaw", "exponential"))}, **CUBE),
+    "sum_image": Op(spectral.raster_of, {}, **CUBE),
+    "eds_element_maps": Op(lambda cube, elements, half_window, bg, beam_kv: _totals(spectral.line_maps(cube, elements, beam_kv, half_window, bg)), {"elements": ELEMENTS, "half_window": Param(float, 0.085, 0), "bg": Param(str, "linear", choices=("none", "linear")), "beam_kv": Param(float, 200.0, 0)}, "value", **CUBE),
+    "eds_quantify": Op(_quantify, {"elements": ELEMENTS, "method": Param(str, "cliff-lorimer", choices=("cliff-lorimer", "zaf")), "half_window": Param(float, 0.085, 0), "beam_kv": Param(float, 200.0, 0), "thickness": Param(float, 100.0, 0), "take_off": Param(float, 20.0, 0.1, 89.9)}, "value", **CUBE),
+    "savgol": Op(lambda cube, window, polyorder: quantify.savgol(spectral.sum_spectrum(cube), window, polyorder), {"window": Param(int, 11, 1), "polyorder": Param(int, 3, 0)}, "value", **CUBE),
+    "savgol_derivative": Op(lambda cube, window, polyorder, order, delta: quantify.savgol(spectral.sum_spectrum(cube), window, polyorder, order, delta), {"window": Param(int, 11, 1), "polyorder": Param(int, 3, 0), "order": Param(int, 1, 1), "delta": Param(float, 1.0)}, "value", **CUBE),
     "otsu": Op(raster.otsu, {"bins": Param(int, 256, 2)}, "value"),
 }
 
@@ -83,13 +121,33 @@ def load(text: str) -> list[dict]:
     return steps
 
 
-def run(img: DataFrame, steps: list[dict]) -> tuple[DataFrame, list[tuple[str, DataFrame]]]:
-    """Apply steps: image steps chain, value steps look at the image so far. All are checked before the first one runs."""
+def check(steps: list[dict], first: str) -> list[tuple[dict, Op, dict[str, Any]]]:
+    """The steps with their operations; one that needs a cube after the image steps began is refused."""
+    kind, out = first, []
+    for s in steps:
+        op, params = resolve(s)
+        if op.takes != kind:
+            raise ValueError(f"{s['op']} needs a {op.takes}, not a {kind}")
+        kind = "image" if op.produces == "image" else kind
+        out.append((s, op, params))
+    return out
+
+
+def run(data: DataFrame, steps: list[dict]) -> tuple[DataFrame, list[tuple[str, DataFrame]]]:
+    """Apply steps to rasters or a cube: image steps chain, value steps look at the data so far. All are checked before the first one runs."""
     values = []
-    for step, (op, params) in [(s, resolve(s)) for s in steps]:
-        out = op.run(img, **params)
+    for step, op, params in check(steps, "cube" if "e" in data.columns else "image"):
+        out = op.run(data, **params)
         if op.produces == "image":
-            img = out
+            data = out
         else:
             values.append((step["op"], out))
-    return img, values
+    return data, values
+
+
+def save(data: DataFrame, values: list[tuple[str, DataFrame]], steps: list[dict], out: str) -> None:
+    """Outputs below a new folder: image (Parquet), a CSV folder for each value step by its number, and the steps that made them."""
+    data.write.parquet(f"{out}/image")
+    for i, (name, v) in enumerate(values):
+        tables.write_csv(v, f"{out}/{i:02d}-{name}")
+    data.sparkSession.createDataFrame([(json.dumps({"steps": steps}),)], "value string").coalesce(1).write.text(f"{out}/provenance")

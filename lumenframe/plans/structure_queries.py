@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenframe import adapters as A
-from lumenframe.operators import regions, spectral
+from lumenframe.operators import raster, regions, spectral
 from lumenframe.plans.registry import query, r, rounded
 
 MAP = lambda s, d: spectral.raster_of(A.cube(s, d))
@@ -51,3 +51,12 @@ query("tilted_distances", lambda s, d: regions.distances(A.segments(s, d), 52.0,
 # Lines
 query("defect_crossings", lambda s, d: regions.defect_crossings(A.pix(s, d), 8, 1.5), f", b AS (SELECT y, x, v > 1.5::DOUBLE * (SELECT avg(v) FROM pix) AS v FROM pix), q AS (SELECT v AND NOT coalesce(lag(v) OVER (PARTITION BY y ORDER BY x), false) AS u FROM b WHERE y % 8 = 0) SELECT count(*) FILTER (u) AS crossings, {r('2.0::DOUBLE * count(*) FILTER (u) / count(*)', 'density')} FROM q", "pix")
 query("longest_run", lambda s, d: regions.longest_run(A.pix(s, d), 150.0), "SELECT y, start, length FROM (SELECT y, min(x) AS start, count(*) AS length FROM (SELECT y, x, x - row_number() OVER (PARTITION BY y ORDER BY x) AS g FROM pix WHERE v > 150) GROUP BY y, g) QUALIFY row_number() OVER (PARTITION BY y ORDER BY length DESC, start) = 1", "pix")
+# Frames
+query("crop", lambda s, d: raster.crop(A.pix(s, d), 40, 60, 11, 21), f"SELECT y - 10 AS y, x - 20 AS x, {r('v')} FROM pix WHERE y BETWEEN 11 AND 40 AND x BETWEEN 21 AND 60", "pix")
+TURN = "a AS (SELECT y, x, greatest(1, least(64, round(cos(radians(12)) * (y - 32.5::DOUBLE) + sin(radians(12)) * (x - 48.5::DOUBLE) + 32.5::DOUBLE, 9))) AS sy, greatest(1, least(96, round(cos(radians(12)) * (x - 48.5::DOUBLE) - sin(radians(12)) * (y - 32.5::DOUBLE) + 48.5::DOUBLE, 9))) AS sx FROM pix), c AS (SELECT y, x, floor(sy)::INT + p AS yy, floor(sx)::INT + q AS xx, (CASE WHEN p = 1 THEN sy - floor(sy) ELSE floor(sy) + 1 - sy END) * (CASE WHEN q = 1 THEN sx - floor(sx) ELSE floor(sx) + 1 - sx END) AS k FROM a, range(2) u(p), range(2) w(q))"
+query("turn", lambda s, d: raster.turn(A.pix(s, d), 12.0), f", {TURN} SELECT c.y, c.x, {r('sum(k * v)', 'v')} FROM c JOIN pix p ON p.y = yy AND p.x = xx WHERE k > 0 GROUP BY c.y, c.x", "pix")
+QUAD = "t AS (SELECT y, x, v, x - 48.5::DOUBLE AS u, y - 32.5::DOUBLE AS w FROM pix), f AS (SELECT *, u * u - 9215 / 12.0::DOUBLE AS uu, w * w - 4095 / 12.0::DOUBLE AS ww FROM t), k AS (SELECT avg(v) AS k1, sum(u * v) / sum(u * u) AS ku, sum(w * v) / sum(w * w) AS kw, sum(uu * v) / sum(uu * uu) AS kuu, sum(ww * v) / sum(ww * ww) AS kww, sum(u * w * v) / sum(u * w * u * w) AS kuw FROM f)"
+query("quadratic_level", lambda s, d: raster.quadratic_level(A.pix(s, d)), f", {QUAD} SELECT y, x, {r('v - k1 - ku * u - kw * w - kuu * uu - kww * ww - kuw * u * w', 'v')} FROM f, k", "pix")
+query("cube_frames", lambda s, d: raster.explode_cube(A.cube(s, d)).select(F.col("ds_id").alias("frame"), "y", "x", "v"), "SELECT 'cube#' || ch AS frame, y, x, v FROM cube", "cube")
+LINE = "ln(symbol, lo, hi) AS (VALUES ('Si', 1.655::DOUBLE, 1.825::DOUBLE), ('Fe', 6.319::DOUBLE, 6.489::DOUBLE), ('Au', 9.713::DOUBLE - 0.085::DOUBLE, 9.8::DOUBLE)), z AS (SELECT y, x, symbol, v, e < lo AS l, e > hi AS r FROM cube JOIN ln ON e >= lo - 0.17::DOUBLE AND e <= hi + 0.17::DOUBLE WHERE symbol <> 'Au')"
+query("line_maps", lambda s, d: spectral.line_maps(A.cube(s, d), ["Si", "Fe", "Au", "Xx"], 200.0).drop("k", "mass"), f", {LINE} SELECT y, x, symbol, {r('greatest(0, coalesce(sum(v) FILTER (NOT l AND NOT r), 0) - coalesce((avg(v) FILTER (l) + avg(v) FILTER (r)) / 2, avg(v) FILTER (l OR r), 0) * count(*) FILTER (NOT l AND NOT r))', 'v')} FROM z GROUP BY y, x, symbol", "cube")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,14 +15,18 @@ RASTER = "ds_id string, y int, x int, v double"
 def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, steps: list[dict], seconds: int | None = None) -> StreamingQuery:
     """Write the resulting image of every new file's rasters below out; without seconds, what is there now and no more.
 
-    A batch's output folder is named by its number and overwritten on a retry, so each file counts once.
+    A batch's output folder is named by its number and overwritten on a retry, so each file counts once. A batch that a
+    recipe refuses or fails on doesn't stop the watch: its number and error go to out/_errors, and its files are done.
     """
     for s in steps:
         recipes.resolve(s)
 
     def one(batch: DataFrame, number: int) -> None:
-        img, _ = recipes.run(batch, steps)
-        img.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        try:
+            img, _ = recipes.run(batch, steps)
+            img.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        except (ValueError, PySparkException) as e:
+            spark.createDataFrame([(number, str(e)[:1000])], "batch long, error string").coalesce(1).write.mode("overwrite").json(f"{out}/_errors/batch={number}")
 
     w = spark.readStream.schema(RASTER).parquet(folder).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=f"{seconds} seconds") if seconds else w.trigger(availableNow=True)).start()
