@@ -61,12 +61,18 @@ def astm_number(diameter: Column, unit: Column) -> Column:
     return F.when(diameter > 0, -6.6439 * F.log2(diameter * mm) - 3.298)
 
 
+def snapped(a: str, b: str) -> Column:
+    """The covariance c, 0 where it is rounding error beside the variances a and b."""
+    return F.when(F.abs("c") < 1e-9 * (F.col(a) + F.col(b)), 0.0).otherwise(F.col("c"))
+
+
 def shape_moments(labels: DataFrame) -> DataFrame:
     """Ellipse of equal second moments per region: area, major and minor axis, eccentricity, orientation, aspect.
 
     Orientation is the angle from the row axis to the major one in radians; a minor axis of 0 has no aspect.
     """
     g = labels.where("label > 0").groupBy(DS, "label").agg(F.count("*").alias("area"), F.var_pop("y").alias("vy"), F.var_pop("x").alias("vx"), F.covar_pop("y", "x").alias("c"))
+    g = g.withColumn("c", snapped("vy", "vx"))
     mean, half = (F.col("vy") + F.col("vx")) / 2, F.sqrt(F.pow((F.col("vy") - F.col("vx")) / 2, F.lit(2)) + F.col("c") * F.col("c"))
     small = F.greatest(F.lit(0.0), mean - half)
     g = g.select("*", (4 * F.sqrt(mean + half)).alias("major"), (4 * F.sqrt(small)).alias("minor"))
@@ -92,6 +98,7 @@ def layer_slices(labels: DataFrame, layers: DataFrame, axis: str = "y", pixel_si
     whole = px.groupBy(DS, "label").agg(F.count("*").alias("whole"))
     g = px.join(layers, DS).where("d >= top AND d < bottom").groupBy(DS, "layer", "label")
     g = g.agg(F.count("*").alias("area"), (F.max("l") - F.min("l") + 1).alias("w"), (F.max("d") - F.min("d") + 1).alias("h"), F.avg("l").alias("centre_l"), F.avg("d").alias("centre_d"), F.var_pop("l").alias("vl"), F.var_pop("d").alias("vd"), F.covar_pop("l", "d").alias("c"))
+    g = g.withColumn("c", snapped("vl", "vd"))
     angle = F.abs(F.degrees(F.atan2(2 * F.col("c"), F.col("vl") - F.col("vd")) / 2))
     return g.join(whole, [DS, "label"]).select(DS, "layer", "label", "area", (F.col("w") * pixel_size).alias("width"), (F.col("h") * pixel_size).alias("height"), (F.col("w") / F.col("h")).alias("aspect"), F.when((F.col("c") == 0) & (F.col("vl") == F.col("vd")), 0.0).otherwise(angle).alias("angle"), "centre_l", "centre_d", (F.col("area") / F.col("whole")).alias("share"))
 
