@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.operators.measure import fraction_sigma
 from lumenframe.operators.spectral import K_LINES, LEAST, MASSES, PIXEL, _law, assign_lines, background, centroid, detect_peaks, within
+from lumenframe.operators.texture import band_profile
 
 # The elements in order of atomic number.
 ELEMENTS = (
@@ -68,6 +69,14 @@ def shares(maps: DataFrame) -> DataFrame:
     return t.select(*PIXEL, "symbol", "mass", (F.col("q") / F.col("qs")).alias("w"))
 
 
+def composition_profile(maps: DataFrame, x1: float, y1: float, x2: float, y2: float, width: int = 1) -> DataFrame:
+    """Atomic percent along a segment, over `width` parallel lines: ds_id, symbol, i, distance, atomic_pct. Pixels without counts leave gaps."""
+    a = F.col("w") / F.col("mass")
+    at = shares(maps).withColumn("v", 100 * a / F.sum(a).over(W.partitionBy(*PIXEL)))
+    lines = band_profile(at.select(F.struct("ds_id", "symbol").alias("ds_id"), "y", "x", "v"), x1, y1, x2, y2, width)
+    return lines.select("ds_id.ds_id", "ds_id.symbol", "i", "distance", F.col("v").alias("atomic_pct"))
+
+
 def _mean_shares(w: DataFrame) -> DataFrame:
     """Mean weight fractions per raster and element, summing to 1; one row per element of a raster."""
     m = w.groupBy("ds_id", "symbol").agg(F.avg("w").alias("w"))

@@ -59,6 +59,8 @@ query("zeta_absorption", lambda s, d: qf.zeta(PICK(s, d), ELEMENTS, [500.0, 605.
 query("zeta_thin", lambda s, d: qf.zeta(PICK(s, d), ELEMENTS, [500.0, 605.0, 900.0], DOSE, absorbing=False), _zeta_sql(0), "cube")
 SIGMA = f"{MAPS}, el AS (SELECT symbol, k, mass, sum(v) AS n FROM i GROUP BY symbol, k, mass), w AS (SELECT symbol, k * n AS q, k * k * n AS v, sum(k * n) OVER () AS s, sum(k * k * n) OVER () AS vs FROM el), a AS (SELECT symbol, k / mass * n AS q, (k / mass) ** 2 * n AS v, sum(k / mass * n) OVER () AS s, sum((k / mass) ** 2 * n) OVER () AS vs FROM el)"
 query("composition_sigma", lambda s, d: qf.composition_sigma(PICK(s, d)), f", {SIGMA} SELECT w.symbol, {r('100 * w.q / w.s', 'weight_pct')}, {r('100 * sqrt(((1 - w.q / w.s) ** 2 * w.v + (w.q / w.s) ** 2 * (w.vs - w.v)) / w.s ** 2)', 'weight_sigma')}, {r('100 * a.q / a.s', 'atomic_pct')}, {r('100 * sqrt(((1 - a.q / a.s) ** 2 * a.v + (a.q / a.s) ** 2 * (a.vs - a.v)) / a.s ** 2)', 'atomic_sigma')} FROM w JOIN a USING (symbol)", "cube")
+query("composition_profile", lambda s, d: qf.composition_profile(PICK(s, d), 3.0, 10.0, 20.0, 10.0), f", {MAPS}, a AS (SELECT y, x, symbol, 100 * (v * k / mass) / sum(v * k / mass) OVER (PARTITION BY y, x) AS a FROM i) SELECT symbol, x - 3 AS i, (x - 3)::DOUBLE AS distance, {r('a', 'atomic_pct')} FROM a WHERE y = 10 AND x BETWEEN 3 AND 20", "cube")
+query("composition_profile_wide", lambda s, d: qf.composition_profile(PICK(s, d), 3.0, 10.0, 20.0, 10.0, 3), f", {MAPS}, a AS (SELECT y, x, symbol, 100 * (v * k / mass) / sum(v * k / mass) OVER (PARTITION BY y, x) AS a FROM i) SELECT symbol, x - 3 AS i, (x - 3)::DOUBLE AS distance, {r('avg(a)', 'atomic_pct')} FROM a WHERE y BETWEEN 9 AND 11 AND x BETWEEN 3 AND 20 GROUP BY symbol, x", "cube")
 # The detector
 SLOPE = qf.FWHM**2 * qf.FANO * qf.PAIR_EV
 WIDTH = "sqrt(greatest(0, 16900.0::DOUBLE + " + repr(SLOPE) + "::DOUBLE * ({e} - 5.899::DOUBLE) * 1000))"
