@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenframe.operators.quantiles import blocks, quantiles
+from lumenframe.operators.quantiles import blocks, cumulated, quantiles
 from lumenframe.operators.raster import DS, finite, plane_level, shape
 
 
@@ -126,6 +126,61 @@ def fit_normal_lognormal(pop: DataFrame) -> DataFrame:
     return s.where("scale > 0").select("grp", "kind", "n", "loc", "scale", loglik.alias("loglik"), (4 - 2 * loglik).alias("aic"))
 
 
+def fit_weibull(pop: DataFrame, steps: int = 10) -> DataFrame:
+    """Maximum likelihood Weibull fit of the positive values per group: grp, kind, n, shape, scale, loglik, aic.
+
+    Newton's steps for the shape on the logarithms less their mean, each one an aggregate; values all equal have no fit.
+    """
+    t = pop.where(finite(F.col("v")) & (F.col("v") > 0)).select("grp", F.log("v").alias("t"))
+    s = t.groupBy("grp").agg(F.count("*").alias("n"), F.avg("t").alias("m"), F.stddev_pop("t").alias("sd")).where("sd > 1e-12")
+    z = t.join(s, "grp").select("grp", (F.col("t") - F.col("m")).alias("z"))
+    k = s.select("grp", "n", "m", (math.pi / math.sqrt(6) / F.col("sd")).alias("k"))
+    p = F.exp(F.col("k") * F.col("z"))
+    for _ in range(steps):
+        sums = z.join(k, "grp").groupBy("grp", "n", "m", "k").agg(F.sum(p).alias("s0"), F.sum(p * F.col("z")).alias("s1"), F.sum(p * F.col("z") * F.col("z")).alias("s2"))
+        mean = F.col("s1") / F.col("s0")
+        step = (mean - 1 / F.col("k")) / (F.col("s2") / F.col("s0") - mean * mean + 1 / (F.col("k") * F.col("k")))
+        k = sums.select("grp", "n", "m", F.greatest(F.col("k") - step, F.col("k") / 2).alias("k"))
+    out = z.join(k, "grp").groupBy("grp", "n", "m", "k").agg((F.log(F.avg(p)) / F.first("k")).alias("ls"))
+    loglik = F.col("n") * (F.log("k") - F.col("k") * (F.col("m") + F.col("ls")) + (F.col("k") - 1) * F.col("m") - 1)
+    return out.select("grp", F.lit("weibull").alias("kind"), "n", F.col("k").alias("shape"), F.exp(F.col("m") + F.col("ls")).alias("scale"), loglik.alias("loglik"), (4 - 2 * loglik).alias("aic"))
+
+
+def normal_cdf(z: Column) -> Column:
+    """Share of the standard normal distribution up to z, to 1e-7: the error function by a polynomial in 1 / (1 + p x)."""
+    x = F.abs(z) / math.sqrt(2)
+    u = 1 / (1 + 0.3275911 * x)  # fixed values: Abramowitz and Stegun 7.1.26
+    tail = u * (0.254829592 + u * (-0.284496736 + u * (1.421413741 + u * (-1.453152027 + u * 1.061405429)))) * F.exp(-x * x) / 2
+    return F.when(z < 0, tail).otherwise(1 - tail)
+
+
+def fit_all(pop: DataFrame, least: int = 8) -> DataFrame:
+    """Normal, lognormal and Weibull fits per group, their distance from the values and which one has the smallest AIC.
+
+    grp, kind, n, loc, scale, shape, loglik, aic, ks (largest distance of the cumulated shares), best. Lognormal loc and
+    scale are those of the logarithms. Groups of fewer than `least` values have no fit; those with values of 0 or below
+    only a normal one.
+    """
+    ok = pop.where(finite(F.col("v")))
+    all_ = ok.groupBy("grp").agg(F.count("*").alias("total"))
+    fits = fit_normal_lognormal(ok).withColumn("shape", F.lit(None).cast("double")).unionByName(fit_weibull(ok).withColumn("loc", F.lit(0.0)))
+    fits = fits.join(all_, "grp").where((F.col("total") >= least) & (F.col("n") == F.col("total"))).drop("total")
+    t = cumulated(ok, ["grp"]).join(fits.select("grp", "kind", "loc", "scale", "shape"), "grp")
+    v = F.col("v")
+    cdf = F.when(F.col("kind") == "weibull", 1 - F.exp(-F.pow(v / F.col("scale"), F.col("shape")))).otherwise(normal_cdf((F.when(F.col("kind") == "normal", v).otherwise(F.log(v)) - F.col("loc")) / F.col("scale")))
+    t = t.withColumn("c", cdf)
+    far = F.max(F.greatest(F.col("upto") / F.col("size") - F.col("c"), F.col("c") - (F.col("upto") - F.col("n")) / F.col("size")))
+    out = fits.join(t.groupBy("grp", "kind").agg(far.alias("ks")), ["grp", "kind"])
+    best = F.row_number().over(W.partitionBy("grp").orderBy("aic", "kind")) == 1
+    return out.select("grp", "kind", "n", "loc", "scale", "shape", "loglik", "aic", "ks", best.alias("best"))
+
+
+def r_squared(df: DataFrame, *keys: str) -> DataFrame:
+    """1 less the share of the variation of `actual` that `predicted` leaves, per group; 0 where actual is constant."""
+    left, all_ = F.sum(F.pow(F.col("actual") - F.col("predicted"), F.lit(2))), F.var_pop("actual") * F.count("*")
+    return df.groupBy(*keys).agg(F.when(all_ > 0, 1 - left / all_).otherwise(0.0).alias("r2"))
+
+
 def histogram_bins(pop: DataFrame, most: int = 200) -> DataFrame:
     """Freedman-Diaconis bins per group (square root rule without spread), last bin closed; only bins with values."""
     v = pop.where(finite(F.col("v")))

@@ -12,18 +12,30 @@ RANGES = 1024
 BLOCK = 65536
 
 
+def value_ranges(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Distinct finite values (keys, v, n, range), and ranges of values (keys, range, m rows, before, size of the group)."""
+    size = F.abs("v")
+    at = F.when(size > 0, F.signum("v") * (F.floor(F.log2(size) * RANGES) + 1200 * RANGES)).otherwise(0.0).cast("long")
+    t = df.groupBy(*keys, "v").agg(F.count("*").alias("n")).withColumn("range", at)
+    s = t.groupBy(*keys, "range").agg(F.sum("n").alias("m"))
+    all_ = W.partitionBy(*keys)
+    return t, s.select(*keys, "range", "m", (F.sum("m").over(all_.orderBy("range")) - F.col("m")).alias("before"), F.sum("m").over(all_).alias("size"))
+
+
+def cumulated(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct finite values of each group with their number and that of all up to them: keys, v, n, upto, size."""
+    t, s = value_ranges(df, keys)
+    run = F.sum("n").over(W.partitionBy(*keys, "range").orderBy("v"))
+    return t.withColumn("run", run).join(s, [*keys, "range"]).select(*keys, "v", "n", (F.col("before") + F.col("run")).alias("upto"), "size")
+
+
 def quantiles(df: DataFrame, keys: list[str], ps: list[float]) -> DataFrame:
     """Quantiles of type 7 of v per group: the keys and q, an array in the order of ps.
 
     Distinct values are counted, then ranges of values; prefix sums of these tell the range of each rank, and only such
     ranges are sorted. v must be finite; rows with a null key are left out, and a group without rows has none.
     """
-    size = F.abs("v")
-    at = F.when(size > 0, F.signum("v") * (F.floor(F.log2(size) * RANGES) + 1200 * RANGES)).otherwise(0.0).cast("long")
-    t = df.groupBy(*keys, "v").agg(F.count("*").alias("n")).withColumn("range", at)
-    s = t.groupBy(*keys, "range").agg(F.sum("n").alias("m"))
-    all_ = W.partitionBy(*keys)
-    s = s.select(*keys, "range", "m", (F.sum("m").over(all_.orderBy("range")) - F.col("m")).alias("before"), F.sum("m").over(all_).alias("size"))
+    t, s = value_ranges(df, keys)
     places = []
     for i, p in enumerate(ps):
         h = (F.col("size") - 1) * p

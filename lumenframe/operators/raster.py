@@ -35,13 +35,15 @@ def gaussian_kernel(sigma: float) -> list[float]:
 AXES = (("y", "x"), ("x", "y"))
 
 
-def gaussian(img: DataFrame, sigma: float = 1.0) -> DataFrame:
-    """Separable blur, half-width ceil(3 sigma), zero padding."""
+def gaussian(img: DataFrame, sigma: float = 1.0, replicate: bool = False) -> DataFrame:
+    """Separable blur, half-width ceil(3 sigma); places beyond the border count as 0, or with replicate as the nearest pixel."""
     k = gaussian_kernel(sigma)
     r = len(k) // 2
     for axis, other in AXES:
         w = W.partitionBy(DS, other).orderBy(axis)
-        taps = [F.lit(c) * F.coalesce(F.lag("v", i - r).over(w), F.lit(0.0)) for i, c in enumerate(k)]
+        whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        ends = {True: F.first("v").over(whole), False: F.last("v").over(whole)} if replicate else {True: F.lit(0.0), False: F.lit(0.0)}
+        taps = [F.lit(c) * F.coalesce(F.lag("v", i - r).over(w), ends[i > r]) for i, c in enumerate(k)]
         img = img.select(DS, "y", "x", sum(taps[1:], taps[0]).alias("v"))
     return img
 

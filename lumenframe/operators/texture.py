@@ -62,26 +62,47 @@ def growth_orientation(img: DataFrame, sigma: float = 3.0) -> DataFrame:
     return t.select(DS, F.when(flat, "y").otherwise("x").alias("axis"), F.degrees(layer).alias("tilt"), (F.hypot("c", "s") / (F.col("n") + 2.220446049250313e-16)).alias("coherence"))
 
 
-def multi_otsu(img: DataFrame, classes: int = 3, bins: int = 256) -> DataFrame:
-    """Thresholds of 2 to 4 classes: ds_id, t1, t2, ...; upper edges of the bins that part the classes best.
-
-    All choices of bins are joined per raster from its histogram, so their number depends on bins and classes alone.
-    """
-    if not 2 <= classes <= 4:
-        raise ValueError("classes must be 2 to 4")
+def _cuts(img: DataFrame, classes: int, bins: int, near: DataFrame | None = None) -> DataFrame:
+    """ds_id, b: the bins (b1, b2, ...) after which the classes are parted best; near: ds_id, f1, l1, f2, ..., the first and last bin of each."""
     up = W.partitionBy(DS).orderBy("bin")
     h = histogram(img, bins)
     h = h.select(DS, "bin", F.sum("n").over(up).cast("double").alias("w"), F.sum(F.col("n") * F.col("bin")).over(up).cast("double").alias("m"))
     end = h.where(F.col("bin") == bins - 1).select(DS, F.col("w").alias("we"), F.col("m").alias("me"))
     t, names = end.withColumn("w0", F.lit(0.0)).withColumn("m0", F.lit(0.0)).withColumn("b0", F.lit(-1)), []
+    if near is not None:
+        t = t.join(near, DS)
     gain = lambda m1, m0, w1, w0: F.coalesce(F.try_divide(F.pow(F.col(m1) - F.col(m0), F.lit(2)), F.col(w1) - F.col(w0)), F.lit(0.0))
     total = F.lit(0.0)
     for i in range(1, classes):
         names.append(f"b{i}")
-        t = t.join(h.select(DS, F.col("bin").alias(f"b{i}"), F.col("w").alias(f"w{i}"), F.col("m").alias(f"m{i}")), DS).where(F.col(f"b{i}") > F.col(f"b{i - 1}"))
+        after = F.col(f"b{i}") > F.col(f"b{i - 1}")
+        allowed = after if near is None else after & F.col(f"b{i}").between(F.col(f"f{i}"), F.col(f"l{i}"))
+        t = t.join(h.select(DS, F.col("bin").alias(f"b{i}"), F.col("w").alias(f"w{i}"), F.col("m").alias(f"m{i}")), DS).where(allowed)
         total = total + gain(f"m{i}", f"m{i - 1}", f"w{i}", f"w{i - 1}")
     total = F.round((total + gain("me", f"m{classes - 1}", "we", f"w{classes - 1}")) / F.col("we"), 9)
-    best = t.where(F.col(f"b{classes - 1}") < bins - 1).groupBy(DS).agg(F.max_by(F.struct(*names), F.struct(total, *[-F.col(n) for n in names])).alias("b"))
+    return t.where(F.col(f"b{classes - 1}") < bins - 1).groupBy(DS).agg(F.max_by(F.struct(*names), F.struct(total, *[-F.col(n) for n in names])).alias("b"))
+
+
+#: Bins of the first search for five classes.
+COARSE = 64
+
+
+def multi_otsu(img: DataFrame, classes: int = 3, bins: int = 256) -> DataFrame:
+    """Thresholds of 2 to 5 classes: ds_id, t1, t2, ...; upper edges of the bins that part the classes best.
+
+    All choices of bins are joined per raster from its histogram, so their number depends on bins and classes alone. Five
+    classes are parted in 64 bins first, then in the bins near those parts.
+    """
+    if not 2 <= classes <= 5:
+        raise ValueError("classes must be 2 to 5")
+    names, near = [f"b{i}" for i in range(1, classes)], None
+    if classes == 5:
+        far = max(2, 2 * round(bins / COARSE))
+        middle = {n: F.rint((F.col(f"b.{n}") + 0.5) * bins / COARSE).cast("int") for n in names}
+        first = [F.greatest(F.lit(0), m - far).alias(f"f{n[1:]}") for n, m in middle.items()]
+        last = [F.least(F.lit(bins - 4 + i), m + far).alias(f"l{n[1:]}") for i, (n, m) in enumerate(middle.items())]
+        near = _cuts(img, classes, COARSE).select(DS, *first, *last)
+    best = _cuts(img, classes, bins, near)
     ends = img.groupBy(DS).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     edge = lambda n: F.col("lo") + (F.col(f"b.{n}") + 1) * (F.col("hi") - F.col("lo")) / bins
     return best.join(ends, DS).select(DS, *[F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(edge(n)).alias(f"t{n[1:]}") for n in names])
@@ -156,6 +177,41 @@ def montage(stack: DataFrame, columns: int, gap: int = 0) -> DataFrame:
     return t.select(F.lit("montage").alias(DS), y.cast("int").alias("y"), (F.col("x") + F.col("n") % columns * (F.col("cw") + gap)).cast("int").alias("x"), "v")
 
 
+def clahe(img: DataFrame, clip_limit: float = 0.01, bins: int = 256, tiles: int = 8) -> DataFrame:
+    """Local equalisation: each of tiles x tiles has the cumulated histogram of its pixels, counts cut at clip_limit of the
+    tile (1 at least) and the excess spread over all bins; a pixel's value comes from the tiles whose centres lie around
+    it, bilinear. Values from 0 to 1; a constant raster becomes 0.
+    """
+    ends = img.groupBy(DS).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("y").alias("h"), F.max("x").alias("w"))
+    t = img.join(ends, DS).where("hi > lo")
+    t = t.withColumn("bin", F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (bins - 1) + 0.5).cast("int"))
+    for c, n, out in (("y", "h", "i"), ("x", "w", "j")):
+        t = t.withColumn(out, F.expr(f"cast(((2 * {c} - 1) * {tiles} - 1) div (2 * {n}) as int)"))
+    n = t.groupBy(DS, "i", "j", "bin").agg(F.count("*").alias("n"))
+    # A table of every bin of every tile; a tile without pixels (fewer rows than tiles) rises evenly.
+    spine = ends.where("hi > lo").select(DS, F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("i")).select(DS, "i", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("j"))
+    spine = spine.select(DS, "i", "j", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")).join(n, [DS, "i", "j", "bin"], "left")
+    tile = W.partitionBy(DS, "i", "j")
+    s = spine.select(DS, "i", "j", "bin", F.coalesce("n", F.lit(0)).alias("n")).withColumn("all", F.sum("n").over(tile))
+    most = F.greatest(F.lit(1.0), F.floor(clip_limit * F.col("all") + 0.5)) if clip_limit > 0 else F.col("all").cast("double")
+    s = s.withColumn("most", most).withColumn("excess", F.sum(F.greatest(F.lit(0.0), F.col("n") - F.col("most"))).over(tile))
+    upto = F.sum(F.least("n", F.col("most")) + F.col("excess") / bins).over(tile.orderBy("bin"))
+    table = s.select(DS, "i", "j", "bin", F.when(F.col("all") > 0, upto / F.col("all")).otherwise(F.col("bin") / float(bins - 1)).alias("u"))
+    sides = []
+    for c, n, at in (("y", "h", "i"), ("x", "w", "j")):
+        centre = lambda e, n=n: (F.floor(e * F.col(n) / tiles + 0.5) + F.floor((e + 1) * F.col(n) / tiles + 0.5) + 1) / 2
+        first = F.when(centre(F.col(at)) <= F.col(c), F.col(at)).otherwise(F.col(at) - 1)
+        lo = F.greatest(F.lit(0), first)
+        share = F.when((first >= 0) & (first < tiles - 1), (F.col(c) - centre(lo)) / (centre(lo + 1) - centre(lo))).otherwise(0.0)
+        sides.append((lo, share))
+    (i, wi), (j, wj) = sides
+    t = t.select(DS, "y", "x", "bin", i.alias("i0"), wi.alias("wi"), j.alias("j0"), wj.alias("wj"))
+    taps = [F.struct((F.col("i0") + a).alias("i"), (F.col("j0") + b).alias("j"), ((F.col("wi") if a else 1 - F.col("wi")) * (F.col("wj") if b else 1 - F.col("wj"))).alias("k")) for a in (0, 1) for b in (0, 1)]
+    t = t.select(DS, "y", "x", "bin", F.inline(F.array(*taps))).where("k > 0")
+    out = t.join(table, [DS, "i", "j", "bin"]).groupBy(DS, "y", "x").agg(F.sum(F.col("k") * F.col("u")).alias("v"))
+    return out.unionByName(img.join(ends.where("hi <= lo"), DS).select(DS, "y", "x", F.lit(0.0).alias("v")))
+
+
 def luma(rgb: DataFrame) -> DataFrame:
     """Grey of a colour raster (r, g, b) by the weights of Rec. 601."""
     return rgb.select(DS, "y", "x", (0.299 * F.col("r") + 0.587 * F.col("g") + 0.114 * F.col("b")).alias("v"))

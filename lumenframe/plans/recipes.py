@@ -74,7 +74,8 @@ OPS: dict[str, Op] = {
     "unsharp": Op(raster.unsharp, {"sigma": Param(float, 2.0, 0), "amount": Param(float, 1.0)}),
     "bin": Op(raster.bin_image, {"bin_size": Param(int, 2, 1), "mode": Param(str, "average", choices=("average", "sum"))}),
     "plane_level": Op(lambda img, order: raster.plane_level(img) if order == 1 else raster.quadratic_level(img), {"order": Param(int, 1, 1, 2)}),
-    "multiotsu": Op(lambda img, n_classes: texture.classify(img, texture.multi_otsu(img, n_classes)).withColumnRenamed("label", "v"), {"n_classes": Param(int, 3, 2, 4)}),
+    "multiotsu": Op(lambda img, n_classes: texture.classify(img, texture.multi_otsu(img, n_classes)).withColumnRenamed("label", "v"), {"n_classes": Param(int, 3, 2, 5)}),
+    "clahe": Op(texture.clahe, {"clip_limit": Param(float, 0.01, 0), "bins": Param(int, 256, 2)}),
     "crop": Op(raster.crop, {c: Param(int, None, 1) for c in ("r1", "c1", "r2", "c2")}),
     "rotate": Op(raster.turn, {"degrees": Param(float)}),
     "strip_databar": Op(raster.strip_bar, {"content_rows": Param(int, None, 1)}),
