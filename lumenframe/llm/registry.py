@@ -19,6 +19,9 @@ OPS = {
     "op8_hyperminhash_dedup": ("minhash", "OP8_SQL"),
     "op9_toxic_spans": ("toxicity", None),
     "op10_pack_sequences": ("packing", None),
+    "op11_line_dedup": ("lines", "OP11_SQL"),
+    "op12_periodic_runs": ("periods", "OP12_SQL"),
+    "op13_fill_in_middle": ("middle", "OP13_SQL"),
 }
 
 
