@@ -38,6 +38,12 @@ def pix_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lineitem_raster(spark, sf_dir, "pix_b", F.count("*"))
 
 
+def field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raster 128 wide of a pixel for each order, so its rows grow with the table."""
+    at = [F.expr("1 + o_orderkey div 128").cast("int").alias("y"), (1 + F.col("o_orderkey") % 128).cast("int").alias("x")]
+    return table(spark, sf_dir, "orders").select(F.lit("field").alias("ds_id"), *at, F.col("o_totalprice").cast("double").alias("v"))
+
+
 def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spectra of 64 channels over a grid 25 wide; values are whole numbers, so sums are exact."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("ch", "c"))
@@ -84,6 +90,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same views as SQL, for statements of expected results.
 VIEWS_SQL = {
     "pix": "SELECT g.y, g.x, coalesce(s.v, 0.0::DOUBLE) AS v FROM (SELECT a.y, b.x FROM range(1, 65) a(y), range(1, 97) b(x)) g LEFT JOIN (SELECT 1 + l_orderkey % 64 AS y, 1 + l_partkey % 96 AS x, sum(l_quantity)::DOUBLE AS v FROM lineitem GROUP BY ALL) s ON s.y = g.y AND s.x = g.x",
+    "field": "SELECT 1 + o_orderkey // 128 AS y, 1 + o_orderkey % 128 AS x, o_totalprice::DOUBLE AS v FROM orders",
     "pix_b": "SELECT g.y, g.x, coalesce(s.v, 0.0::DOUBLE) AS v FROM (SELECT a.y, b.x FROM range(1, 65) a(y), range(1, 97) b(x)) g LEFT JOIN (SELECT 1 + l_orderkey % 64 AS y, 1 + l_partkey % 96 AS x, count(*)::DOUBLE AS v FROM lineitem GROUP BY ALL) s ON s.y = g.y AND s.x = g.x",
     "cube": "SELECT 1 + vec_id // 25 AS y, 1 + vec_id % 25 AS x, ch, 0.1::DOUBLE + 0.15::DOUBLE * ch AS e, floor((embedding[ch + 1]::DOUBLE + 1) * 1000)::DOUBLE AS v FROM embeddings, range(64) r(ch)",
     "scan4d": "SELECT vec_id // 25 AS sy, vec_id % 25 AS sx, ch // 8 AS ky, ch % 8 AS kx, floor((embedding[ch + 1]::DOUBLE + 1) * 1000)::DOUBLE AS v FROM embeddings, range(64) r(ch)",

@@ -68,6 +68,18 @@ def radial_coverage(spark: SparkSession, height: int, width: int, cy: float, cx:
     return rings.join(n, "bin", "left").select("bin", ((F.col("bin") + 0.5) * step).alias("radius"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def coverage_of(scan: DataFrame, n_bins: int = 0) -> DataFrame:
+    """radial_coverage() of a scan's detector around the centre of mass of all its patterns; a scan without counts takes the middle."""
+    s = scan.agg((F.max("ky") + 1).alias("h"), (F.max("kx") + 1).alias("w"), F.try_divide(F.sum(F.col("ky") * F.col("v")), F.sum("v")).alias("cy"), F.try_divide(F.sum(F.col("kx") * F.col("v")), F.sum("v")).alias("cx")).first()
+    h, w = s["h"] or 1, s["w"] or 1
+    return radial_coverage(scan.sparkSession, h, w, (h - 1) / 2 if s["cy"] is None else s["cy"], (w - 1) / 2 if s["cx"] is None else s["cx"], n_bins)
+
+
+def shapes_of(scan: DataFrame, limit: int = 12) -> DataFrame:
+    """scan_shapes() of the number of a scan's patterns."""
+    return scan_shapes(scan.sparkSession, scan.select("sy", "sx").distinct().count(), limit)
+
+
 def scan_shapes(spark: SparkSession, n_frames: int, limit: int = 12) -> DataFrame:
     """At most limit factor pairs of a number of frames, squarest first, the taller of two before the wider.
 

@@ -37,22 +37,35 @@ def roi_stats(img: DataFrame, region: Column, pixel_size: float = 1.0) -> DataFr
     return img.where(region).groupBy(DS).agg(n.alias("n"), F.avg("v").alias("mean"), F.when(n == 1, 0.0).otherwise(F.stddev_samp("v")).alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), (n * (pixel_size * pixel_size)).alias("area"))
 
 
-def box_integrate(img: DataFrame, r1: int, c1: int, r2: int, c2: int) -> DataFrame:
-    """Sums along both axes of a box, in one pass by grouping sets: axis, at, v."""
+def box_integrate(img: DataFrame, r1: int, c1: int, r2: int, c2: int, reduce: str = "sum") -> DataFrame:
+    """Sums (or means) along both axes of a box, in one pass by grouping sets: axis, at (place in the raster), v."""
+    if reduce not in ("sum", "mean"):
+        raise ValueError("reduce must be sum or mean")
     box = img.where(in_rect(r1, c1, r2, c2))
-    sets = box.groupingSets([[F.col(DS), F.col("y")], [F.col(DS), F.col("x")]], DS, "y", "x").agg(F.sum("v").alias("v"))
+    sets = box.groupingSets([[F.col(DS), F.col("y")], [F.col(DS), F.col("x")]], DS, "y", "x").agg((F.sum if reduce == "sum" else F.avg)("v").alias("v"))
     return sets.select(DS, F.when(F.col("y").isNull(), "x").otherwise("y").alias("axis"), F.coalesce("y", "x").alias("at"), "v")
 
 
-def radial_profile(img: DataFrame, n_bins: int = 0) -> DataFrame:
-    """Mean, maximum, population deviation and number of pixels by radius to the corner; empty rings have no row."""
+def radial_profile(img: DataFrame, n_bins: int = 0, center_x: float | None = None, center_y: float | None = None, normalize: bool = False) -> DataFrame:
+    """Mean, maximum, population deviation and number of pixels by radius to the farthest corner; empty rings have no row.
+
+    The centre is the raster's by default, coordinates count from 1. normalize stretches means to 0 to 1 (deviations with them)
+    and maxima to 0 to 1, each 0 where all rings are equal.
+    """
     s = img.join(shape(img), DS)
-    cy, cx = F.col("h") / 2 + 0.5, F.col("w") / 2 + 0.5
+    cy = F.lit(float(center_y)) if center_y is not None else F.col("h") / 2 + 0.5
+    cx = F.lit(float(center_x)) if center_x is not None else F.col("w") / 2 + 0.5
     bins = F.lit(n_bins) if n_bins else F.expr("least(h, w) div 2")
-    corner = F.sqrt(F.pow(cx - 1, F.lit(2)) + F.pow(cy - 1, F.lit(2)))
+    corner = F.sqrt(F.pow(F.greatest(cx - 1, F.col("w") - cx), F.lit(2)) + F.pow(F.greatest(cy - 1, F.col("h") - cy), F.lit(2)))
     r = F.sqrt(F.pow(F.col("x") - cx, F.lit(2)) + F.pow(F.col("y") - cy, F.lit(2)))
     at = F.least(bins - 1, F.floor(r / (corner / bins))).cast("int")
-    return s.groupBy(DS, at.alias("bin")).agg(F.avg("v").alias("mean"), F.max("v").alias("max"), F.stddev_pop("v").alias("std"), F.count("*").alias("n"))
+    out = s.groupBy(DS, at.alias("bin")).agg(F.avg("v").alias("mean"), F.max("v").alias("max"), F.stddev_pop("v").alias("std"), F.count("*").alias("n"))
+    if not normalize:
+        return out
+    w = W.partitionBy(DS)
+    low, span = {c: F.min(c).over(w) for c in ("mean", "max")}, {c: F.max(c).over(w) - F.min(c).over(w) for c in ("mean", "max")}
+    to = lambda c, by, less: F.when(span[by] > 0, (F.col(c) - less) / span[by]).otherwise(0.0).alias(c)
+    return out.select(DS, "bin", to("mean", "mean", low["mean"]), to("max", "max", low["max"]), to("std", "mean", F.lit(0.0)), "n")
 
 
 def azimuthal(img: DataFrame, lo: float, hi: float, n_bins: int = 0) -> DataFrame:

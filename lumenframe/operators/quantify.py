@@ -49,14 +49,32 @@ def elements(spark: SparkSession, symbols: list[str]) -> DataFrame:
     return spark.createDataFrame([(s, float(Z.get(s, 1)), MASSES.get(s, 1.0), dense(s)) for s in symbols], "symbol string, z double, mass double, density double")
 
 
+# Energies (keV) of the K lines that absorption is known for.
+ABSORBED_KEV = {
+    "C": 0.277, "N": 0.392, "O": 0.525, "F": 0.677, "Na": 1.041, "Mg": 1.254, "Al": 1.487, "Si": 1.740, "P": 2.013, "S": 2.308,
+    "Cl": 2.622, "K": 3.314, "Ca": 3.692, "Ti": 4.511, "V": 4.952, "Cr": 5.415, "Mn": 5.899, "Fe": 6.404, "Co": 6.930, "Ni": 7.478,
+    "Cu": 8.048, "Zn": 8.639, "Ga": 9.252, "Ge": 9.886, "As": 10.544, "Sr": 14.165, "Y": 14.958, "Zr": 15.775, "Nb": 16.615,
+    "Mo": 17.479, "Ba": 32.194, "La": 33.442,
+}
+
+
 def absorption(emitter: str, absorber: str) -> float:
-    """Mass absorption (cm2/g) of the emitter's K line in the absorber; 100 for unknown elements."""
-    if emitter not in K_LINES or absorber not in MASSES or absorber not in Z:
+    """Mass absorption (cm2/g) of the emitter's K line in the absorber; 100 for emitters without a known one and unknown absorbers."""
+    if emitter not in ABSORBED_KEV or absorber not in MASSES or absorber not in Z:
         return 100.0
-    wavelength_cm = 12.398 / K_LINES[emitter] * 1e-8
+    wavelength_cm = 12.398 / ABSORBED_KEV[emitter] * 1e-8
     return 1e22 * Z[absorber] ** 4 * wavelength_cm**3 / MASSES[absorber]
 
 
+def absorption_pairs(found: DataFrame) -> DataFrame:
+    """absorption_table() of the elements found (ds_id, symbol) in each spectrum, those with a known emitter and absorber: ds_id, emitter, absorber, mac."""
+    rows = [(s, ABSORBED_KEV.get(s), float(Z[s]) if s in Z else None, MASSES.get(s)) for s in sorted({*ABSORBED_KEV, *MASSES})]
+    known = found.select("ds_id", "symbol").distinct().join(found.sparkSession.createDataFrame(rows, "symbol string, kev double, z double, mass double"), "symbol")
+    a = known.where("kev is not null").select("ds_id", F.col("symbol").alias("emitter"), "kev")
+    b = known.where("z is not null AND mass is not null").select("ds_id", F.col("symbol").alias("absorber"), "z", "mass")
+    return a.join(b, "ds_id").select("ds_id", "emitter", "absorber", F.expr("1e22D * z * z * z * z * power(12.398D / kev * 1e-8D, 3) / mass").alias("mac"))
+
+
 def absorption_table(spark: SparkSession, symbols: list[str]) -> DataFrame:
     """emitter, absorber, mac for all pairs of the asked elements."""
     return spark.createDataFrame([(a, b, absorption(a, b)) for a in symbols for b in symbols], "emitter string, absorber string, mac double")
@@ -69,11 +87,11 @@ def shares(maps: DataFrame) -> DataFrame:
     return t.select(*PIXEL, "symbol", "mass", (F.col("q") / F.col("qs")).alias("w"))
 
 
-def composition_profile(maps: DataFrame, x1: float, y1: float, x2: float, y2: float, width: int = 1) -> DataFrame:
-    """Atomic percent along a segment, over `width` parallel lines: ds_id, symbol, i, distance, atomic_pct. Pixels without counts leave gaps."""
+def composition_profile(maps: DataFrame, x1: float, y1: float, x2: float, y2: float, width: int = 1, points: int | None = None) -> DataFrame:
+    """Atomic percent along a segment, over `width` parallel lines, at `points` samples: ds_id, symbol, i, distance, atomic_pct. Pixels without counts leave gaps."""
     a = F.col("w") / F.col("mass")
     at = shares(maps).withColumn("v", 100 * a / F.sum(a).over(W.partitionBy(*PIXEL)))
-    lines = band_profile(at.select(F.struct("ds_id", "symbol").alias("ds_id"), "y", "x", "v"), x1, y1, x2, y2, width)
+    lines = band_profile(at.select(F.struct("ds_id", "symbol").alias("ds_id"), "y", "x", "v"), x1, y1, x2, y2, width, points=points)
     return lines.select("ds_id.ds_id", "ds_id.symbol", "i", "distance", F.col("v").alias("atomic_pct"))
 
 
@@ -230,7 +248,7 @@ def band(significance: Column) -> Column:
 def identify_elements(spectrum: DataFrame, tolerance: float = 0.15, half_window: float = 0.085) -> DataFrame:
     """Elements with a line at a peak: ds_id, symbol, energy, net, significance, band, relative (to the strongest, 0 to 1)."""
     near = assign_lines(detect_peaks(spectrum), tolerance)
-    best = near.groupBy("ds_id", "symbol").agg(F.min_by("energy", F.struct(F.abs(F.col("e") - F.col("energy")), "ch")).alias("energy"))
+    best = near.groupBy("ds_id", "symbol").agg(F.min_by("energy", F.struct(F.abs(F.col("e") - F.col("energy")), "ch", "energy")).alias("energy"))
     t = best.select("symbol", "energy").distinct()
     read = window_readout(spectrum, t.select(F.col("symbol").alias("id"), (F.col("energy") - half_window).alias("lo"), (F.col("energy") + half_window).alias("hi")))
     s = best.join(read.withColumnRenamed("id", "symbol"), ["ds_id", "symbol"])

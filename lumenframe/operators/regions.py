@@ -120,16 +120,6 @@ def depth_profile(img: DataFrame, axis: str = "y", reduce: str = "mean") -> Data
     return img.groupBy(DS, (F.col(axis) - 1).alias("i")).agg(agg("v").alias("v"))
 
 
-def interfaces(profile: DataFrame, sensitivity: float = 0.3) -> DataFrame:
-    """Local maxima of the profile's absolute slope of at least a share of the largest one: ds_id, i, slope."""
-    w = W.partitionBy(DS).orderBy("i")
-    before, after = F.lag("v").over(w), F.lead("v").over(w)
-    slope = F.abs(F.when(before.isNull(), after - F.col("v")).when(after.isNull(), F.col("v") - before).otherwise((after - before) / 2))
-    s = profile.select(DS, "i", slope.alias("slope"))
-    s = s.select("*", F.lag("slope").over(w).alias("a"), F.lead("slope").over(w).alias("b"), F.max("slope").over(W.partitionBy(DS)).alias("top"))
-    return s.where("slope > a AND slope >= b").where(F.col("slope") >= sensitivity * F.col("top")).select(DS, "i", "slope")
-
-
 def layers_between(found: DataFrame) -> DataFrame:
     """Layers from one interface to the next: ds_id, layer (from 0), top, bottom, thickness."""
     w = W.partitionBy(DS).orderBy("i")
@@ -137,18 +127,6 @@ def layers_between(found: DataFrame) -> DataFrame:
     return t.where("bottom is not null").withColumn("thickness", F.col("bottom") - F.col("top"))
 
 
-def trace_interface(img: DataFrame, position: float, window: int = 10) -> DataFrame:
-    """Per column, the depth of the steepest slope within the window around a position: ds_id, x, depth (from 0, refined by a parabola)."""
-    w = W.partitionBy(DS, "x").orderBy("y")
-    slope = F.abs(F.lead("v").over(w) - F.lag("v").over(w)) / 2
-    s = img.select(DS, "x", (F.col("y") - 1).alias("d"), slope.alias("g"))
-    s = s.select("*", F.lag("g").over(w.orderBy("d")).alias("g0"), F.lead("g").over(w.orderBy("d")).alias("g2")).where(F.abs(F.col("d") - position) <= window).where("g is not null")
-    best = s.groupBy(DS, "x").agg(F.max_by(F.struct("d", "g0", "g", "g2"), F.struct("g", -F.col("d"))).alias("b")).select(DS, "x", "b.*")
-    bend = F.col("g0") - 2 * F.col("g") + F.col("g2")
-    shift = F.when(bend < 0, F.greatest(F.lit(-0.5), F.least(F.lit(0.5), (F.col("g0") - F.col("g2")) / (2 * bend))))
-    return best.select(DS, "x", (F.col("d") + F.coalesce(shift, F.lit(0.0))).alias("depth"))
-
-
 def robust_sigma(values: DataFrame, *keys: str) -> DataFrame:
     """1.4826 times the median distance from the median of v, per key."""
     mid = quantiles(values, list(keys), [0.5]).select(*keys, F.col("q")[0].alias("_m"))
@@ -216,19 +194,3 @@ def distances(segments: DataFrame, tilt: float = 0.0, tilt_axis: str = "y", surf
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     far = F.hypot(dx, dy * k) if tilt_axis == "y" else F.hypot(dx * k, dy)
     return segments.select("*", (F.hypot(dx, dy) * pixel_size).alias("raw"), (far * pixel_size).alias("corrected"))
-
-
-def defect_crossings(img: DataFrame, every: int, factor: float) -> DataFrame:
-    """Rising edges of the pixels above factor times the mean along every `every`-th row, and their number per length of line."""
-    w = W.partitionBy(DS, "y").orderBy("x")
-    t = above(img, factor).where(F.col("y") % every == 0)
-    rise = ((F.col("v") > 0) & (F.coalesce(F.lag("v").over(w), F.lit(0.0)) == 0)).cast("int")
-    return t.select(DS, rise.alias("rise")).groupBy(DS).agg(F.sum("rise").alias("crossings"), (2 * F.sum("rise") / F.count("*")).alias("density"))
-
-
-def longest_run(img: DataFrame, level: float) -> DataFrame:
-    """The longest run of pixels above a level in each row that has one: ds_id, y, start, length (the first of equal ones)."""
-    w = W.partitionBy(DS, "y").orderBy("x")
-    on = img.where(F.col("v") > level).select(DS, "y", "x", (F.col("x") - F.row_number().over(w)).alias("island"))
-    runs = on.groupBy(DS, "y", "island").agg(F.min("x").alias("start"), F.count("*").alias("length"))
-    return runs.groupBy(DS, "y").agg(F.max_by(F.struct("start", "length"), F.struct("length", -F.col("start"))).alias("b")).select(DS, "y", "b.*")

@@ -60,9 +60,9 @@ def line_table(spark: SparkSession, symbols: list[str] | None = None) -> DataFra
     return spark.createDataFrame(rows, "symbol string, line string, energy double")
 
 
-def lines_in_range(spark: SparkSession, lo: float, hi: float, symbols: list[str] | None = None) -> DataFrame:
-    """Lines with an energy from lo to hi (in any order), both included."""
-    return line_table(spark, symbols).where(F.col("energy").between(min(lo, hi), max(lo, hi)))
+def lines_in_range(table: DataFrame, lo: float, hi: float) -> DataFrame:
+    """Lines of a line_table() with an energy from lo to hi (in any order), both included."""
+    return table.where(F.col("energy").between(min(lo, hi), max(lo, hi)))
 
 
 def principal_lines(table: DataFrame, beam_kv: float, least: float = 1.5) -> DataFrame:
@@ -219,16 +219,19 @@ def detect_peaks(spectrum: DataFrame, threshold: float = 0.05) -> DataFrame:
 
 
 def assign_lines(peaks: DataFrame, tolerance: float = 0.15) -> DataFrame:
-    """Lines within a tolerance of each peak, nearest first."""
-    near = peaks.join(F.broadcast(lines(peaks.sparkSession)), F.abs(F.col("e") - F.col("energy")) <= tolerance)
-    rank = F.row_number().over(W.partitionBy("ds_id", "ch").orderBy(F.abs(F.col("e") - F.col("energy")), "symbol"))
-    return near.select("ds_id", "ch", "e", "symbol", "energy", rank.alias("rank"))
+    """K, L and M lines within a tolerance of each peak, nearest first: ds_id, ch, e, symbol, line, energy, rank."""
+    near = peaks.join(F.broadcast(line_table(peaks.sparkSession)), F.abs(F.col("e") - F.col("energy")) <= tolerance)
+    rank = F.row_number().over(W.partitionBy("ds_id", "ch").orderBy(F.abs(F.col("e") - F.col("energy")), "symbol", "line"))
+    return near.select("ds_id", "ch", "e", "symbol", "line", "energy", rank.alias("rank"))
 
 
-def sum_artifacts(spark: SparkSession, symbols: list[str], e_max: float) -> DataFrame:
-    """Energies at which two photons count as one (unordered pairs), and silicon escape peaks (1.74 keV below the line)."""
-    a = lines(spark, symbols).select(F.col("symbol").alias("a"), F.col("energy").alias("ea"))
-    b = lines(spark, symbols).select(F.col("symbol").alias("b"), F.col("energy").alias("eb"))
+def sum_artifacts(of: DataFrame, e_max: float) -> DataFrame:
+    """Energies at which two photons of lines (symbol, energy), a bounded table, count as one, and silicon escape peaks.
+
+    Pairs are unordered; an escape peak lies 1.74 keV below its line.
+    """
+    a = of.select(F.col("symbol").alias("a"), F.col("energy").alias("ea"))
+    b = of.select(F.col("symbol").alias("b"), F.col("energy").alias("eb"))
     pairs = a.join(F.broadcast(b), F.col("a") <= F.col("b")).select("a", "b", F.lit("sum").alias("kind"), (F.col("ea") + F.col("eb")).alias("energy"))
     escape = a.where("ea > 1.839").select("a", F.lit(None).cast("string").alias("b"), F.lit("escape").alias("kind"), (F.col("ea") - 1.74).alias("energy"))
     return pairs.unionByName(escape).where(F.col("energy").between(0.2, e_max))

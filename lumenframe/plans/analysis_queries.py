@@ -26,7 +26,6 @@ def values(name: str, rows: list[tuple]) -> str:
 # Corrections
 MAC = values("mac(em, ab, mac)", [(a, b, qf.absorption(a, b)) for a in ELEMENTS for b in ELEMENTS])
 EL = values("el(symbol, z, density)", [(s, float(qf.Z[s]), qf.DENSITIES[s]) for s in ELEMENTS])
-query("absorption_table", lambda s, d: qf.absorption_table(s, ["Si", "Fe", "O", "Cu"]), "WITH " + ALL_LINES + ", " + values("m(ab, z, mass)", [(a, float(qf.Z[a]), spectral.MASSES[a]) for a in ("Si", "Fe", "O", "Cu")]) + f" SELECT t.symbol AS emitter, ab AS absorber, {r('1e22::DOUBLE * z ** 4 * (12.398::DOUBLE / energy * 1e-8::DOUBLE) ** 3 / mass', 'mac')} FROM t, m WHERE t.symbol IN ('Si', 'Fe', 'O', 'Cu')")
 
 
 def _zaf_sql(iterations: int, t: float, angle: float) -> str:
@@ -64,10 +63,8 @@ query("composition_profile_wide", lambda s, d: qf.composition_profile(PICK(s, d)
 # The detector
 SLOPE = qf.FWHM**2 * qf.FANO * qf.PAIR_EV
 WIDTH = "sqrt(greatest(0, 16900.0::DOUBLE + " + repr(SLOPE) + "::DOUBLE * ({e} - 5.899::DOUBLE) * 1000))"
-query("line_widths", lambda s, d: spectral.line_table(s).select("symbol", "line", qf.fano_fwhm(F.col("energy")).alias("fwhm")), "WITH " + values("t(symbol, line, energy)", [(s, n, e) for n, t in (("K", spectral.K_LINES), ("L", spectral.L_LINES), ("M", spectral.M_LINES)) for s, e in t.items()]) + f" SELECT symbol, line, {r(WIDTH.format(e='energy'), 'fwhm')} FROM t")
 FOUR = ["Si", "Fe", "O", "Cu"]
 NEAR = f"abs(a.energy - t.energy) < 2 * ({WIDTH.format(e='a.energy')} + {WIDTH.format(e='t.energy')}) / {qf.FWHM * 1000!r}::DOUBLE"
-query("artifacts_blocked", lambda s, d: qf.split_artifacts(spectral.sum_artifacts(s, FOUR, 12.0), spectral.lines(s, FOUR)), f"WITH {ALL_LINES}, u AS (SELECT * FROM t WHERE symbol IN ('Si', 'Fe', 'O', 'Cu')), a AS (SELECT a.symbol AS a, b.symbol AS b, 'sum' AS kind, a.energy + b.energy AS energy FROM u a JOIN u b ON a.symbol <= b.symbol WHERE a.energy + b.energy BETWEEN 0.2 AND 12 UNION ALL SELECT symbol, NULL, 'escape', energy - 1.74::DOUBLE FROM u WHERE energy > 1.839 AND energy - 1.74 BETWEEN 0.2 AND 12) SELECT a, b, kind, {r('energy')}, EXISTS (SELECT 1 FROM u t WHERE {NEAR}) AS blocked FROM a")
 CONT = "c AS (SELECT ch, e, v, CASE WHEN e < 9 THEN (9 - e) / e ELSE 0 END AS c, 1 / greatest(v, 1) AS w FROM u), a AS (SELECT greatest(0, sum(w * c * v) / sum(w * c * c)) AS amp FROM c WHERE e < 9 AND NOT (e BETWEEN 1.5 AND 2.2) AND NOT (e BETWEEN 6 AND 7))"
 query("continuum", lambda s, d: qf.continuum(SUM(s, d), 9.0, s.createDataFrame([(1.5, 2.2), (6.0, 7.0)], "lo double, hi double")), f", {SUM_SQL}, {CONT} SELECT ch, {r('e')}, {r('amp * c', 'continuum')}, {r('greatest(0, v - amp * c)', 'net')} FROM c, a", "cube")
 query("recalibrate", lambda s, d: qf.recalibrate(SUM(s, d), [1.74, 6.404, 3.692], 0.4), f", {SUM_SQL}, {values('an(anchor)', [(1.74,), (6.404,), (3.692,)])}, c AS (SELECT anchor, sum(e * v) / sum(v) AS centre FROM u JOIN an ON abs(e - anchor) <= 0.4::DOUBLE GROUP BY anchor) SELECT {r('regr_slope(anchor, centre)', 'gain')}, {r('regr_intercept(anchor, centre)', '\"offset\"')}, count(*) AS n FROM c", "cube")
@@ -80,11 +77,9 @@ query("window_readout", lambda s, d: qf.window_readout(SUM(s, d), s.createDataFr
 BAND = "CASE WHEN {s} >= 100 THEN 'strong' WHEN {s} >= 30 THEN 'clear' WHEN {s} >= 10 THEN 'weak' ELSE 'trace' END AS band"
 IDENT = f"{PEAKS}, {ALL_LINES.replace('t(symbol', 'ln(symbol')}, b AS (SELECT symbol, energy AS energy FROM p JOIN ln ON abs(e - energy) <= 0.15::DOUBLE GROUP BY symbol, energy), wn AS (SELECT symbol AS id, energy - 0.085::DOUBLE AS lo, energy + 0.085::DOUBLE AS hi FROM b)"
 IDENT = IDENT.replace(", b AS (SELECT ch, e, sum(v) OVER", ", bx AS (SELECT ch, e, sum(v) OVER").replace("FROM b WINDOW", "FROM bx WINDOW")
-query("identify_elements", lambda s, d: qf.identify_elements(SUM(s, d)), f", {IDENT}, {READ.format(src='s', win='wn')} SELECT id AS symbol, {r('energy')}, {r('net')}, {r('net / sigma', 'significance')}, {BAND.format(s='net / sigma')}, {r('greatest(0, least(1, net / max(net) OVER ()))', 'relative')} FROM ro JOIN b ON symbol = id", "cube")
 LWIN = [(s, e, e - 0.085, e + 0.085) for s, e in spectral.K_LINES.items()] + [(f"{s} L", e, e - 0.085, e + 0.085) for s, e in spectral.L_LINES.items()]
 OVER = "a.lo < b.hi AND b.lo < a.hi"
 CLOSE = f"abs(a.energy - b.energy) < {WIDTH.format(e='((a.energy + b.energy) / 2)')} / 1000"
-query("window_conflicts", lambda s, d: qf.window_conflicts(s.createDataFrame(LWIN, "id string, energy double, lo double, hi double")), f"WITH {values('w(id, energy, lo, hi)', LWIN)} SELECT a.id AS a, b.id AS b, {OVER} AS overlap, {CLOSE} AS close FROM w a JOIN w b ON a.id < b.id AND ({OVER} OR {CLOSE})")
 # Edges
 EDGES = [("X", "K", 4.0, 4.0, 6.0, 1.0, 3.5), ("Y", "L", 7.0, 7.0, 9.0, 4.5, 6.5)]
 EDGES_SQL = values("ed(element, shell, onset, s0, s1, b0, b1)", EDGES)
@@ -107,7 +102,6 @@ CORE = "l AS (SELECT y, x, element, e, v, e BETWEEN b0 AND b1 AS f, e BETWEEN s0
 EDGE_DF = lambda s: s.createDataFrame(EDGES, "element string, shell string, onset double, s0 double, s1 double, b0 double, b1 double")
 query("edge_quantify", lambda s, d: qf.edge_quantify(A.cube(s, d), EDGE_DF(s), 200.0, 10.0).drop("ratio"), f", {EDGES_SQL}, {_sigma_sql(200.0, 10.0)}, {CORE} SELECT y, x, element, {r('intensity')}, {r('coalesce(100 * ratio / nullif(sum(ratio) OVER (PARTITION BY y, x), 0), 0)', 'atomic_pct')} FROM rt", "cube")
 REAL = [("C", "K", 284.0, 284.0, 334.0, 0.0, 1.0), ("O", "K", 532.0, 532.0, 582.0, 0.0, 1.0), ("Fe", "L", 708.0, 708.0, 758.0, 0.0, 1.0)]
-query("cross_sections", lambda s, d: s.createDataFrame(REAL, "element string, shell string, onset double, s0 double, s1 double, b0 double, b1 double").select("element", (1e26 * qf.cross_section(F.col("shell"), F.col("onset"), F.col("s1") - F.col("s0"), 200.0, 10.0)).alias("sigma")), f"WITH {values('ed(element, shell, onset, s0, s1, b0, b1)', REAL)}, {_sigma_sql(200.0, 10.0)} SELECT element, {r('1e26::DOUBLE * sigma', 'sigma')} FROM sg")
 LAW1 = "p AS (SELECT regr_slope(ln(greatest(v, 2.220446049250313e-16)), ln(e)) AS m, regr_intercept(ln(greatest(v, 2.220446049250313e-16)), ln(e)) AS c FROM u WHERE e >= 1 AND e <= 3.5), sg AS (SELECT e, greatest(0, v - exp(c + m * ln(e))) AS s FROM u, p)"
 query("near_edge", lambda s, d: qf.near_edge(SUM(s, d), 4.0, (1.0, 3.5), (0.0, 3.0), 1.0), f", {SUM_SQL}, {LAW1} SELECT {r('e - 4', 'rel')}, {r('s / greatest(2.220446049250313e-16, (SELECT avg(s) FROM sg WHERE e BETWEEN 4 AND 5))', 'intensity')} FROM sg WHERE e BETWEEN 4 AND 7", "cube")
 EV = lambda s, d: SUM(s, d).select("ds_id", "ch", (F.col("e") * 100).alias("e"), "v")

@@ -81,8 +81,6 @@ for method, x in (("powerlaw", "ln(e)"), ("exponential", "e")):
 query("edge_map_direct", lambda s, d: spectral.edge_map(A.cube(s, d), (4.0, 6.0)), f"SELECT y, x, {r('sum(v)', 'v')} FROM cube WHERE e >= 4 AND e <= 6 GROUP BY y, x", "cube")
 KLM = "t(symbol, line, energy, edge) AS (VALUES " + ", ".join(f"('{s}', '{n}', {e}::DOUBLE, {e}::DOUBLE / {spectral.EDGE_SHARE[n]}::DOUBLE)" for n, t in (("K", spectral.K_LINES), ("L", spectral.L_LINES), ("M", spectral.M_LINES)) for s, e in t.items()) + ")"
 BEST = "p AS (SELECT symbol, line, energy FROM t QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ({kv} / edge >= 1.5) DESC, CASE WHEN {kv} / edge >= 1.5 THEN line END, {kv} / edge DESC, line) = 1)"
-query("principal_lines", lambda s, d: spectral.principal_lines(spectral.line_table(s), 15.0), f"WITH {KLM}, {BEST.format(kv=15)} SELECT symbol, line, {r('energy')} FROM p")
-query("lines_in_range", lambda s, d: spectral.lines_in_range(s, 2.5, 1.5), f"WITH {KLM} SELECT symbol, line, {r('energy')} FROM t WHERE energy BETWEEN 1.5 AND 2.5")
 query("element_windows", lambda s, d: spectral.element_windows(spectral.sum_spectrum(A.cube(s, d)), 200.0, ["Si", "Au", "Fe", "Xx", "Mo"]), f", {KLM}, {BEST.format(kv=200)}, x AS (SELECT min(e) AS e0, max(e) AS e1 FROM cube) SELECT s.symbol, line, {r('energy')}, {r('energy - 0.085::DOUBLE', 'lo')}, {r('energy + 0.085::DOUBLE', 'hi')}, CASE WHEN energy IS NULL THEN 'no line' WHEN energy < e0 OR energy > e1 THEN 'outside the axis' END AS reason FROM (VALUES ('Si'), ('Au'), ('Fe'), ('Xx'), ('Mo')) s(symbol) LEFT JOIN p USING (symbol), x", "cube")
 PARTS = "q AS (SELECT y, x, symbol, v AS q, sqrt(greatest(v, 0)) AS qs FROM i)"
 query("fraction_sigma", lambda s, d: measure.fraction_sigma(spectral.element_maps(A.cube(s, d), ELEMENTS).select("ds_id", "y", "x", "symbol", F.col("v").alias("q"), measure.poisson_sigma(F.col("v")).alias("q_sigma")), "ds_id", "y", "x"), f", {MAPS}, {PARTS}, t AS (SELECT *, sum(q) OVER p AS s, sum(qs * qs) OVER p AS vs, count(*) OVER p AS n FROM q WINDOW p AS (PARTITION BY y, x)) SELECT y, x, symbol, {r('q')}, {r('qs', 'q_sigma')}, CASE WHEN s > 0 THEN round(q / s, 5) + 0.0 END AS fraction, CASE WHEN s > 0 THEN CASE WHEN n = 1 THEN 0 ELSE round(100 * sqrt(((1 - q / s) ** 2 * qs * qs + (q / s) ** 2 * (vs - qs * qs)) / (s * s)), 5) + 0.0 END END AS fraction_sigma FROM t".replace(", t AS (SELECT *, sum(q)", ", tt AS (SELECT *, sum(q)").replace(" FROM t", " FROM tt"), "cube")
@@ -90,8 +88,6 @@ query("thickness_map", lambda s, d: spectral.thickness_map(A.cube(s, d), (0.0, 2
 PEAKS = "s AS (SELECT ch, e, sum(v) AS v FROM cube GROUP BY ch, e), b AS (SELECT ch, e, sum(v) OVER (ORDER BY ch ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3 AS h FROM s), c AS (SELECT *, lag(h) OVER w AS h0, lead(h) OVER w AS h1, max(h) OVER () AS top FROM b WINDOW w AS (ORDER BY ch)), p AS (SELECT ch, e, h FROM c WHERE h > h0 AND h > h1 AND h >= 0.05::DOUBLE * top)"
 query("detect_peaks", lambda s, d: spectral.detect_peaks(spectral.sum_spectrum(A.cube(s, d))), f", {PEAKS} SELECT ch, {r('e')}, {r('h', 'height')} FROM p", "cube")
 ALL_LINES = "t(symbol, energy) AS (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in spectral.K_LINES.items()) + ")"
-query("assign_lines", lambda s, d: spectral.assign_lines(spectral.detect_peaks(spectral.sum_spectrum(A.cube(s, d)))), f", {PEAKS}, {ALL_LINES} SELECT ch, {r('e')}, symbol, {r('energy')}, row_number() OVER (PARTITION BY ch ORDER BY abs(e - energy), symbol)::INT AS rank FROM p JOIN t ON abs(e - energy) <= 0.15::DOUBLE", "cube")
-query("sum_artifacts", lambda s, d: spectral.sum_artifacts(s, ["Si", "Fe", "O", "Cu"], 12.0), f"WITH {ALL_LINES}, u AS (SELECT * FROM t WHERE symbol IN ('Si', 'Fe', 'O', 'Cu')) SELECT a.symbol AS a, b.symbol AS b, 'sum' AS kind, {r('a.energy + b.energy', 'energy')} FROM u a JOIN u b ON a.symbol <= b.symbol WHERE a.energy + b.energy BETWEEN 0.2 AND 12 UNION ALL SELECT symbol, NULL, 'escape', round(energy - 1.74::DOUBLE, 5) + 0.0 FROM u WHERE energy > 1.839 AND energy - 1.74 BETWEEN 0.2 AND 12")
 query("anchor_centroids", lambda s, d: spectral.centroid(spectral.sum_spectrum(A.cube(s, d)), [1.74, 6.404], 0.4), f", s AS (SELECT e, sum(v) AS v FROM cube GROUP BY e) SELECT {r('anchor')}, {r('sum(e * v) / sum(v)', 'centre')} FROM s JOIN (VALUES (1.74::DOUBLE), (6.404::DOUBLE)) a(anchor) ON abs(e - anchor) <= 0.4::DOUBLE GROUP BY anchor", "cube")
 # 4D scans
 query("virtual_bright_field", lambda s, d: fourd.virtual_detector(A.scan4d(s, d), fourd.aperture(3.5, 3.5, 0.0, 2.5)), f"SELECT sy, sx, {r('sum(v) FILTER ((ky - 3.5::DOUBLE) ** 2 + (kx - 3.5::DOUBLE) ** 2 <= 6.25)', 'v')} FROM scan4d GROUP BY sy, sx", "scan4d")
@@ -102,9 +98,7 @@ query("pattern_center", lambda s, d: fourd.pattern_center(A.scan4d(s, d)), f", m
 query("com_shift", lambda s, d: fourd.com_shift(A.scan4d(s, d), 3.5, 3.5), f"SELECT sy, sx, {r('sum(ky * v) / sum(v) - 3.5::DOUBLE', 'dy')}, {r('sum(kx * v) / sum(v) - 3.5::DOUBLE', 'dx')} FROM scan4d GROUP BY sy, sx", "scan4d")
 DPC = "c AS (SELECT sy, sx, 2 * (sum(ky * v) / sum(v) - 3.5::DOUBLE) AS fy, 2 * (sum(kx * v) / sum(v) - 3.5::DOUBLE) AS fx FROM scan4d GROUP BY sy, sx), g AS (SELECT *, lag(fy) OVER a AS y0, lead(fy) OVER a AS y1, lag(fx) OVER b AS x0, lead(fx) OVER b AS x1 FROM c WINDOW a AS (PARTITION BY sx ORDER BY sy), b AS (PARTITION BY sy ORDER BY sx))"
 query("dpc_maps", lambda s, d: fourd.dpc(fourd.com_shift(A.scan4d(s, d), 3.5, 3.5), 2.0), f", {DPC} SELECT sy, sx, {r('fy')}, {r('fx')}, {r('sqrt(fy * fy + fx * fx)', 'magnitude')}, {r('atan2(fy, fx)', 'direction')}, {r('coalesce(CASE WHEN y0 IS NULL THEN y1 - fy WHEN y1 IS NULL THEN fy - y0 ELSE (y1 - y0) / 2 END, 0) + coalesce(CASE WHEN x0 IS NULL THEN x1 - fx WHEN x1 IS NULL THEN fx - x0 ELSE (x1 - x0) / 2 END, 0)', 'divergence')} FROM g", "scan4d")
-query("radial_coverage", lambda s, d: fourd.radial_coverage(s, 128, 96, 63.5, 47.5), f"WITH w AS (SELECT sqrt(63.5::DOUBLE ** 2 + 47.5::DOUBLE ** 2) / 48 AS w), n AS (SELECT least(47, floor(sqrt((ky - 63.5::DOUBLE) ** 2 + (kx - 47.5::DOUBLE) ** 2) / w))::INT AS bin, count(*) AS n FROM range(128) a(ky), range(96) b(kx), w GROUP BY 1) SELECT i::INT AS bin, {r('(i + 0.5::DOUBLE) * w', 'radius')}, coalesce(n, 0) AS n FROM range(48) u(i) LEFT JOIN n ON n.bin = i, w")
 SHAPES = "WITH f AS (SELECT i AS \"rows\", 5040 // i AS cols FROM range(1, 5041) t(i) WHERE 5040 % i = 0), g AS (SELECT *, row_number() OVER (ORDER BY greatest(\"rows\", cols), \"rows\" DESC)::INT AS rank FROM f)"
-query("scan_shapes", lambda s, d: fourd.scan_shapes(s, 5040, 12), f"{SHAPES} SELECT * FROM g WHERE rank < 12 UNION ALL SELECT \"rows\", cols, 12 FROM g WHERE \"rows\" = 1")
 
 
 def _events(s: SparkSession, d: str) -> DataFrame:
@@ -119,7 +113,7 @@ query("windowed_events", _events, f"SELECT strftime(date_trunc('hour', ts), '%Y-
 
 def _load() -> None:
     """The other modules of queries register theirs when they are imported."""
-    from lumenframe.plans import analysis_queries, compare_queries, crystal_queries, point_queries, structure_queries  # noqa: F401
+    from lumenframe.plans import analysis_queries, compare_queries, crystal_queries, point_queries, region_queries, structure_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -11,7 +11,6 @@ from lumenframe.plans.registry import query, r, rounded
 
 # Equalisation: tiles of 8 x 12 pixels, counts cut at floor(0.05 * 96 + 0.5) = 5
 CLAHE = "e AS (SELECT min(v) AS lo, max(v) AS hi FROM pix), b AS (SELECT y, x, floor((v - lo) / (hi - lo) * 255 + 0.5::DOUBLE)::INT AS bin, (y - 1) // 8 AS i, (x - 1) // 12 AS j FROM pix, e), tl AS (SELECT i, j, bin, count(*) AS n FROM b GROUP BY i, j, bin), ex AS (SELECT i, j, sum(greatest(n - 5, 0)) AS excess FROM tl GROUP BY i, j), lut AS (SELECT i, j, k, (coalesce(sum(least(n, 5)) FILTER (bin <= k), 0) + (k + 1) * any_value(excess) / 256.0::DOUBLE) / 96 AS u FROM tl JOIN ex USING (i, j), range(256) q(k) GROUP BY i, j, k), wt AS (SELECT y, x, bin, p.i, q.j, greatest(0, 1 - abs(least(7, greatest(0, (y - 4.5::DOUBLE) / 8)) - p.i)) * greatest(0, 1 - abs(least(7, greatest(0, (x - 6.5::DOUBLE) / 12)) - q.j)) AS w FROM b, range(8) p(i), range(8) q(j))"
-query("clahe", lambda s, d: texture.clahe(A.pix(s, d), 0.05), f", {CLAHE} SELECT y, x, {r('sum(w * u)', 'v')} FROM wt JOIN lut ON lut.i = wt.i AND lut.j = wt.j AND k = bin WHERE w > 0 GROUP BY y, x", "pix")
 
 # Five classes: all choices in 64 bins, then those within 8 bins of these in 256
 PARTS = "{h} AS MATERIALIZED (SELECT b, coalesce(n, 0) AS n FROM range({n}) q(b) LEFT JOIN (SELECT least({n} - 1, floor((v - lo) / ((hi - lo) / {n})))::INT AS b, count(*) AS n FROM pix, e GROUP BY 1) USING (b)), {h}c AS MATERIALIZED (SELECT b, (sum(n) OVER o)::DOUBLE AS w, (sum(n * b) OVER o)::DOUBLE AS m FROM {h} WINDOW o AS (ORDER BY b)), {h}f AS MATERIALIZED (SELECT i.b AS a, j.b AS b, CASE WHEN j.w > i.w THEN (j.m - i.m) ** 2 / (j.w - i.w) ELSE 0 END AS g FROM (SELECT * FROM {h}c UNION ALL SELECT -1, 0, 0) i, {h}c j WHERE j.b > i.b), {h}b AS MATERIALIZED (SELECT p.b AS b1, q.b AS b2, r.b AS b3, s.b AS b4 FROM {h}f p JOIN {h}f q ON q.a = p.b JOIN {h}f r ON r.a = q.b JOIN {h}f s ON s.a = r.b JOIN {h}f t ON t.a = s.b{near} WHERE p.a = -1 AND t.b = {n} - 1 ORDER BY round((p.g + q.g + r.g + s.g + t.g) / 6144, 9) DESC, 1, 2, 3, 4 LIMIT 1)"

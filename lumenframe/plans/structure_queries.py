@@ -33,12 +33,8 @@ for name, agg in (("mean", "avg(v)"), ("sum", "sum(v)"), ("median", "quantile_co
     query(f"depth_profile_{name}", lambda s, d, n=name: regions.depth_profile(A.pix(s, d), "y", n), f"SELECT y - 1 AS i, {r(agg, 'v')} FROM pix GROUP BY y", "pix")
 FOUND = "p AS (SELECT y - 1 AS i, avg(v) AS v FROM pix GROUP BY y), q AS (SELECT i, abs(CASE WHEN lag(v) OVER w IS NULL THEN lead(v) OVER w - v WHEN lead(v) OVER w IS NULL THEN v - lag(v) OVER w ELSE (lead(v) OVER w - lag(v) OVER w) / 2 END) AS slope FROM p WINDOW w AS (ORDER BY i)), f AS (SELECT i, slope FROM q QUALIFY slope > lag(slope) OVER (ORDER BY i) AND slope >= lead(slope) OVER (ORDER BY i) AND slope >= 0.3::DOUBLE * max(slope) OVER ())"
 IFACES = lambda s, d: regions.interfaces(regions.depth_profile(A.pix(s, d)), 0.3)
-query("interfaces", IFACES, f", {FOUND} SELECT i, {r('slope')} FROM f", "pix")
-query("layers_between", lambda s, d: regions.layers_between(IFACES(s, d)), f", {FOUND}, n AS (SELECT (row_number() OVER w - 1)::INT AS layer, i::DOUBLE AS top, (lead(i) OVER w)::DOUBLE AS bottom FROM f WINDOW w AS (ORDER BY i)) SELECT *, bottom - top AS thickness FROM n WHERE bottom IS NOT NULL", "pix")
 TRACE = "sl_{n} AS (SELECT x, y - 1 AS d, abs(lead(v) OVER w - lag(v) OVER w) / 2 AS g FROM pix WINDOW w AS (PARTITION BY x ORDER BY y)), nb_{n} AS (SELECT *, lag(g) OVER w AS g0, lead(g) OVER w AS g2 FROM sl_{n} WINDOW w AS (PARTITION BY x ORDER BY d)), tr_{n} AS (SELECT x, d + CASE WHEN g0 - 2 * g + g2 < 0 THEN greatest(-0.5::DOUBLE, least(0.5::DOUBLE, (g0 - g2) / (2 * (g0 - 2 * g + g2)))) ELSE 0 END AS depth FROM nb_{n} WHERE abs(d - {p}) <= 8 AND g IS NOT NULL QUALIFY row_number() OVER (PARTITION BY x ORDER BY g DESC, d) = 1)"
 T1, T2 = TRACE.format(n=1, p=20), TRACE.format(n=2, p=45)
-query("trace_interface", lambda s, d: regions.trace_interface(A.pix(s, d), 20.0, 8), f", {T1} SELECT x, {r('depth')} FROM tr_1", "pix")
-query("conformality", lambda s, d: regions.conformality(regions.trace_interface(A.pix(s, d), 20.0, 8), regions.trace_interface(A.pix(s, d), 45.0, 8)), f", {T1}, {T2} SELECT count(*) AS n, {r('corr(a.depth, b.depth)', 'r')} FROM tr_1 a JOIN tr_2 b USING (x)", "pix")
 query("robust_sigma", lambda s, d: regions.robust_sigma(A.traces(s, d), "user_id"), f", m AS (SELECT user_id, quantile_cont(v, 0.5) AS m FROM traces GROUP BY user_id) SELECT user_id, {r('1.4826::DOUBLE * quantile_cont(abs(v - m), 0.5)', 'sigma')} FROM traces JOIN m USING (user_id) GROUP BY user_id", "traces")
 # Outlines and lengths
 STEPS = "st AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM rings WINDOW w AS (PARTITION BY ring ORDER BY i))"
@@ -49,8 +45,6 @@ KASA = "c AS (SELECT ring % 40 AS ring, x, y FROM rings), o AS (SELECT ring, avg
 query("circle_fit", lambda s, d: regions.circle_fit(CIRCLES(s, d)), f", {KASA} SELECT ring, n, {r('cx')}, {r('cy')}, {r('radius')}, {r('sqrt(avg((sqrt((x - cx) ** 2 + (y - cy) ** 2) - radius) ** 2))', 'rms')} FROM c JOIN f USING (ring) GROUP BY ring, n, cx, cy, radius", "rings")
 query("tilted_distances", lambda s, d: regions.distances(A.segments(s, d), 52.0, "y").select("id", "raw", "corrected"), f"SELECT id, {r('sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)', 'raw')}, {r('sqrt((x2 - x1) ** 2 + ((y2 - y1) / sin(radians(52))) ** 2)', 'corrected')} FROM segments", "segments")
 # Lines
-query("defect_crossings", lambda s, d: regions.defect_crossings(A.pix(s, d), 8, 1.5), f", b AS (SELECT y, x, v > 1.5::DOUBLE * (SELECT avg(v) FROM pix) AS v FROM pix), q AS (SELECT v AND NOT coalesce(lag(v) OVER (PARTITION BY y ORDER BY x), false) AS u FROM b WHERE y % 8 = 0) SELECT count(*) FILTER (u) AS crossings, {r('2.0::DOUBLE * count(*) FILTER (u) / count(*)', 'density')} FROM q", "pix")
-query("longest_run", lambda s, d: regions.longest_run(A.pix(s, d), 150.0), "SELECT y, start, length FROM (SELECT y, min(x) AS start, count(*) AS length FROM (SELECT y, x, x - row_number() OVER (PARTITION BY y ORDER BY x) AS g FROM pix WHERE v > 150) GROUP BY y, g) QUALIFY row_number() OVER (PARTITION BY y ORDER BY length DESC, start) = 1", "pix")
 # Frames
 query("crop", lambda s, d: raster.crop(A.pix(s, d), 40, 60, 11, 21), f"SELECT y - 10 AS y, x - 20 AS x, {r('v')} FROM pix WHERE y BETWEEN 11 AND 40 AND x BETWEEN 21 AND 60", "pix")
 TURN = "a AS (SELECT y, x, greatest(1, least(64, round(cos(radians(12)) * (y - 32.5::DOUBLE) + sin(radians(12)) * (x - 48.5::DOUBLE) + 32.5::DOUBLE, 9))) AS sy, greatest(1, least(96, round(cos(radians(12)) * (x - 48.5::DOUBLE) - sin(radians(12)) * (y - 32.5::DOUBLE) + 48.5::DOUBLE, 9))) AS sx FROM pix), c AS (SELECT y, x, floor(sy)::INT + p AS yy, floor(sx)::INT + q AS xx, (CASE WHEN p = 1 THEN sy - floor(sy) ELSE floor(sy) + 1 - sy END) * (CASE WHEN q = 1 THEN sx - floor(sx) ELSE floor(sx) + 1 - sx END) AS k FROM a, range(2) u(p), range(2) w(q))"
