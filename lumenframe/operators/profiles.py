@@ -10,7 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.operators.raster import DS
+from lumenframe.operators.raster import DS, finite
+from lumenframe.session import materialize
 
 
 def kernel(sigma: float, truncate: float = 4.0) -> list[float]:
@@ -20,6 +21,11 @@ def kernel(sigma: float, truncate: float = 4.0) -> list[float]:
     return [k / sum(w) for k in w]
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def _folded(i: Column, n: Column) -> Column:
     """A place beyond an end as the place that mirrors it (the end itself comes twice)."""
     m = F.pmod(i, 2 * n)
@@ -45,8 +51,8 @@ def slope_line(a: Column) -> Column:
 
 def steep_line(a: Column, sigma: float) -> Column:
     """Absolute slopes of a line, blurred first where sigma is above 0."""
-    blurred = blur_line(a, sigma) if sigma > 0 else a
-    return F.transform(slope_line(blurred), lambda g: F.abs(g))
+    slopes = lambda b: F.transform(slope_line(b), lambda g: F.abs(g))
+    return let(blur_line(a, sigma), slopes) if sigma > 0 else slopes(a)
 
 
 def apart(peaks: Column, distance: int) -> Column:
@@ -54,10 +60,9 @@ def apart(peaks: Column, distance: int) -> Column:
 
     Of equally high ones the later goes first.
     """
-    ranked = F.array_sort(peaks, lambda p, q: F.when(p["h"] > q["h"], -1).when(p["h"] < q["h"], 1).otherwise(q["i"] - p["i"]))
-    none = F.filter(peaks, lambda p: F.lit(False))
-    kept = F.aggregate(ranked, none, lambda k, p: F.when(F.exists(k, lambda o: F.abs(o["i"] - p["i"]) < distance), k).otherwise(F.concat(k, F.array(p))))
-    return F.array_sort(kept)
+    ranked = lambda some: F.array_sort(some, lambda p, q: F.when(p["h"] > q["h"], -1).when(p["h"] < q["h"], 1).otherwise(q["i"] - p["i"]))
+    kept = lambda some: F.aggregate(ranked(some), F.filter(some, lambda p: F.lit(False)), lambda k, p: F.when(F.exists(k, lambda o: F.abs(o["i"] - p["i"]) < distance), k).otherwise(F.concat(k, F.array(p))))
+    return F.array_sort(let(peaks, kept))
 
 
 def peaks_of(g: Column, least: Column, distance: int) -> Column:
@@ -170,14 +175,10 @@ def clean_trace(trace: DataFrame, order: int = 1, threshold: float = 3.0, rounds
     Points farther from the fit than threshold times 1.4826 times the median distance don't count for the next fit; the
     rounds end when the same points are kept. Depths that aren't finite are never kept and have no residual.
     """
-    from lumenframe.operators.quantiles import quantiles
-    from lumenframe.operators.raster import finite
-    from lumenframe.session import materialize
-
     if order not in (0, 1, 2):
         raise ValueError("order must be 0, 1 or 2")
     by = list(keys)
-    t = trace.select(*by, "x", "depth", (F.col("depth").isNotNull() & finite(F.col("depth"))).alias("kept"))
+    t = materialize(trace.select(*by, "x", "depth"), "trace").select(*by, "x", "depth", (F.col("depth").isNotNull() & finite(F.col("depth"))).alias("kept"))
     good, before = F.col("depth").isNotNull() & finite(F.col("depth")), None
     for _ in range(rounds + 1):
         if order == 2:
@@ -195,9 +196,10 @@ def clean_trace(trace: DataFrame, order: int = 1, threshold: float = 3.0, rounds
         if n == before:
             break
         before = n
-        mid = quantiles(res.where("kept").select(*by, F.col("residual").alias("v")), by, [0.5]).select(*by, F.col("q")[0].alias("m"))
+        # A trace has a point for each line of a raster, so its median is one of a bounded group.
+        mid = res.where("kept").groupBy(*by).agg(F.percentile("residual", 0.5).alias("m"))
         off = res.join(mid, by, "left")
-        far = quantiles(off.where("kept").select(*by, F.abs(F.col("residual") - F.col("m")).alias("v")), by, [0.5]).select(*by, (1.4826 * F.col("q")[0]).alias("s"))
+        far = off.where("kept").groupBy(*by).agg((1.4826 * F.percentile(F.abs(F.col("residual") - F.col("m")), 0.5)).alias("s"))
         off = off.join(far, by, "left")
         t = off.select(*by, "x", "depth", (good & ((F.col("s") <= 0) & F.col("kept") | (F.abs(F.col("residual") - F.col("m")) <= threshold * F.col("s")))).alias("kept"))
     return res

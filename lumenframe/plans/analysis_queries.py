@@ -63,8 +63,6 @@ query("composition_profile_wide", lambda s, d: qf.composition_profile(PICK(s, d)
 # The detector
 SLOPE = qf.FWHM**2 * qf.FANO * qf.PAIR_EV
 WIDTH = "sqrt(greatest(0, 16900.0::DOUBLE + " + repr(SLOPE) + "::DOUBLE * ({e} - 5.899::DOUBLE) * 1000))"
-FOUR = ["Si", "Fe", "O", "Cu"]
-NEAR = f"abs(a.energy - t.energy) < 2 * ({WIDTH.format(e='a.energy')} + {WIDTH.format(e='t.energy')}) / {qf.FWHM * 1000!r}::DOUBLE"
 CONT = "c AS (SELECT ch, e, v, CASE WHEN e < 9 THEN (9 - e) / e ELSE 0 END AS c, 1 / greatest(v, 1) AS w FROM u), a AS (SELECT greatest(0, sum(w * c * v) / sum(w * c * c)) AS amp FROM c WHERE e < 9 AND NOT (e BETWEEN 1.5 AND 2.2) AND NOT (e BETWEEN 6 AND 7))"
 query("continuum", lambda s, d: qf.continuum(SUM(s, d), 9.0, s.createDataFrame([(1.5, 2.2), (6.0, 7.0)], "lo double, hi double")), f", {SUM_SQL}, {CONT} SELECT ch, {r('e')}, {r('amp * c', 'continuum')}, {r('greatest(0, v - amp * c)', 'net')} FROM c, a", "cube")
 query("recalibrate", lambda s, d: qf.recalibrate(SUM(s, d), [1.74, 6.404, 3.692], 0.4), f", {SUM_SQL}, {values('an(anchor)', [(1.74,), (6.404,), (3.692,)])}, c AS (SELECT anchor, sum(e * v) / sum(v) AS centre FROM u JOIN an ON abs(e - anchor) <= 0.4::DOUBLE GROUP BY anchor) SELECT {r('regr_slope(anchor, centre)', 'gain')}, {r('regr_intercept(anchor, centre)', '\"offset\"')}, count(*) AS n FROM c", "cube")
@@ -77,9 +75,6 @@ query("window_readout", lambda s, d: qf.window_readout(SUM(s, d), s.createDataFr
 BAND = "CASE WHEN {s} >= 100 THEN 'strong' WHEN {s} >= 30 THEN 'clear' WHEN {s} >= 10 THEN 'weak' ELSE 'trace' END AS band"
 IDENT = f"{PEAKS}, {ALL_LINES.replace('t(symbol', 'ln(symbol')}, b AS (SELECT symbol, energy AS energy FROM p JOIN ln ON abs(e - energy) <= 0.15::DOUBLE GROUP BY symbol, energy), wn AS (SELECT symbol AS id, energy - 0.085::DOUBLE AS lo, energy + 0.085::DOUBLE AS hi FROM b)"
 IDENT = IDENT.replace(", b AS (SELECT ch, e, sum(v) OVER", ", bx AS (SELECT ch, e, sum(v) OVER").replace("FROM b WINDOW", "FROM bx WINDOW")
-LWIN = [(s, e, e - 0.085, e + 0.085) for s, e in spectral.K_LINES.items()] + [(f"{s} L", e, e - 0.085, e + 0.085) for s, e in spectral.L_LINES.items()]
-OVER = "a.lo < b.hi AND b.lo < a.hi"
-CLOSE = f"abs(a.energy - b.energy) < {WIDTH.format(e='((a.energy + b.energy) / 2)')} / 1000"
 # Edges
 EDGES = [("X", "K", 4.0, 4.0, 6.0, 1.0, 3.5), ("Y", "L", 7.0, 7.0, 9.0, 4.5, 6.5)]
 EDGES_SQL = values("ed(element, shell, onset, s0, s1, b0, b1)", EDGES)
@@ -101,7 +96,6 @@ def _sigma_sql(e0: float, beta: float) -> str:
 CORE = "l AS (SELECT y, x, element, e, v, e BETWEEN b0 AND b1 AS f, e BETWEEN s0 AND s1 AS g FROM cube JOIN ed ON e BETWEEN b0 AND b1 OR e BETWEEN s0 AND s1), q AS (SELECT y, x, element, regr_slope(ln(greatest(v, 2.220446049250313e-16)), ln(e)) AS m, regr_intercept(ln(greatest(v, 2.220446049250313e-16)), ln(e)) AS c FROM l WHERE f GROUP BY y, x, element), n AS (SELECT y, x, element, e, greatest(0, v - exp(c + m * ln(e))) AS s FROM l JOIN q USING (y, x, element) WHERE g), tz AS (SELECT y, x, element, (lead(e) OVER w - e) * (lead(s) OVER w + s) / 2 AS a FROM n WINDOW w AS (PARTITION BY y, x, element ORDER BY e)), iy AS (SELECT y, x, element, coalesce(sum(a), 0) AS intensity FROM tz GROUP BY y, x, element), rt AS (SELECT *, intensity / sigma AS ratio FROM iy JOIN sg USING (element))"
 EDGE_DF = lambda s: s.createDataFrame(EDGES, "element string, shell string, onset double, s0 double, s1 double, b0 double, b1 double")
 query("edge_quantify", lambda s, d: qf.edge_quantify(A.cube(s, d), EDGE_DF(s), 200.0, 10.0).drop("ratio"), f", {EDGES_SQL}, {_sigma_sql(200.0, 10.0)}, {CORE} SELECT y, x, element, {r('intensity')}, {r('coalesce(100 * ratio / nullif(sum(ratio) OVER (PARTITION BY y, x), 0), 0)', 'atomic_pct')} FROM rt", "cube")
-REAL = [("C", "K", 284.0, 284.0, 334.0, 0.0, 1.0), ("O", "K", 532.0, 532.0, 582.0, 0.0, 1.0), ("Fe", "L", 708.0, 708.0, 758.0, 0.0, 1.0)]
 LAW1 = "p AS (SELECT regr_slope(ln(greatest(v, 2.220446049250313e-16)), ln(e)) AS m, regr_intercept(ln(greatest(v, 2.220446049250313e-16)), ln(e)) AS c FROM u WHERE e >= 1 AND e <= 3.5), sg AS (SELECT e, greatest(0, v - exp(c + m * ln(e))) AS s FROM u, p)"
 query("near_edge", lambda s, d: qf.near_edge(SUM(s, d), 4.0, (1.0, 3.5), (0.0, 3.0), 1.0), f", {SUM_SQL}, {LAW1} SELECT {r('e - 4', 'rel')}, {r('s / greatest(2.220446049250313e-16, (SELECT avg(s) FROM sg WHERE e BETWEEN 4 AND 5))', 'intensity')} FROM sg WHERE e BETWEEN 4 AND 7", "cube")
 EV = lambda s, d: SUM(s, d).select("ds_id", "ch", (F.col("e") * 100).alias("e"), "v")

@@ -98,7 +98,6 @@ query("pattern_center", lambda s, d: fourd.pattern_center(A.scan4d(s, d)), f", m
 query("com_shift", lambda s, d: fourd.com_shift(A.scan4d(s, d), 3.5, 3.5), f"SELECT sy, sx, {r('sum(ky * v) / sum(v) - 3.5::DOUBLE', 'dy')}, {r('sum(kx * v) / sum(v) - 3.5::DOUBLE', 'dx')} FROM scan4d GROUP BY sy, sx", "scan4d")
 DPC = "c AS (SELECT sy, sx, 2 * (sum(ky * v) / sum(v) - 3.5::DOUBLE) AS fy, 2 * (sum(kx * v) / sum(v) - 3.5::DOUBLE) AS fx FROM scan4d GROUP BY sy, sx), g AS (SELECT *, lag(fy) OVER a AS y0, lead(fy) OVER a AS y1, lag(fx) OVER b AS x0, lead(fx) OVER b AS x1 FROM c WINDOW a AS (PARTITION BY sx ORDER BY sy), b AS (PARTITION BY sy ORDER BY sx))"
 query("dpc_maps", lambda s, d: fourd.dpc(fourd.com_shift(A.scan4d(s, d), 3.5, 3.5), 2.0), f", {DPC} SELECT sy, sx, {r('fy')}, {r('fx')}, {r('sqrt(fy * fy + fx * fx)', 'magnitude')}, {r('atan2(fy, fx)', 'direction')}, {r('coalesce(CASE WHEN y0 IS NULL THEN y1 - fy WHEN y1 IS NULL THEN fy - y0 ELSE (y1 - y0) / 2 END, 0) + coalesce(CASE WHEN x0 IS NULL THEN x1 - fx WHEN x1 IS NULL THEN fx - x0 ELSE (x1 - x0) / 2 END, 0)', 'divergence')} FROM g", "scan4d")
-SHAPES = "WITH f AS (SELECT i AS \"rows\", 5040 // i AS cols FROM range(1, 5041) t(i) WHERE 5040 % i = 0), g AS (SELECT *, row_number() OVER (ORDER BY greatest(\"rows\", cols), \"rows\" DESC)::INT AS rank FROM f)"
 
 
 def _events(s: SparkSession, d: str) -> DataFrame:
@@ -113,7 +112,7 @@ query("windowed_events", _events, f"SELECT strftime(date_trunc('hour', ts), '%Y-
 
 def _load() -> None:
     """The other modules of queries register theirs when they are imported."""
-    from lumenframe.plans import analysis_queries, compare_queries, crystal_queries, point_queries, region_queries, structure_queries  # noqa: F401
+    from lumenframe.plans import analysis_queries, compare_queries, crystal_queries, point_queries, region_queries, structure_queries, table_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

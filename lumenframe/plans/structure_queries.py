@@ -31,10 +31,6 @@ query("layer_slices", lambda s, d: regions.layer_slices(A.region_labels(s, d), B
 query("layer_summary", lambda s, d: regions.layer_summary(A.region_labels(s, d), BANDS(s), "y", 0.5), f", {BANDS_SQL}, z AS (SELECT layer, count(*) AS pixels FROM px GROUP BY layer), a AS (SELECT layer, count(*) AS grains, sum(area)::BIGINT AS area, avg(width) AS mean_width, avg(height) AS mean_height, avg(aspect) AS mean_aspect, avg(angle) AS mean_angle, count(*) FILTER (share < 0.999) AS crossing FROM g GROUP BY layer) SELECT layer, {r('(bottom - top) * 0.5::DOUBLE', 'thickness')}, coalesce(pixels, 0) AS pixels, coalesce(grains, 0) AS grains, {r('coalesce(grains::DOUBLE / pixels, 0)', 'density')}, {r('coalesce(area::DOUBLE / pixels, 0)', 'occupied')}, " + ", ".join(r(f"coalesce({c}, 0)", c) for c in ("mean_width", "mean_height", "mean_aspect", "mean_angle")) + ", coalesce(crossing, 0) AS crossing FROM b LEFT JOIN z USING (layer) LEFT JOIN a USING (layer)", "region_labels")
 for name, agg in (("mean", "avg(v)"), ("sum", "sum(v)"), ("median", "quantile_cont(v, 0.5)")):
     query(f"depth_profile_{name}", lambda s, d, n=name: regions.depth_profile(A.pix(s, d), "y", n), f"SELECT y - 1 AS i, {r(agg, 'v')} FROM pix GROUP BY y", "pix")
-FOUND = "p AS (SELECT y - 1 AS i, avg(v) AS v FROM pix GROUP BY y), q AS (SELECT i, abs(CASE WHEN lag(v) OVER w IS NULL THEN lead(v) OVER w - v WHEN lead(v) OVER w IS NULL THEN v - lag(v) OVER w ELSE (lead(v) OVER w - lag(v) OVER w) / 2 END) AS slope FROM p WINDOW w AS (ORDER BY i)), f AS (SELECT i, slope FROM q QUALIFY slope > lag(slope) OVER (ORDER BY i) AND slope >= lead(slope) OVER (ORDER BY i) AND slope >= 0.3::DOUBLE * max(slope) OVER ())"
-IFACES = lambda s, d: regions.interfaces(regions.depth_profile(A.pix(s, d)), 0.3)
-TRACE = "sl_{n} AS (SELECT x, y - 1 AS d, abs(lead(v) OVER w - lag(v) OVER w) / 2 AS g FROM pix WINDOW w AS (PARTITION BY x ORDER BY y)), nb_{n} AS (SELECT *, lag(g) OVER w AS g0, lead(g) OVER w AS g2 FROM sl_{n} WINDOW w AS (PARTITION BY x ORDER BY d)), tr_{n} AS (SELECT x, d + CASE WHEN g0 - 2 * g + g2 < 0 THEN greatest(-0.5::DOUBLE, least(0.5::DOUBLE, (g0 - g2) / (2 * (g0 - 2 * g + g2)))) ELSE 0 END AS depth FROM nb_{n} WHERE abs(d - {p}) <= 8 AND g IS NOT NULL QUALIFY row_number() OVER (PARTITION BY x ORDER BY g DESC, d) = 1)"
-T1, T2 = TRACE.format(n=1, p=20), TRACE.format(n=2, p=45)
 query("robust_sigma", lambda s, d: regions.robust_sigma(A.traces(s, d), "user_id"), f", m AS (SELECT user_id, quantile_cont(v, 0.5) AS m FROM traces GROUP BY user_id) SELECT user_id, {r('1.4826::DOUBLE * quantile_cont(abs(v - m), 0.5)', 'sigma')} FROM traces JOIN m USING (user_id) GROUP BY user_id", "traces")
 # Outlines and lengths
 STEPS = "st AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM rings WINDOW w AS (PARTITION BY ring ORDER BY i))"
@@ -44,7 +40,6 @@ CIRCLES = lambda s, d: A.rings(s, d).select((F.col("ring") % 40).alias("ring"),
 KASA = "c AS (SELECT ring % 40 AS ring, x, y FROM rings), o AS (SELECT ring, avg(x) AS mx, avg(y) AS my, count(*) AS n FROM c GROUP BY ring), u AS (SELECT ring, mx, my, n, x - mx AS u, y - my AS w FROM c JOIN o USING (ring)), m AS (SELECT ring, any_value(mx) AS mx, any_value(my) AS my, any_value(n) AS n, avg(u * u) AS uu, avg(w * w) AS ww, avg(u * w) AS uw, avg(u * (u * u + w * w)) AS uq, avg(w * (u * u + w * w)) AS wq FROM u GROUP BY ring), k AS (SELECT *, (uq * ww - wq * uw) / (2 * (uu * ww - uw * uw)) AS a, (wq * uu - uq * uw) / (2 * (uu * ww - uw * uw)) AS b FROM m), f AS (SELECT ring, n, mx + a AS cx, my + b AS cy, sqrt(a * a + b * b + uu + ww) AS radius FROM k)"
 query("circle_fit", lambda s, d: regions.circle_fit(CIRCLES(s, d)), f", {KASA} SELECT ring, n, {r('cx')}, {r('cy')}, {r('radius')}, {r('sqrt(avg((sqrt((x - cx) ** 2 + (y - cy) ** 2) - radius) ** 2))', 'rms')} FROM c JOIN f USING (ring) GROUP BY ring, n, cx, cy, radius", "rings")
 query("tilted_distances", lambda s, d: regions.distances(A.segments(s, d), 52.0, "y").select("id", "raw", "corrected"), f"SELECT id, {r('sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)', 'raw')}, {r('sqrt((x2 - x1) ** 2 + ((y2 - y1) / sin(radians(52))) ** 2)', 'corrected')} FROM segments", "segments")
-# Lines
 # Frames
 query("crop", lambda s, d: raster.crop(A.pix(s, d), 40, 60, 11, 21), f"SELECT y - 10 AS y, x - 20 AS x, {r('v')} FROM pix WHERE y BETWEEN 11 AND 40 AND x BETWEEN 21 AND 60", "pix")
 TURN = "a AS (SELECT y, x, greatest(1, least(64, round(cos(radians(12)) * (y - 32.5::DOUBLE) + sin(radians(12)) * (x - 48.5::DOUBLE) + 32.5::DOUBLE, 9))) AS sy, greatest(1, least(96, round(cos(radians(12)) * (x - 48.5::DOUBLE) - sin(radians(12)) * (y - 32.5::DOUBLE) + 48.5::DOUBLE, 9))) AS sx FROM pix), c AS (SELECT y, x, floor(sy)::INT + p AS yy, floor(sx)::INT + q AS xx, (CASE WHEN p = 1 THEN sy - floor(sy) ELSE floor(sy) + 1 - sy END) * (CASE WHEN q = 1 THEN sx - floor(sx) ELSE floor(sx) + 1 - sx END) AS k FROM a, range(2) u(p), range(2) w(q))"
