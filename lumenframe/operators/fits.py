@@ -326,7 +326,7 @@ def fit_peaks(cube: DataFrame, elements: list[str], keys: tuple[str, ...] = ("ds
         unit = float(p.area(np.array([[1.0, *p.start[1:]]]))[0])
         sigma = F.when(F.lit(center_tol > 0), F.abs(area) * share).otherwise(F.col("errors")[first + i * wide] * unit)
         rows.append(F.struct(F.lit(p.name).alias("symbol"), F.lit(line).alias("line"), F.lit(energy).alias("energy"), area.alias("net"), sigma.alias("net_sigma")))
-    return got.select(*keys, "chi2", F.explode(F.array(*rows)).alias("p")).select(*keys, "p.*", "chi2")
+    return got.select(*keys, "chi2", F.explode(F.array(*rows)).alias("_part")).select(*keys, "_part.*", "chi2")
 
 
 def quantify_peaks(cube: DataFrame, elements: list[str], keys: tuple[str, ...] = ("ds_id",), **how) -> DataFrame:
@@ -363,7 +363,7 @@ def fit_edges(cube: DataFrame, edges: list[tuple[str, str, float]], e0_kv: float
     got = fit_spectra(spectra_rows(cube, *keys), [law, *edge_parts(edges, axis, e0_kv, beta_mrad)], weights, span)
     total = F.aggregate(F.slice("params", 3, len(edges)), F.lit(0.0), lambda a, b: a + b)
     rows = [F.struct(F.lit(s).alias("element"), F.col("params")[2 + i].alias("amount"), F.col("errors")[2 + i].alias("amount_sigma"), F.coalesce(100 * F.try_divide(F.col("params")[2 + i], total), F.lit(0.0)).alias("atomic_pct")) for i, (s, _, _) in enumerate(edges)]
-    return got.select(*keys, F.explode(F.array(*rows)).alias("x"), F.col("params")[1].alias("exponent"), "chi2", "r2").select(*keys, "x.*", "exponent", "chi2", "r2")
+    return got.select(*keys, F.explode(F.array(*rows)).alias("_part"), F.col("params")[1].alias("exponent"), "chi2", "r2").select(*keys, "_part.*", "exponent", "chi2", "r2")
 
 
 def fit_edges_map(cube: DataFrame, edges: list[tuple[str, str, float]], e0_kv: float, beta_mrad: float, fit_range: tuple[float, float] | None = None, exponent: float | None = None) -> DataFrame:
@@ -397,7 +397,7 @@ def measure_artifacts(cube: DataFrame, artifacts: DataFrame, keys: tuple[str, ..
     parts = [Part("base", "polynomial", (None, 0.0)), *[Part(f"p{i}", "gaussian", (None, r["energy"], max(r["sigma"], 1e-3)), fixed=("center", "sigma")) for i, r in enumerate(rows)]]
     got = fit_spectra(spectra_rows(cube, *keys), parts, "poisson")
     out = [F.struct(F.lit(r["kind"]).alias("kind"), F.lit(r["a"]).alias("a"), F.lit(r["b"]).cast("string").alias("b"), F.lit(r["energy"]).alias("energy"), F.col("areas")[i].alias("net"), (F.col("errors")[2 + 3 * i] * max(r["sigma"], 1e-3) * math.sqrt(2 * math.pi)).alias("net_sigma")) for i, r in enumerate(rows)]
-    return got.select(*keys, F.explode(F.array(*out)).alias("p")).select(*keys, "p.*")
+    return got.select(*keys, F.explode(F.array(*out)).alias("_part")).select(*keys, "_part.*")
 
 
 def remove_artifacts(spectrum: DataFrame, measured: DataFrame) -> DataFrame:

@@ -6,7 +6,10 @@ A line of a raster is one array, bounded by the raster's side; lines of all rast
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -169,60 +172,87 @@ def _quadratic_fit(t: DataFrame, keys: list[str]) -> DataFrame:
     return s.select(*keys, "mx", *[F.when(ok, x / det).otherwise(F.col("t0") / F.col("n") if name == "a" else 0.0).alias(name) for name, x in (("a", a), ("b", b), ("c", c))])
 
 
-def clean_trace(trace: DataFrame, order: int = 1, threshold: float = 3.0, rounds: int = 5, keys: tuple[str, ...] = (DS,)) -> DataFrame:
-    """A trace (keys, x, depth) less its fit of degree 0 to 2: keys, x, depth, kept, residual.
+def clean_trace(trace: DataFrame, order: int = 2, kappa: float = 4.0, rounds: int = 3, keys: tuple[str, ...] = (DS,)) -> DataFrame:
+    """A trace (keys, x, depth) less its fit of degree 0 to 2: keys, x, depth, kept, residual (null where not kept).
 
-    Points farther from the fit than threshold times 1.4826 times the median distance don't count for the next fit; the
-    rounds end when the same points are kept. Depths that aren't finite are never kept and have no residual.
+    Points farther from the fit than kappa times 1.4826 times the median distance of the kept residuals from their median go
+    before the next fit, up to `rounds` times or until the same points are kept. Traces of fewer finite points than order + 2
+    and than 4 keep none; a round that would leave fewer changes nothing.
     """
     if order not in (0, 1, 2):
         raise ValueError("order must be 0, 1 or 2")
-    by = list(keys)
-    t = materialize(trace.select(*by, "x", "depth"), "trace").select(*by, "x", "depth", (F.col("depth").isNotNull() & finite(F.col("depth"))).alias("kept"))
-    good, before = F.col("depth").isNotNull() & finite(F.col("depth")), None
-    for _ in range(rounds + 1):
+    by, least = list(keys), max(order + 2, 4)
+    t = materialize(trace.select(*by, "x", "depth", (F.col("depth").isNotNull() & finite(F.col("depth"))).alias("good")), "trace")
+    n = t.where("good").groupBy(*by).agg(F.count("*").alias("n"))
+    t = t.join(n, by, "left").select(*by, "x", "depth", (F.col("good") & (F.col("n") >= least)).alias("good"))
+    t = t.withColumn("kept", F.col("good"))
+
+    def fitted(t: DataFrame) -> DataFrame:
+        """t with the residual of every finite depth."""
         if order == 2:
-            fit = t.join(_quadratic_fit(t, by), by, "left")
-            at = F.col("a") + F.col("b") * (F.col("x") - F.col("mx")) + F.col("c") * F.pow(F.col("x") - F.col("mx"), F.lit(2))
+            fit, at = _quadratic_fit(t, by), F.expr("a + b * (x - mx) + c * (x - mx) * (x - mx)")
+        elif order == 1:
+            fit, at = _line_fit(t, by), F.expr("a + b * x")
         else:
-            fit = t.join(_line_fit(t, by), by, "left")
-            at = F.col("a") + F.col("b") * F.col("x")
-            if order == 0:
-                fit = t.join(t.where("kept").groupBy(*by).agg(F.avg("depth").alias("a")), by, "left")
-                at = F.col("a")
-        res = fit.select(*by, "x", "depth", "kept", F.when(good, F.col("depth") - at).alias("residual"))
-        res = materialize(res, "trace")
-        n = res.agg(F.sum(F.when(F.col("kept"), F.xxhash64(*by, "x").cast("decimal(38,0)")))).first()[0]
-        if n == before:
-            break
-        before = n
+            fit, at = t.where("kept").groupBy(*by).agg(F.avg("depth").alias("a")), F.col("a")
+        return t.join(fit, by, "left").select(*by, "x", "depth", "good", "kept", F.when(F.col("good"), F.col("depth") - at).alias("residual"))
+
+    for _ in range(rounds):
+        res = materialize(fitted(t), "trace")
         # A trace has a point for each line of a raster, so its median is one of a bounded group.
         mid = res.where("kept").groupBy(*by).agg(F.percentile("residual", 0.5).alias("m"))
-        off = res.join(mid, by, "left")
-        far = off.where("kept").groupBy(*by).agg((1.4826 * F.percentile(F.abs(F.col("residual") - F.col("m")), 0.5)).alias("s"))
-        off = off.join(far, by, "left")
-        t = off.select(*by, "x", "depth", (good & ((F.col("s") <= 0) & F.col("kept") | (F.abs(F.col("residual") - F.col("m")) <= threshold * F.col("s")))).alias("kept"))
-    return res
+        far = res.where("kept").join(mid, by).groupBy(*by).agg((1.4826 * F.percentile(F.abs(F.col("residual") - F.col("m")), 0.5)).alias("s"))
+        near = F.col("good") & ((F.col("s") <= 0) & F.col("kept") | (F.col("s") > 0) & (F.abs("residual") <= kappa * F.col("s")))
+        new = res.join(far, by, "left").withColumn("now", F.coalesce(near, F.lit(False)))
+        some = new.where("now").groupBy(*by).agg(F.count("*").alias("left"))
+        new = new.join(some, by, "left").withColumn("now", F.when(F.col("left") >= least, F.col("now")).otherwise(F.col("kept")))
+        new = materialize(new.select(*by, "x", "depth", "good", "kept", "now"), "trace")
+        same = new.where("kept <> now").isEmpty()
+        t = new.select(*by, "x", "depth", "good", F.col("now").alias("kept"))
+        if same:
+            break
+    out = fitted(t)
+    return out.select(*by, "x", "depth", "kept", F.when(F.col("kept"), F.col("residual")).alias("residual"))
+
+
+def noise_corrected(r: np.ndarray) -> tuple[float, float, float]:
+    """Roughness of residuals in their order without the jitter of single lines, with it, and that jitter."""
+    if len(r) < 2:
+        return math.nan, math.nan, math.nan
+    raw = 1.4826 * float(np.median(np.abs(r - np.median(r))))
+    if len(r) < 3:
+        return raw, raw, math.nan
+    floor = math.sqrt(float(np.median(np.diff(r) ** 2)) / 0.4549 / 2)
+    return math.sqrt(max(raw * raw - floor * floor, 0.0)), raw, floor
 
 
-def trace_sigma(cleaned: DataFrame, keys: tuple[str, ...] = (DS,), block: int = 16, replicates: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
-    """Roughness of a cleaned trace and its interval: keys, n, sigma, low, high.
+def trace_sigma(cleaned: DataFrame, keys: tuple[str, ...] = (DS,), block: int = 64, replicates: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """Roughness of a clean_trace() and its interval: keys, n, quality, sigma, raw, noise, low, high.
 
-    sigma is the root mean square of the kept residuals. For the interval, blocks of x are drawn again and again: replicate r
-    takes a block as often as Poisson with mean 1 says, by a hash of block and r. So sums of blocks are all that is kept.
+    raw is 1.4826 times the median distance of the kept residuals from their median, noise the same of neighbours' differences,
+    sigma what is left of raw without it; quality the share of lines that are kept. The interval is that of sigma over
+    replicates of blocks of neighbouring residuals, drawn again and again. A trace is one array, bounded by the raster's side.
+    Null for traces of fewer than two kept points.
     """
     by = list(keys)
-    t = cleaned.where("kept").select(*by, F.floor(F.col("x") / block).alias("block"), F.col("residual").alias("r"))
-    sums = t.groupBy(*by, "block").agg(F.count("*").alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("q"))
-    whole = sums.groupBy(*by).agg(F.sum("n").alias("n"), F.sqrt(F.sum("q") / F.sum("n") - F.pow(F.sum("s") / F.sum("n"), F.lit(2))).alias("sigma"))
-    u = F.pmod(F.xxhash64("block", "rep", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    steps, total = [], 0.0
-    for i in range(8):
-        total += math.exp(-1) / math.factorial(i)
-        steps.append(total)
-    times = sum(((u >= s).cast("int") for s in steps), F.lit(0))
-    drawn = sums.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", times)
-    reps = drawn.groupBy(*by, "rep").agg(F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("s")).alias("s"), F.sum(F.col("w") * F.col("q")).alias("q")).where("n > 0")
-    reps = reps.select(*by, F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), F.lit(2)))).alias("v"))
-    ends = reps.groupBy(*by).agg(F.percentile("v", (1 - level) / 2).alias("low"), F.percentile("v", (1 + level) / 2).alias("high"))
-    return whole.join(ends, by)
+    r = F.transform(F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("x", "residual")))), lambda p: p["residual"])
+    rows = cleaned.groupBy(*by).agg(r.alias("r"), F.count("*").alias("all"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for values, whole in zip(b.column("r").to_pylist(), b.column("all").to_pylist(), strict=True):
+                v = np.array(values, float)
+                sigma = noise_corrected(v)
+                low = high = math.nan
+                if len(v) > 3:
+                    rng, size = np.random.default_rng(seed), min(block, max(2, len(v) // 4))
+                    starts = rng.integers(0, len(v) - size + 1, (replicates, -(-len(v) // size)))
+                    drawn = v[(starts[:, :, None] + np.arange(size)).reshape(replicates, -1)[:, : len(v)]]
+                    low, high = np.quantile([noise_corrected(d)[0] for d in drawn], [(1 - level) / 2, (1 + level) / 2])
+                out.append((len(v), len(v) / whole, *[None if math.isnan(x) else float(x) for x in (*sigma, low, high)]))
+            columns = [pa.array([o[i] for o in out], pa.int64() if i == 0 else pa.float64()) for i in range(7)]
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in by], *columns], names=[*by, "n", "quality", "sigma", "raw", "noise", "low", "high"])
+
+    return rows.mapInArrow(measured, ", ".join(f"{k} {kinds[k]}" for k in by) + ", n long, quality double, sigma double, raw double, noise double, low double, high double")

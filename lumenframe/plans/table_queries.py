@@ -130,8 +130,11 @@ TRACES = lambda s, d: (profiles.trace_interface(A.pix(s, d), 20.0, 8), profiles.
 query("trace_interface", lambda s, d: TRACES(s, d)[0], f", {ONE} SELECT x, {r('depth')} FROM tr_a", "pix")
 query("trace_interface_rows", lambda s, d: profiles.trace_interface(A.pix(s, d), 48.0, 10, "x"), f", {trace_sql('c', 48, 10, 'x')} SELECT x, {r('depth')} FROM tr_c", "pix")
 query("conformality", lambda s, d: regions.conformality(*TRACES(s, d)), f", {ONE}, {TWO} SELECT count(*) AS n, {r('corr(a.depth, b.depth)', 'r')} FROM tr_a a JOIN tr_b b USING (x)", "pix")
-CLEAN = "c0 AS MATERIALIZED (SELECT x, depth, true AS kept FROM tr_a)" + "".join(f", l{i} AS (SELECT regr_slope(depth, x) AS b, regr_intercept(depth, x) AS a FROM c{i} WHERE kept), q{i} AS MATERIALIZED (SELECT x, depth, kept, depth - a - b * x AS res FROM c{i}, l{i}), m{i} AS (SELECT quantile_cont(res, 0.5) AS m FROM q{i} WHERE kept), s{i} AS (SELECT any_value(m) AS m, 1.4826::DOUBLE * quantile_cont(abs(res - m), 0.5) AS s FROM q{i}, m{i} WHERE kept), c{i + 1} AS MATERIALIZED (SELECT x, depth, abs(res - m) <= 3 * s AS kept FROM q{i}, s{i})" for i in range(9))
-query("clean_trace", lambda s, d: profiles.clean_trace(TRACES(s, d)[0], rounds=8).select("ds_id", "x", "kept", "residual"), f", {ONE}, {CLEAN} SELECT x, kept, {r('res', 'residual')} FROM q8", "pix")
+CLEAN = "c0 AS MATERIALIZED (SELECT x, depth, true AS kept FROM tr_a)" + "".join(f", l{i} AS (SELECT regr_slope(depth, x) AS b, regr_intercept(depth, x) AS a FROM c{i} WHERE kept), q{i} AS MATERIALIZED (SELECT x, depth, kept, depth - a - b * x AS res FROM c{i}, l{i}), m{i} AS (SELECT quantile_cont(res, 0.5) AS m FROM q{i} WHERE kept), s{i} AS (SELECT 1.4826::DOUBLE * quantile_cont(abs(res - m), 0.5) AS s FROM q{i}, m{i} WHERE kept), c{i + 1} AS MATERIALIZED (SELECT x, depth, abs(res) <= 1.5::DOUBLE * s AS kept FROM q{i}, s{i})" for i in range(4))
+CLEANED = lambda s, d: profiles.clean_trace(TRACES(s, d)[0], order=1, kappa=1.5)
+query("clean_trace", lambda s, d: CLEANED(s, d).select("x", "kept", "residual"), f", {ONE}, {CLEAN} SELECT x, kept, CASE WHEN kept THEN round(res, 5) + 0.0 END AS residual FROM q3", "pix")
+ROUGH = "k AS (SELECT x, res FROM q3 WHERE kept), rw AS (SELECT 1.4826::DOUBLE * quantile_cont(abs(res - (SELECT quantile_cont(res, 0.5) FROM k)), 0.5) AS raw FROM k), nf AS (SELECT sqrt(quantile_cont(d * d, 0.5) / 0.4549::DOUBLE / 2) AS noise FROM (SELECT res - lag(res) OVER (ORDER BY x) AS d FROM k) WHERE d IS NOT NULL)"
+query("trace_roughness", lambda s, d: profiles.trace_sigma(CLEANED(s, d)).select("n", "quality", "sigma", "raw", "noise"), f", {ONE}, {CLEAN}, {ROUGH} SELECT (SELECT count(*) FROM k) AS n, {r('(SELECT count(*) FROM k) / (SELECT count(*)::DOUBLE FROM q3)', 'quality')}, {r('sqrt(greatest(raw ** 2 - noise ** 2, 0))', 'sigma')}, {r('raw')}, {r('noise')} FROM rw, nf", "pix")
 
 # Line defects and scale bars
 HALF_K = 7

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.operators import crystal, quantify, raster, regions, texture
+from lumenframe.operators import crystal, profiles, quantify, raster, regions, texture
 from lumenframe.operators.quantiles import blocks, quantiles
 from lumenframe.plans import recipes
 from lumenframe.streaming.watch import watch
@@ -71,8 +71,8 @@ def test_layers(spark):
     s = regions.layer_slices(labels(spark, a), bands).orderBy("layer").collect()
     assert [(r["area"], r["height"], r["share"]) for r in s] == [(12, 3.0, 0.5), (12, 3.0, 0.5)] and s[0]["angle"] == 0
     step = np.repeat(np.where(np.arange(30) < 12, 1.0, 5.0)[:, None], 5, axis=1)
-    assert [r["i"] for r in regions.interfaces(regions.depth_profile(frame(spark, step))).collect()] in ([11], [12], [])
-    assert all(abs(r["depth"] - 11.5) <= 0.5 for r in regions.trace_interface(frame(spark, step), 12, 5).collect())
+    assert [r["i"] for r in profiles.interfaces(regions.depth_profile(frame(spark, step))).collect()] in ([11], [12])
+    assert all(abs(r["depth"] - 11.5) <= 0.5 for r in profiles.trace_interface(frame(spark, step), 12, 5).collect())
 
 
 def test_zeta_by_hand_and_zaf_of_thin_films(spark):

@@ -198,19 +198,43 @@ def test_interfaces(spark):
         assert sorted(r["i"] for r in held if r["ds_id"] == n) == keep
 
 
+def plain_clean(y, order=2, kappa=4.0, rounds=3):
+    """The rule of clean_trace() with numpy's fits."""
+    x, keep = np.arange(len(y), dtype=float), np.isfinite(y)
+    for _ in range(rounds):
+        res = y - np.polyval(np.polyfit(x[keep], y[keep], order), x)
+        s = 1.4826 * np.median(np.abs(res[keep] - np.median(res[keep])))
+        new = np.isfinite(y) & (np.abs(res) <= kappa * s)
+        if (new == keep).all():
+            break
+        keep = new
+    return keep, y - np.polyval(np.polyfit(x[keep], y[keep], order), x)
+
+
 def test_trace_and_its_roughness(spark):
-    rows = []
+    """Planted: a smooth wave of a known deviation, a bow, jitter of single lines and wild lines."""
+    rows, lines, planted = [], {}, {}
     for seed in range(20):
         rng = np.random.default_rng(seed)
-        rows += [(f"t{seed:02d}", x, float(20 + 0.02 * x + rng.normal(0, 1.5) + (40 if x % 57 == 9 else 0))) for x in range(1, 601)]
+        wave = blurred(rng.normal(size=3000), 6.0)
+        wave *= 1.5 / wave.std()
+        x = np.arange(3000)
+        y = 20 + 0.002 * x + 1e-6 * x**2 + wave + rng.normal(0, 0.3, 3000) + np.where(x % 157 == 9, 40, 0)
+        name = f"t{seed:02d}"
+        lines[name], planted[name] = y, 1.5
+        rows += [(name, int(i), float(v)) for i, v in enumerate(y)]
     trace = spark.createDataFrame(rows, "ds_id string, x int, depth double")
-    clean = profiles.clean_trace(trace)
-    assert clean.where("x % 57 = 9 AND kept").count() == 0 and clean.where("kept").count() > 0.95 * len(rows)
-    got = profiles.trace_sigma(clean).collect()
-    assert len(got) == 20 and sum(r["low"] <= 1.5 <= r["high"] for r in got) >= 17 and all(r["low"] < r["sigma"] < r["high"] for r in got)
-    bent = spark.createDataFrame([("a", x, 5 + 0.1 * x + 0.01 * x * x) for x in range(1, 60)] + [("a", 60, None), ("a", 61, float("nan"))], "ds_id string, x int, depth double")
-    flat = profiles.clean_trace(bent, order=2)
-    assert flat.where("kept").agg(F.max(F.abs("residual"))).first()[0] < 1e-6 and flat.where("residual is null").count() == 2
+    clean = profiles.clean_trace(trace).cache()
+    assert clean.where("x % 157 = 9 AND kept").count() == 0
+    keep, res = plain_clean(lines["t03"])
+    got = {r["x"]: r for r in clean.where("ds_id = 't03'").collect()}
+    assert [got[i]["kept"] for i in range(3000)] == keep.tolist()
+    assert all(got[i]["residual"] == pytest.approx(res[i], abs=1e-6) for i in range(3000) if keep[i])
+    found = profiles.trace_sigma(clean).collect()
+    assert len(found) == 20 and sum(r["low"] <= 1.5 <= r["high"] for r in found) >= 19
+    assert all(0.9 < r["quality"] < 1 and r["noise"] == pytest.approx(0.3, abs=0.1) for r in found)
+    short = profiles.clean_trace(spark.createDataFrame([("a", x, float("nan") if x == 2 else 1.0 * x) for x in range(4)], "ds_id string, x int, depth double"))
+    assert short.where("kept").count() == 0 and profiles.trace_sigma(short).first()["sigma"] is None
 
 
 def test_defects_and_scale_bar(spark):

@@ -108,7 +108,7 @@ def test_lines(spark):
     assert got["Si"] == ("K", 1.74) and got["Au"] == ("L", 9.713)
     low = {r["symbol"]: r["line"] for r in spectral.principal_lines(t, 10.0).collect()}
     assert low["Cu"] == "L" and low["Au"] == "M" and low["Sn"] == "L"
-    assert [(r["symbol"], r["line"]) for r in spectral.lines_in_range(spark, 1.8, 1.6, ["Si"]).collect()] == [("Si", "K")]
+    assert [(r["symbol"], r["line"]) for r in spectral.lines_in_range(spectral.line_table(spark, ["Si"]), 1.8, 1.6).collect()] == [("Si", "K")]
 
 
 def test_fraction_errors(spark):
