@@ -60,15 +60,17 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def pieces(docs: DataFrame, tokenizer_file: str, end_id: int = 0, most: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_file: str, end_id: int = 0, most: int = 2048, id_col: str = "doc_id", text_col: str = "text", max_units: int = 800_000) -> DataFrame:
     """Pieces of tokenized documents: doc_id, piece, start, length, ids_crc32.
 
+    max_units bounds the units that a task keeps the ids of: fewer take less memory and more time.
+
     Null and empty texts have the end id only. Rows that repeat an id have pieces of their own; null ids stay null. An
     empty table gives no pieces; other columns aren't read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(tokenizer_file)
+        tok = tokenizer(tokenizer_file, max_units)
         for whole in batches:
             for b in slices(whole):
                 ids, at = with_end(*tok.encode(b.column(1)), end_id)

@@ -169,13 +169,14 @@ def with_end(ids: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray,
 _TOKENIZERS: dict[str, UnitTokenizer] = {}
 
 
-def tokenizer(path: str) -> UnitTokenizer:
+def tokenizer(path: str, max_units: int = 800_000) -> UnitTokenizer:
     """The worker process's tokenizer of this file."""
     if path not in _TOKENIZERS:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _TOKENIZERS[path] = UnitTokenizer(path)
+    _TOKENIZERS[path].max_units = max_units
     return _TOKENIZERS[path]
 
 
