@@ -21,6 +21,8 @@ from lumenframe.session import materialize
 
 #: Documents with this score or more are rejected.
 TOXIC = 0.7
+#: Units that a packing task keeps the ids of; the executors hold what earlier stages left in their memory as well.
+UNITS = 300_000
 
 
 def rows_of(docs: DataFrame, *columns: Column) -> DataFrame:
@@ -82,7 +84,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 2048 tokens; a null or empty text is its end id alone."""
-    return pack(pieces(docs, vocabulary()))
+    return pack(pieces(docs, vocabulary(), max_units=UNITS))
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact), ("near_dedup", near), ("mix_sources", mixed), ("pack_sequences", packed)]
