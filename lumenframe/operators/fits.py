@@ -68,7 +68,7 @@ def edge_shape(e: np.ndarray, shell: str, onset: float, e0_kv: float, beta_mrad:
 @dataclass(frozen=True)
 class Part:
     """A term of a model. kind: gaussian, lorentzian, pseudo_voigt, voigt (amp, center, sigma, gamma), power_law (amp,
-    exponent), polynomial (c0, c1, ...), kramers (amp) or edge (amp). start, lower, upper: by parameter; a start of None is guessed
+    exponent), polynomial (c0, c1, ...), kramers (amp), edge (amp) or self_affine (rough, length, hurst, nugget: the noise squared). start, lower, upper: by parameter; a start of None is guessed
     from each spectrum (heights at the center, a law below `settings['below']`). fixed: parameters that keep their start.
     """
 
@@ -83,11 +83,11 @@ class Part:
     def names(self) -> tuple[str, ...]:
         if self.kind == "polynomial":
             return tuple(f"c{i}" for i in range(len(self.start)))
-        return {"gaussian": ("amp", "center", "sigma"), "lorentzian": ("amp", "center", "gamma"), "pseudo_voigt": ("amp", "center", "sigma", "eta"), "voigt": ("amp", "center", "sigma", "gamma"), "power_law": ("amp", "exponent"), "kramers": ("amp",), "edge": ("amp",)}[self.kind]
+        return {"gaussian": ("amp", "center", "sigma"), "lorentzian": ("amp", "center", "gamma"), "pseudo_voigt": ("amp", "center", "sigma", "eta"), "voigt": ("amp", "center", "sigma", "gamma"), "power_law": ("amp", "exponent"), "kramers": ("amp",), "edge": ("amp",), "self_affine": ("rough", "length", "hurst", "nugget")}[self.kind]
 
     def bounds(self) -> tuple[list[float], list[float]]:
-        low = {"amp": 0.0, "sigma": 1e-9, "gamma": 1e-9, "eta": 0.0, "exponent": 0.0}
-        high = {"eta": 1.0, "exponent": 12.0}
+        low = {"amp": 0.0, "sigma": 1e-9, "gamma": 1e-9, "eta": 0.0, "exponent": 0.0, "rough": 1e-6, "length": 0.5, "hurst": 0.05, "nugget": 0.0}
+        high = {"eta": 1.0, "exponent": 12.0, "hurst": 1.0}
         names = self.names()
         own = lambda given, i: given[i] if i < len(given) and given[i] is not None else None
         lo = [own(self.lower, i) if own(self.lower, i) is not None else low.get(n, -INF) for i, n in enumerate(names)]
@@ -101,6 +101,8 @@ class Part:
             return sum(p[:, i : i + 1] * e**i for i in range(p.shape[1]))
         if self.kind == "power_law":
             return a * np.maximum(e, 1e-12) ** -p[:, 1:2]
+        if self.kind == "self_affine":
+            return 2 * p[:, 3:4] + 2 * a * a * (1 - np.exp(-((e / np.maximum(p[:, 1:2], 1e-9)) ** (2 * p[:, 2:3]))))
         if self.kind == "kramers":
             return a * kramers(e, self.settings["e0"])
         if self.kind == "edge":
@@ -277,7 +279,7 @@ def fit_spectra(rows: DataFrame, parts: list[Part], weights: str | None = None,
                     areas, at = [], 0
                     for part in parts:
                         n = len(part.names())
-                        if n >= 3 and part.kind != "polynomial":
+                        if n >= 3 and part.kind not in ("polynomial", "self_affine"):
                             areas.append(part.area(p[:, at : at + n]))
                         at += n
                     areas = np.stack(areas, 1) if areas else np.zeros((len(some), 0))
@@ -291,6 +293,17 @@ def fit_spectra(rows: DataFrame, parts: list[Part], weights: str | None = None,
     return rows.mapInArrow(fit, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys) + ", " + FITTED)
 
 
+def fit_self_affine(differences: DataFrame, keys: tuple[str, ...], rough: float = 1.0, length: float = 5.0) -> DataFrame:
+    """Growth of height differences g with lag (as measure.hhcf() gives them): keys, rough, length, hurst, noise, r2.
+
+    The model is 2 noise^2 + 2 rough^2 (1 - exp(-(lag / length)^(2 hurst))); rough and length start where they are given.
+    """
+    rows = spectra_rows(differences.select(*keys, F.col("lag").alias("ch"), F.col("lag").cast("double").alias("e"), F.col("g").alias("v")), *keys)
+    got = fit_spectra(rows, [Part("s", "self_affine", (rough, length, 0.8, 0.01))])
+    names = ("rough", "length", "hurst")
+    return got.select(*keys, *[F.col("params")[i].alias(n) for i, n in enumerate(names)], F.sqrt(F.col("params")[3]).alias("noise"), "r2")
+
+
 def peak_parts(cube: DataFrame, elements: list[str], beam_kv: float = 200.0, center_tol: float = 0.0, lorentzian: float = 0.0) -> list[tuple[Part, str, float]]:
     """A peak for each element that has a line: the part, its line and energy. Widths are the detector's and stay."""
     lines = principal_lines(line_table(cube.sparkSession, elements), beam_kv).select("symbol", "line", "energy", (fano_fwhm(F.col("energy")) / FWHM / 1000).alias("sigma")).collect()

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenframe.operators.measure import fraction_sigma
-from lumenframe.operators.spectral import K_LINES, LEAST, MASSES, PIXEL, _law, assign_lines, background, centroid, detect_peaks, within
+from lumenframe.operators.spectral import K_FACTORS, K_LINES, LEAST, MASSES, PIXEL, _law, assign_lines, background, centroid, detect_peaks, within
 from lumenframe.operators.texture import band_profile
 
 # The elements in order of atomic number.
@@ -360,3 +360,51 @@ def savgol(spectrum: DataFrame, window: int, polyorder: int, order: int = 0, del
     t = spectrum.join(n, "ds_id").where(F.col("n") >= window).select("ds_id", F.col("ch").alias("at"), F.col("e").alias("at_e"), centre.alias("centre"))
     t = t.join(F.broadcast(weights), F.col("at") - F.col("centre") == F.col("place")).select("ds_id", "at", "at_e", (F.col("centre") + F.col("off")).alias("ch"), "k")
     return t.join(spectrum, ["ds_id", "ch"]).groupBy("ds_id", F.col("at").alias("ch"), F.col("at_e").alias("e")).agg(F.sum(F.col("k") * F.col("v")).alias("v"))
+
+
+def edge_atomic_sigma(spectrum: DataFrame, edges: DataFrame) -> DataFrame:
+    """Counting errors of atomic percents: ds_id, element, atomic_pct, atomic_sigma (percentage points).
+
+    edges, a bounded table: element, s0, s1 (signal window), ratio (areal), sigma (cross-section). The variance of each edge's
+    integral by trapezoids is that of the gross counts within its window; windows of fewer than two channels and edges without a
+    cross-section have a null error.
+    """
+    t = spectrum.join(F.broadcast(edges), within(F.col("s0"), F.col("s1")))
+    w = W.partitionBy("ds_id", "element").orderBy("e")
+    before, after = F.lag("e").over(w), F.lead("e").over(w)
+    weight = (F.coalesce(after, F.col("e")) - F.coalesce(before, F.col("e"))) / 2
+    var = t.select("ds_id", "element", (weight * weight * F.greatest("v", F.lit(0.0))).alias("s")).groupBy("ds_id", "element").agg(F.when(F.count("*") >= 2, F.sum("s")).alias("var"))
+    all_ = spectrum.select("ds_id").distinct().join(F.broadcast(edges.select("element", "ratio", "sigma"))).join(var, ["ds_id", "element"], "left")
+    q = all_.withColumn("v", F.when(F.col("sigma") > 0, F.col("var") / (F.col("sigma") * F.col("sigma"))))
+    one = W.partitionBy("ds_id")
+    total, others = F.sum("ratio").over(one), F.sum("v").over(one) - F.col("v")
+    f = F.col("ratio") / total
+    known = F.count("v").over(one) == F.count("*").over(one)
+    sigma = F.when(known & (total > 0), 100 * F.sqrt(((1 - f) * (1 - f) * F.col("v") + f * f * others) / (total * total)))
+    return q.select("ds_id", "element", F.coalesce(100 * F.try_divide(F.col("ratio"), total), F.lit(0.0)).alias("atomic_pct"), sigma.alias("atomic_sigma"))
+
+
+def zeta_from_k(symbols: DataFrame, zeta_si: float) -> DataFrame:
+    """Absolute factors of elements (symbol) from that of silicon and their factors relative to it: symbol, zeta; 1 where none is known."""
+    if zeta_si <= 0:
+        raise ValueError("the factor of silicon must be above 0")
+    table = symbols.sparkSession.createDataFrame(list(K_FACTORS.items()), "symbol string, k double")
+    return symbols.select("symbol").distinct().join(F.broadcast(table), "symbol", "left").select("symbol", (F.coalesce("k", F.lit(1.0)) * zeta_si).alias("zeta"))
+
+
+def solid_angle(area_mm2: float, distance_mm: float) -> float:
+    """Solid angle of a detector, for small ones: its area over its distance squared."""
+    if area_mm2 <= 0 or distance_mm <= 0:
+        raise ValueError("area and distance must be above 0")
+    return area_mm2 / distance_mm**2
+
+
+def to_kev(energy: Column, unit: Column) -> Column:
+    """Energies in keV by the name of their unit (eV, keV, meV in any case); others stay as they are."""
+    name = F.lower(F.trim(unit))
+    return F.when(name == "ev", energy * 1e-3).when(name == "mev", energy * 1e-6).otherwise(energy)
+
+
+def chemical_sigma(whole: Column, waviness: Column) -> Column:
+    """The width of an interface that its waviness doesn't explain; null where that is as large as the whole."""
+    return F.when(waviness < whole, F.sqrt(whole * whole - waviness * waviness))

@@ -276,3 +276,54 @@ def mip(stack: list[DataFrame]) -> DataFrame:
     for s in stack[1:]:
         out = out.unionByName(s)
     return out.groupBy("y", "x").agg(F.max("v").alias("v"))
+
+
+def to_display(img: DataFrame, lo: float | None = None, hi: float | None = None, gamma: float = 1.0) -> DataFrame:
+    """window_level() in steps of 0 to 255: v int."""
+    return window_level(img, lo, hi, gamma).select(DS, "y", "x", F.floor(F.col("v") * 255 + 0.5).cast("int").alias("v"))
+
+
+def to_uint16(img: DataFrame) -> DataFrame:
+    """Each raster over its finite range in steps of 0 to 65535: v int, and lo, hi to get values back. Other pixels are 0;
+    a constant raster has a range of 1, one without finite pixels is 0 from 0 to 1.
+    """
+    ok = finite(F.col("v"))
+    ends = img.groupBy(DS).agg(F.min(F.when(ok, F.col("v"))).alias("lo"), F.max(F.when(ok, F.col("v"))).alias("hi"))
+    t = img.join(ends, DS)
+    span = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0)
+    v = F.when(ok, F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("v") - F.col("lo")) / span)) * 65535 + 0.5)).otherwise(0)
+    return t.select(DS, "y", "x", v.cast("int").alias("v"), F.coalesce("lo", F.lit(0.0)).alias("lo"), F.coalesce("hi", F.lit(1.0)).alias("hi"))
+
+
+def thumbnail(img: DataFrame, most: int = 256) -> DataFrame:
+    """Means of square blocks, the smallest that make both sides at most `most` pixels; the last row and column take what is left."""
+    s = shape(img).withColumn("b", F.greatest(F.lit(1), F.ceil(F.greatest("h", "w") / most)))
+    at = lambda c: F.expr(f"cast(({c} - 1) div b + 1 as int)")
+    return img.join(s, DS).groupBy(DS, at("y").alias("y"), at("x").alias("x")).agg(F.avg("v").alias("v"))
+
+
+def parse_roi(text: Column) -> Column:
+    """Corners r1, c1, r2, c2 of a rectangle written as four whole numbers with commas; null for any other text."""
+    parts = F.split(text, ",")
+    numbers = F.transform(parts, lambda p: F.trim(p).try_cast("int"))
+    ok = (F.size(parts) == 4) & ~F.exists(numbers, lambda n: n.isNull())
+    return F.when(ok, F.struct(*[F.get(numbers, i).alias(c) for i, c in enumerate(("r1", "c1", "r2", "c2"))]))
+
+
+def embed(part: DataFrame, whole: DataFrame, r1: int, c1: int, r2: int, c2: int) -> DataFrame:
+    """A cropped raster in its place in the frame of the whole one, 0 around it."""
+    y0, x0 = max(min(r1, r2), 1), max(min(c1, c2), 1)
+    moved = part.select(DS, (F.col("y") + (y0 - 1)).alias("y"), (F.col("x") + (x0 - 1)).alias("x"), "v")
+    return whole.select(DS, "y", "x").join(moved, [DS, "y", "x"], "left").select(DS, "y", "x", F.coalesce("v", F.lit(0.0)).alias("v"))
+
+
+def pyramid(img: DataFrame, levels: int = 4, tile: int = 256) -> DataFrame:
+    """Means of blocks of 2^z pixels for zoom levels z from 0, cut into square tiles: ds_id, z, ty, tx (from 0), y, x (within the tile, from 1), v.
+
+    All levels come from one aggregate, as a mean of blocks at the border is that of the pixels it has.
+    """
+    t = img.select(DS, "y", "x", "v", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("z")).withColumn("b", F.expr("shiftleft(1, z)"))
+    at = lambda c: F.expr(f"cast(({c} - 1) div b as int)")
+    m = t.groupBy(DS, "z", at("y").alias("r"), at("x").alias("c")).agg(F.avg("v").alias("v"))
+    part = lambda c: F.expr(f"cast({c} div {tile} as int)")
+    return m.select(DS, "z", part("r").alias("ty"), part("c").alias("tx"), (F.col("r") % tile + 1).alias("y"), (F.col("c") % tile + 1).alias("x"), "v")

@@ -6,7 +6,10 @@ Labels come with the data; a region is one group of an aggregate, so any number
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -194,3 +197,82 @@ def distances(segments: DataFrame, tilt: float = 0.0, tilt_axis: str = "y", surf
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     far = F.hypot(dx, dy * k) if tilt_axis == "y" else F.hypot(dx * k, dy)
     return segments.select("*", (F.hypot(dx, dy) * pixel_size).alias("raw"), (far * pixel_size).alias("corrected"))
+
+
+def normalized_harmonics(coefficients: DataFrame) -> DataFrame:
+    """outline_harmonics() that turn, shift and size of a ring don't change: ring, n, a, b, c, d.
+
+    The start moves to the end of the first ellipse's long axis, that axis turns to x, and its half length becomes 1. Rings
+    whose first ellipse has no size have no row.
+    """
+    first = coefficients.where("n = 1").select("ring", *[F.col(c).alias(f"{c}1") for c in "abcd"])
+    first = first.where("a1 <> 0 OR b1 <> 0 OR c1 <> 0 OR d1 <> 0")
+    turn = F.atan2(F.expr("2 * (a1 * b1 + c1 * d1)"), F.expr("a1 * a1 - b1 * b1 + c1 * c1 - d1 * d1")) / 2
+    first = first.withColumn("t", turn)
+    first = first.withColumn("p", F.col("a1") * F.cos("t") + F.col("b1") * F.sin("t")).withColumn("q", F.col("c1") * F.cos("t") + F.col("d1") * F.sin("t"))
+    first = first.select("ring", "t", F.atan2("q", "p").alias("s"), F.hypot("p", "q").alias("size")).where("size > 0")
+    x = coefficients.join(first, "ring")
+    ct, st = F.cos(F.col("n") * F.col("t")), F.sin(F.col("n") * F.col("t"))
+    x = x.select("ring", "n", "s", "size", (F.col("a") * ct + F.col("b") * st).alias("a"), (F.col("b") * ct - F.col("a") * st).alias("b"), (F.col("c") * ct + F.col("d") * st).alias("c"), (F.col("d") * ct - F.col("c") * st).alias("d"))
+    cs, ss = F.cos("s") / F.col("size"), F.sin("s") / F.col("size")
+    return x.select("ring", "n", (cs * F.col("a") + ss * F.col("c")).alias("a"), (cs * F.col("b") + ss * F.col("d")).alias("b"), (cs * F.col("c") - ss * F.col("a")).alias("c"), (cs * F.col("d") - ss * F.col("b")).alias("d"))
+
+
+def harmonic_distance(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Distance of the normalized_harmonics() of every ring from those of one other shape (n, a, b, c, d): ring, distance."""
+    far = sum((F.pow(F.col(c) - F.col(f"{c}2"), F.lit(2)) for c in "abcd"), F.lit(0.0))
+    t = one.join(F.broadcast(other.select("n", *[F.col(c).alias(f"{c}2") for c in "abcd"])), "n")
+    return t.groupBy("ring").agg(F.sqrt(F.sum(far)).alias("distance"))
+
+
+def ellipse_fit(points: DataFrame) -> DataFrame:
+    """Least squares ellipse of the points (ring, x, y) of each ring: ring, n, cx, cy, a, b (half axes, the longer first), angle (from +x to +y).
+
+    The conic under 4 A C - B^2 = 1 comes from sums over the points, so only a few numbers of each ring are solved for.
+    Rings of fewer than five points or without an ellipse have no row.
+    """
+    mid = points.groupBy("ring").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.count("*").alias("n")).where("n >= 5")
+    t = points.join(mid, "ring").select("ring", "mx", "my", "n", (F.col("x") - F.col("mx")).alias("u"), (F.col("y") - F.col("my")).alias("w"))
+    powers = [(i, j) for i in range(5) for j in range(5 - i)]
+    s = t.groupBy("ring", "mx", "my", "n").agg(*[F.sum(F.pow("u", F.lit(i)) * F.pow("w", F.lit(j))).alias(f"s{i}{j}") for i, j in powers])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = [(2, 0), (1, 1), (0, 2), (1, 0), (0, 1), (0, 0)]
+        for b in batches:
+            at = {p: b.column(f"s{p[0]}{p[1]}").to_numpy() for p in powers}
+            out = []
+            for k in range(b.num_rows):
+                g = np.array([[at[p[0] + q[0], p[1] + q[1]][k] for q in terms] for p in terms])
+                try:
+                    back = -np.linalg.solve(g[3:, 3:], g[3:, :3])
+                except np.linalg.LinAlgError:
+                    out.append(None)
+                    continue
+                m = g[:3, :3] + g[:3, 3:] @ back
+                values, vectors = np.linalg.eig(np.stack([m[2] / 2, -m[1], m[0] / 2]))
+                vectors = vectors.real
+                good = np.flatnonzero(4 * vectors[0] * vectors[2] - vectors[1] ** 2 > 0)
+                if not len(good):
+                    out.append(None)
+                    continue
+                quad = vectors[:, good[0]]
+                line = back @ quad
+                a2 = np.array([[quad[0], quad[1] / 2], [quad[1] / 2, quad[2]]])
+                c = np.linalg.solve(a2, -line[:2] / 2)
+                level = c @ a2 @ c + line[:2] @ c + line[2]
+                mu, axes = np.linalg.eigh(a2)
+                half = -level / mu
+                if (half <= 0).any():
+                    out.append(None)
+                    continue
+                half = np.sqrt(half)
+                i = int(half.argmax())
+                angle = math.atan2(axes[1, i], axes[0, i])
+                angle = angle - math.pi if angle > math.pi / 2 else angle + math.pi if angle <= -math.pi / 2 else angle
+                out.append((c[0] + b.column("mx")[k].as_py(), c[1] + b.column("my")[k].as_py(), float(half[i]), float(half[1 - i]), angle))
+            ok = pa.array([o is not None for o in out])
+            cols = [pa.array([float(o[i]) for o in out if o is not None], pa.float64()) for i in range(5)]
+            yield pa.RecordBatch.from_arrays([b.column("ring").filter(ok), b.column("n").filter(ok), *cols], names=["ring", "n", "cx", "cy", "a", "b", "angle"])
+
+    kind = points.schema["ring"].dataType.simpleString()
+    return s.mapInArrow(solve, f"ring {kind}, n long, cx double, cy double, a double, b double, angle double")

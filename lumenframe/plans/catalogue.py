@@ -112,7 +112,7 @@ query("windowed_events", _events, f"SELECT strftime(date_trunc('hour', ts), '%Y-
 
 def _load() -> None:
     """The other modules of queries register theirs when they are imported."""
-    from lumenframe.plans import analysis_queries, compare_queries, crystal_queries, point_queries, region_queries, shape_queries, structure_queries, table_queries  # noqa: F401
+    from lumenframe.plans import analysis_queries, compare_queries, crystal_queries, point_queries, region_queries, shape_queries, structure_queries, table_queries, value_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,7 +1,7 @@
 """Binary rasters, cubes and scans as Spark data sources: a partition for each block of rows, rows outside a filter aren't read.
 
 Formats: mrc (the sections of a map), rpl (a text header beside .raw values), ser (series of images or spectra), mib (frames of
-a pixel detector), raw (plain values, the geometry as options) and pts (the events of an X-ray map). Tasks open the files
+a pixel detector), dm (images and cubes within nested tags), tif, raw (plain values, the geometry as options) and pts (the events of an X-ray map). Tasks open the files
 themselves, so paths must lie on a file system that all executors mount. register() makes the formats known to a session.
 
 Rows: rasters ds_id, y, x, v; cubes ds_id, y, x, ch, v; scans ds_id, sy, sx, ky, kx, v. y and x count from 1, ch, sy, sx,
@@ -325,6 +325,152 @@ class Mib(BlockSource):
         return batch(path, {"sy": k // cols, "sx": k % cols, "ky": ky.ravel(), "kx": kx.ravel()}, f.ravel())
 
 
+class Dm(BlockSource):
+    """The largest image of a file of nested tags (versions 3 and 4): channels are planes of it, an image has channel 0."""
+
+    columns = CUBE
+    #: Bytes of the plain kinds of values by their codes, and the kinds of image data.
+    SIZES = {2: 2, 3: 4, 4: 2, 5: 4, 6: 4, 7: 8, 8: 1, 9: 1, 10: 1, 11: 8, 12: 8}
+    KINDS = {1: "i2", 2: "f4", 6: "u1", 7: "i4", 9: "i1", 10: "u2", 11: "u4", 12: "f8"}
+    PLAIN = {2: "i2", 3: "i4", 4: "u2", 5: "u4", 6: "f4", 7: "f8", 8: "u1", 9: "i1", 10: "u1", 11: "i8", 12: "u8"}
+
+    @classmethod
+    def name(cls) -> str:
+        return "dm"
+
+    def tags(self, path: str) -> tuple[dict[str, object], str]:
+        """Values by path of names (unnamed tags by their number); arrays of numbers as (place, kind, length). And the byte order."""
+        out: dict[str, object] = {}
+        with open(path, "rb") as f:
+            whole = os.fstat(f.fileno()).st_size
+
+            def exactly(n: int) -> bytes:
+                got = f.read(n)
+                if len(got) < n:
+                    raise ValueError(f"{path} ends within its tags")
+                return got
+
+            def big(n: int) -> int:
+                return int.from_bytes(exactly(n), "big")
+
+            version = big(4)
+            if version not in (3, 4):
+                raise ValueError(f"{path} is no file of version 3 or 4")
+            wide = 8 if version == 4 else 4
+            big(wide)
+            order = "<" if big(4) == 1 else ">"
+
+            def plain(code: int) -> object:
+                return np.frombuffer(exactly(self.SIZES[code]), order + self.PLAIN[code])[0].item()
+
+            def value(info: list[int]) -> object:
+                if info[0] in self.SIZES:
+                    return plain(info[0])
+                if info[0] == 18:
+                    return exactly(info[1]).decode("utf-16-le", "replace")
+                if info[0] == 15:
+                    return [plain(c) for c in info[4::2]]
+                if info[0] == 20 and info[1] in self.SIZES:
+                    place, size = f.tell(), info[2] * self.SIZES[info[1]]
+                    f.seek(size, 1)
+                    if f.tell() > whole:
+                        raise ValueError(f"{path} ends within its values")
+                    return place, order + self.PLAIN[info[1]], info[2]
+                if info[0] == 20 and info[1] == 15:
+                    f.seek(sum(self.SIZES[c] for c in info[5:-1:2]) * info[-1], 1)
+                    return None
+                raise ValueError(f"{path} has a tag of kind {info[0]}")
+
+            def group(above: str) -> None:
+                exactly(2)
+                for i in range(big(wide)):
+                    kind, name = big(1), exactly(big(2)).decode("latin-1")
+                    here = f"{above}/{name or i}"
+                    if version == 4:
+                        big(8)
+                    if kind == 20:
+                        group(here)
+                    elif kind == 21:
+                        if exactly(4) != b"%%%%":
+                            raise ValueError(f"{path}: tag {here} has no mark")
+                        out[here] = value([big(wide) for _ in range(big(wide))])
+                    else:
+                        raise ValueError(f"{path}: tag {here} is of kind {kind}")
+
+            group("")
+        return out, order
+
+    def layout(self, path: str) -> dict:
+        tags, order = self.tags(path)
+        best = None
+        for at in [k for k in tags if k.startswith("/ImageList/") and k.endswith("/ImageData/Data")]:
+            base = at.removesuffix("/Data")
+            place, _, n = tags[at]
+            dims = [int(tags[f"{base}/Dimensions/{i}"]) for i in range(9) if f"{base}/Dimensions/{i}" in tags]
+            if int(tags.get(f"{base}/DataType", 0)) in self.KINDS and 1 <= len(dims) <= 3 and (best is None or n > best[1]):
+                best = (place, n, dims, np.dtype(order + self.KINDS[int(tags[f"{base}/DataType"])]))
+        if best is None:
+            raise ValueError(f"{path} holds no image, spectrum or cube that can be read")
+        place, _, dims, kind = best
+        if len(dims) == 1:  # a spectrum: one pixel
+            dims = [1, 1, dims[0]]
+        w, h, d = [*dims, 1][:3] if len(dims) == 2 else dims
+        return {"rows": h, "row_values": w * d, "row_bytes": w * d * kind.itemsize, "kind": kind.str, "start": place, "width": w, "depth": d}
+
+    def decode(self, path: str, layout: dict, first: int, last: int) -> pa.RecordBatch:
+        kind, w, d, n = np.dtype(layout["kind"]), layout["width"], layout["depth"], last - first + 1
+        plane = layout["rows"] * w * kind.itemsize
+        v = np.stack([values_at(path, kind, layout["start"] + c * plane + first * w * kind.itemsize, n * w).reshape(n, w) for c in range(d)], 2)
+        return cube_batch(path, v, first)
+
+
+class Tif(BlockSource):
+    """The first image of a TIFF file without compression, in strips; samples of a pixel are averaged."""
+
+    FIELD = {1: "u1", 3: "u2", 4: "u4", 16: "u8"}
+
+    @classmethod
+    def name(cls) -> str:
+        return "tif"
+
+    def layout(self, path: str) -> dict:
+        with open(path, "rb") as f:
+            head = f.read(8)
+            order = {b"II": "<", b"MM": ">"}.get(head[:2])
+            if order is None or np.frombuffer(head, order + "u2", 1, 2)[0] != 42:
+                raise ValueError(f"{path} is no TIFF file")
+            f.seek(int(np.frombuffer(head, order + "u4", 1, 4)[0]))
+            n = int(np.frombuffer(f.read(2), order + "u2")[0])
+            fields: dict[int, list[int]] = {}
+            for entry in np.frombuffer(f.read(12 * n), np.uint8).reshape(-1, 12):
+                raw = entry.tobytes()
+                tag, kind = (int(v) for v in np.frombuffer(raw, order + "u2", 2))
+                count = int(np.frombuffer(raw, order + "u4", 1, 4)[0])
+                if kind in self.FIELD:
+                    dtype = np.dtype(order + self.FIELD[kind])
+                    if count * dtype.itemsize > 4:
+                        f.seek(int(np.frombuffer(raw, order + "u4", 1, 8)[0]))
+                        data = f.read(count * dtype.itemsize)
+                    else:
+                        data = raw[8:]
+                    fields[tag] = [int(v) for v in np.frombuffer(data, dtype, count)]
+        one = lambda tag, d: fields.get(tag, [d])[0]
+        w, h, samples, bits = one(256, 0), one(257, 0), one(277, 1), one(258, 1)
+        kind = {1: "u", 2: "i", 3: "f"}.get(one(339, 1))
+        if w <= 0 or h <= 0 or one(259, 1) != 1 or kind is None or bits not in (8, 16, 32, 64) or one(284, 1) != 1 or 273 not in fields:
+            raise ValueError(f"{path}: {w} x {h} pixels of {bits} bits in this form can't be read")
+        dtype = np.dtype(f"{order}{kind}{bits // 8}")
+        return {"rows": h, "row_values": w * samples, "row_bytes": w * samples * dtype.itemsize, "kind": dtype.str, "strips": fields[273], "per": min(h, one(278, h)), "samples": samples}
+
+    def decode(self, path: str, layout: dict, first: int, last: int) -> pa.RecordBatch:
+        kind, per, rows = np.dtype(layout["kind"]), layout["per"], []
+        for s in range(first // per, last // per + 1):
+            a, b = max(first, s * per), min(last, s * per + per - 1)
+            rows.append(values_at(path, kind, layout["strips"][s] + (a - s * per) * layout["row_bytes"], (b - a + 1) * layout["row_values"]))
+        v = np.concatenate(rows).reshape(last - first + 1, -1, layout["samples"])
+        return raster_batch(path, v.astype(np.float64).mean(2), first)
+
+
 class PtsReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
@@ -369,12 +515,12 @@ class Pts(DataSource):
 def register(spark: SparkSession) -> None:
     """Make the formats known to a session, filters on rows included."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    for source in (Mrc, Raw, Rpl, Ser, Mib, Pts):
+    for source in (Mrc, Raw, Rpl, Ser, Mib, Dm, Tif, Pts):
         spark.dataSource.register(source)
 
 
 def read_binary(spark: SparkSession, path: str, kind: str, **options) -> DataFrame:
-    """Rows of all files of a path by one of the formats (mrc, rawraster, rpl, ser, mib); options as its class has them, and
+    """Rows of all files of a path by one of the formats (mrc, rawraster, rpl, ser, mib, dm, tif); options as its class has them, and
     blockbytes, the bytes of a partition.
     """
     register(spark)

@@ -101,6 +101,85 @@ def test_mib(spark, tmp_path, chips):
         BlockReader(Mib({"path": str(tmp_path / "a.mib")})).partitions()
 
 
+def tag(name, body, kind, wide):
+    return bytes([kind]) + struct.pack(">H", len(name)) + name.encode() + (struct.pack(">Q", len(body)) if wide else b"") + body
+
+
+def group(entries, wide):
+    return b"\x01\x00" + struct.pack(">Q" if wide else ">I", len(entries)) + b"".join(entries)
+
+
+def leaf(name, info, data, wide):
+    code = ">Q" if wide else ">I"
+    return tag(name, b"%%%%" + struct.pack(code, len(info)) + b"".join(struct.pack(code, i) for i in info) + data, 21, wide)
+
+
+def tagged(images, wide):
+    """A file of nested tags with images (values, code of their kind, dimensions), names and structs around them."""
+    number = lambda n, v: leaf(n, [3], struct.pack("<i", v), wide)
+    one = []
+    for values, code, dims in images:
+        shape = tag("Dimensions", group([number("", d) for d in dims], wide), 20, wide)
+        plain = {1: 2, 2: 6, 10: 4}[code]
+        data = tag("ImageData", group([leaf("Data", [20, plain, values.size], values.tobytes(), wide), number("DataType", code), shape], wide), 20, wide)
+        one.append(tag("", group([leaf("Name", [20, 4, 3], "abc".encode("utf-16-le"), wide), data], wide), 20, wide))
+    rest = [leaf("Rect", [15, 0, 2, 0, 3, 0, 6], struct.pack("<if", 1, 2.0), wide), leaf("Text", [18, 4], "hi".encode("utf-16-le"), wide), leaf("Points", [20, 15, 0, 2, 0, 3, 0, 3, 2], bytes(16), wide)]
+    root = group([*rest, tag("ImageList", group(one, wide), 20, wide)], wide)
+    return struct.pack(">I", 4 if wide else 3) + struct.pack(">Q" if wide else ">I", len(root)) + struct.pack(">I", 1) + root + bytes(8)
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_dm(spark, tmp_path, wide):
+    small, img = RNG.integers(0, 9, (2, 3)).astype("<i2"), RNG.random((6, 5)).astype("<f4")
+    (tmp_path / "a.dm").write_bytes(tagged([(small, 1, [3, 2]), (img, 2, [5, 6])], wide))
+    df = read_binary(spark, str(tmp_path / "a.dm"), "dm", blockbytes=40)
+    assert df.rdd.getNumPartitions() == 3
+    assert rows(df, "y", "x", "ch", "v") == {(y + 1, x + 1, 0): float(img[y, x]) for y in range(6) for x in range(5)}
+    cube = RNG.integers(0, 99, (4, 3, 2)).astype("<u2")  # channel, y, x
+    (tmp_path / "b.dm").write_bytes(tagged([(cube, 10, [2, 3, 4])], wide))
+    got = read_binary(spark, str(tmp_path / "b.dm"), "dm", blockbytes=16)
+    assert rows(got, "y", "x", "ch", "v") == {(y + 1, x + 1, c): float(cube[c, y, x]) for c in range(4) for y in range(3) for x in range(2)}
+    assert got.where("y >= 3").count() == 8
+    (tmp_path / "c.dm").write_bytes(tagged([(img, 2, [5, 6])], wide)[:200])
+    with pytest.raises(Exception, match="ends within|no image"):
+        read_binary(spark, str(tmp_path / "c.dm"), "dm").collect()
+
+
+@pytest.mark.parametrize(("order", "kind", "samples", "per"), [("<", "u2", 1, 3), (">", "f4", 1, 10), ("<", "u1", 3, 4)])
+def test_tif(spark, tmp_path, order, kind, samples, per):
+    v = (RNG.random((10, 7, samples)) * 200).astype(order + kind)
+    strips = [v[a : a + per].tobytes() for a in range(0, 10, per)]
+    places, at = [], 8
+    for s in strips:
+        places.append(at)
+        at += len(s)
+    extra = np.array(places, order + "u4").tobytes()
+    form = {"u": 1, "i": 2, "f": 3}[kind[0]]
+    entry = lambda t, k, n, x: struct.pack(order + "HHI", t, k, n) + (struct.pack(order + "HH", x, 0) if k == 3 else struct.pack(order + "I", x))
+    where = entry(273, 4, len(places), at if len(places) > 1 else places[0])
+    fields = [entry(256, 3, 1, 7), entry(257, 3, 1, 10), entry(258, 3, 1, 8 * int(kind[1])), entry(259, 3, 1, 1), where, entry(277, 3, 1, samples), entry(278, 3, 1, per), entry(339, 3, 1, form)]
+    ifd = struct.pack(order + "H", len(fields)) + b"".join(fields) + bytes(4)
+    (tmp_path / "a.tif").write_bytes((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, at + len(extra)) + b"".join(strips) + extra + ifd)
+    df = read_binary(spark, str(tmp_path / "a.tif"), "tif", blockbytes=50)
+    assert df.rdd.getNumPartitions() > 1
+    want = {(y + 1, x + 1): pytest.approx(float(v[y, x].astype(float).mean())) for y in range(10) for x in range(7)}
+    assert rows(df, "y", "x", "v") == want
+
+
+def test_calibrations(spark):
+    from datetime import datetime
+
+    from lumenframe.sources import calibrations as C
+
+    day = lambda d: datetime(2024, 1, d)
+    t = C.upsert(spark.createDataFrame([], C.SCHEMA), spark.createDataFrame([("A|100", 1.0, "nm", "", day(1)), ("A|100", 2.0, "nm", "", day(3)), ("B|50", 5.0, "nm", "", day(1)), (None, 1.0, "nm", "", day(1)), ("C|1", -1.0, "nm", "", day(1))], C.SCHEMA))
+    t = C.upsert(t, spark.createDataFrame([("A|100", 9.0, "um", "", day(3)), ("B|50", 7.0, "nm", "", day(1).replace(year=2020))], C.SCHEMA))
+    assert {r["key"]: r["pixel_size"] for r in t.collect()} == {"A|100": 9.0, "B|50": 5.0}
+    rows_ = spark.createDataFrame([(" A ", 100.2), ("A", 99.0), ("", 100.0), ("B", 50.0)], "instrument string, magnification double")
+    got = {(r["instrument"], r["magnification"]): r["pixel_size"] for r in C.calibrated(rows_, C.without(t, t.where("key = 'B|50'"))).collect()}
+    assert got == {(" A ", 100.2): 9.0, ("A", 99.0): None, ("", 100.0): None, ("B", 50.0): None}
+
+
 def sequential(words, width, height, channels):
     out, y, x = {}, 0, 0
     for w in words:
