@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.session import drop_table, materialize
+
 #: Trees with more nodes in all than this are joined by a shuffle instead of a broadcast.
 BROADCAST_NODES = 200_000
 
@@ -54,7 +56,7 @@ def softmax_train(rows: DataFrame, width: int, features: str = "features", label
         raise ValueError("no labelled rows")
     means, devs = standardize(rows, width, features) if scaled else ([0.0] * width, [1.0] * width)
     x = [(F.col(features)[i] - means[i]) / devs[i] for i in range(width)]
-    z = rows.select(F.array(*x).alias("x"), (F.array_position(F.array(*map(F.lit, classes)), F.col(label)) - 1).cast("int").alias("c"))
+    z = materialize(rows.select(F.array(*x).alias("x"), (F.array_position(F.array(*map(F.lit, classes)), F.col(label)) - 1).cast("int").alias("c")), "softmax-rows")
     w, before, loss, done = [[0.0] * (width + 1) for _ in classes], math.inf, 0.0, 0
     for done in range(1, steps + 1):
         t = z.select("x", "c", _shares([F.col("x")[i] for i in range(width)], w).alias("p"))
@@ -66,6 +68,7 @@ def softmax_train(rows: DataFrame, width: int, features: str = "features", label
         if abs(before - loss) < tolerance:
             break
         before = loss
+    drop_table(z)
     return Softmax(w, classes, means, devs, done, loss)
 
 

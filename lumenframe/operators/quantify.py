@@ -13,8 +13,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenframe.operators.measure import fraction_sigma
+from lumenframe.operators.raster import small_side
 from lumenframe.operators.spectral import K_FACTORS, K_LINES, LEAST, MASSES, PIXEL, _law, assign_lines, background, centroid, detect_peaks, within
 from lumenframe.operators.texture import band_profile
+from lumenframe.session import materialize
 
 # The elements in order of atomic number.
 ELEMENTS = (
@@ -120,15 +122,14 @@ def correction_factors(mean: DataFrame, symbols: list[str], thickness_nm: float,
 def zaf(maps: DataFrame, symbols: list[str], thickness_nm: float = 100.0, take_off: float = 20.0, density: float | None = None, iterations: int = 3) -> DataFrame:
     """Mean weight and atomic percent of thin films after corrections at the mean composition: ds_id, symbol, weight_pct, atomic_pct, z_factor, a_factor.
 
-    maps: element_maps(); each iteration is one aggregate over them, so write them first if they are dear. Fluorescence is left out.
+    maps: element_maps(); their shares are written once, and each iteration is one aggregate over these. Fluorescence is left out.
     """
     if not 0 < take_off < 90:
         raise ValueError("take_off must be between 0 and 90 degrees")
-    first = shares(maps)
-    w = first
+    first = w = materialize(shares(maps), "zaf-shares")
     for _ in range(max(1, iterations)):
         f = correction_factors(_mean_shares(w), symbols, thickness_nm, take_off, density)
-        t = first.join(F.broadcast(f), ["ds_id", "symbol"]).withColumn("u", F.col("w") / (F.col("z_factor") * F.col("a_factor")))
+        t = first.join(f, ["ds_id", "symbol"]).withColumn("u", F.col("w") / (F.col("z_factor") * F.col("a_factor")))
         w = t.select(*PIXEL, "symbol", "mass", (F.col("u") / F.sum("u").over(W.partitionBy(*PIXEL))).alias("w"), "z_factor", "a_factor")
     a = F.col("w") / F.col("mass")
     w = w.withColumn("a", a / F.sum(a).over(W.partitionBy(*PIXEL)))
@@ -276,7 +277,7 @@ def identify_edges(spectrum: DataFrame, fit_width: float = 50.0, width: float =
     """Jump at each tabulated edge that the axis (eV) holds with both windows: ds_id, symbol, edge, onset, net, significance, band."""
     axis = spectrum.groupBy("ds_id").agg(F.min("e").alias("e0"), F.max("e").alias("e1"))
     edges = axis.join(F.broadcast(edge_table(spectrum.sparkSession)), (F.col("onset") - gap - fit_width >= F.col("e0")) & (F.col("onset") + width <= F.col("e1")))
-    t = spectrum.join(F.broadcast(edges), "ds_id").where(within(F.col("onset") - gap - fit_width, F.col("onset") + width))
+    t = spectrum.join(small_side(edges), "ds_id").where(within(F.col("onset") - gap - fit_width, F.col("onset") + width))
     fit, sig = F.col("e") <= F.col("onset") - gap, F.col("e") >= F.col("onset")
     x, y = _law("powerlaw")
     law = t.where(fit).groupBy("ds_id", "symbol", "edge").agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("icept"))

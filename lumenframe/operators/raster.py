@@ -193,6 +193,11 @@ def morph(img: DataFrame, operation: str = "open", radius: int = 1, square: bool
     return img
 
 
+def small_side(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df to be broadcast if it has at most so many rows; else as it is, and Catalyst chooses."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def sanitize(img: DataFrame) -> DataFrame:
     """Pixels that aren't finite become the median of the finite ones of their raster (0 without any)."""
     fill = quantiles(img.where(finite(F.col("v"))), [DS], [0.5]).select(DS, F.col("q")[0].alias("_f"))

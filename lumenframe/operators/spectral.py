@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenframe.operators.raster import small_side
+
 # K, L and M line energies in keV.
 K_LINES = {
     "Be": 0.108, "B": 0.183, "C": 0.277, "N": 0.392, "O": 0.525, "F": 0.677, "Ne": 0.849, "Na": 1.041, "Mg": 1.254, "Al": 1.487, "Si": 1.740,
@@ -149,7 +151,7 @@ def line_maps(cube: DataFrame, symbols: list[str], beam_kv: float, half_window:
     known = spark.createDataFrame([(s, K_FACTORS.get(s, 1.0), MASSES.get(s, 1.0)) for s in symbols], "symbol string, k double, mass double")
     t = usable.join(F.broadcast(known), "symbol").select(F.col("ds_id").alias("_ds"), "symbol", "k", "mass", "lo", "hi")
     width = 2 * half_window if background == "linear" else 0.0
-    used = cube.join(F.broadcast(t), (F.col("ds_id") == F.col("_ds")) & within(F.col("lo") - width, F.col("hi") + width))
+    used = cube.join(small_side(t), (F.col("ds_id") == F.col("_ds")) & within(F.col("lo") - width, F.col("hi") + width))
     left, right = F.col("e") < F.col("lo"), F.col("e") > F.col("hi")
     peak = ~left & ~right
     rate = F.coalesce((F.avg(F.when(left, F.col("v"))) + F.avg(F.when(right, F.col("v")))) / 2, F.avg(F.when(~peak, F.col("v"))), F.lit(0.0))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenframe.operators.quantiles import quantiles
-from lumenframe.operators.raster import DS, gaussian, gradient, histogram, shape
+from lumenframe.operators.raster import DS, gaussian, gradient, histogram, shape, small_side
 from lumenframe.session import materialize
 
 #: Side of the blocks that noise is looked at in.
@@ -211,7 +211,7 @@ def montage(stack: DataFrame, columns: int, gap: int = 0) -> DataFrame:
     s = shape(stack)
     number = s.select(DS, (F.row_number().over(W.orderBy(DS)) - 1).alias("n"))  # a row per raster
     cell = s.agg(F.max("h").alias("ch"), F.max("w").alias("cw"))
-    t = stack.join(F.broadcast(number), DS).join(F.broadcast(cell))
+    t = stack.join(small_side(number), DS).join(F.broadcast(cell))
     y = F.col("y") + F.expr(f"n div {columns}") * (F.col("ch") + gap)
     return t.select(F.lit("montage").alias(DS), y.cast("int").alias("y"), (F.col("x") + F.col("n") % columns * (F.col("cw") + gap)).cast("int").alias("x"), "v")
 

@@ -17,8 +17,8 @@ query("uint16", lambda s, d: raster.to_uint16(A.field(s, d)), f", {ENDS} SELECT
 # Means of prices are dyadic, so a shift keeps them off the ties of five digits
 query("thumbnail", lambda s, d: raster.thumbnail(A.field(s, d), 40).withColumn("v", F.col("v") + 1e-7), f", s AS (SELECT greatest(1, ceil(greatest(max(y), max(x)) / 40.0))::INT AS b FROM field) SELECT ((y - 1) // b + 1)::INT AS y, ((x - 1) // b + 1)::INT AS x, {r('avg(v) + 1e-7::DOUBLE', 'v')} FROM field, s GROUP BY 1, 2", "field")
 query("embedded_roi", lambda s, d: raster.embed(raster.crop(A.field(s, d), 9, 70, 3, 21), A.field(s, d), 9, 70, 3, 21), f" SELECT y, x, CASE WHEN y BETWEEN 3 AND 9 AND x BETWEEN 21 AND 70 THEN round(v, 5) + 0.0 ELSE 0 END AS v FROM field", "field")
-TEXTS = F.concat_ws(",", F.col("o_orderkey"), F.col("o_custkey"), F.when(F.col("o_orderkey") % 7 == 0, "x").otherwise((F.col("o_orderkey") % 90).cast("string")), F.col("o_custkey") % 50)
-query("parsed_rois", lambda s, d: A.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), raster.parse_roi(TEXTS).alias("p")).select("id", "p.r1", "p.c1", "p.r2", "p.c2"), "SELECT o_orderkey AS id, CASE WHEN ok THEN o_orderkey::INT END AS r1, CASE WHEN ok THEN o_custkey::INT END AS c1, CASE WHEN ok THEN (o_orderkey % 90)::INT END AS r2, CASE WHEN ok THEN (o_custkey % 50)::INT END AS c2 FROM (SELECT *, o_orderkey % 7 <> 0 AS ok FROM orders)")
+TEXTS = lambda: F.concat_ws(",", F.col("o_orderkey"), F.col("o_custkey"), F.when(F.col("o_orderkey") % 7 == 0, "x").otherwise((F.col("o_orderkey") % 90).cast("string")), F.col("o_custkey") % 50)
+query("parsed_rois", lambda s, d: A.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), raster.parse_roi(TEXTS()).alias("p")).select("id", "p.r1", "p.c1", "p.r2", "p.c2"), "SELECT o_orderkey AS id, CASE WHEN ok THEN o_orderkey::INT END AS r1, CASE WHEN ok THEN o_custkey::INT END AS c1, CASE WHEN ok THEN (o_orderkey % 90)::INT END AS r2, CASE WHEN ok THEN (o_custkey % 50)::INT END AS c2 FROM (SELECT *, o_orderkey % 7 <> 0 AS ok FROM orders)")
 query("noise_local", lambda s, d: texture.noise(A.pix(s, d), "localvar").select("ds_id", "sigma", "snr"), f", bl AS (SELECT var_samp(v) AS s2 FROM pix GROUP BY (y - 1) // 16, (x - 1) // 16), e AS (SELECT min(s2) AS lo, max(s2) AS hi, least(50, count(*)) AS k FROM bl), b AS (SELECT floor((s2 - lo) / ((hi - lo) / k))::INT AS b FROM bl, e), m AS (SELECT b FROM b, e WHERE b < k GROUP BY b ORDER BY count(*) DESC, b LIMIT 1), g AS (SELECT sqrt(lo + (b + 0.5::DOUBLE) * (hi - lo) / k) AS sigma FROM m, e) SELECT {r('sigma')}, {r('(SELECT avg(v) FROM pix) / sigma', 'snr')} FROM g", "pix")
 query("radial_profile_around", lambda s, d: measure.radial_profile(A.pix(s, d), 12, 20.0, 11.5, True), f", t AS (SELECT v, sqrt((x - 20) ** 2 + (y - 11.5::DOUBLE) ** 2) AS d FROM pix), b AS (SELECT least(11, floor(d / (sqrt(76.0::DOUBLE ** 2 + 52.5::DOUBLE ** 2) / 12)))::INT AS bin, v FROM t), g AS (SELECT bin, avg(v) AS m, max(v) AS x, stddev_pop(v) AS s, count(*) AS n FROM b GROUP BY bin) SELECT bin, {r('(m - min(m) OVER ()) / (max(m) OVER () - min(m) OVER ())', 'mean')}, {r('(x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ())', 'max')}, {r('s / (max(m) OVER () - min(m) OVER ())', 'std')}, n FROM g", "pix")
 query("box_means", lambda s, d: measure.box_integrate(A.pix(s, d), 5, 7, 30, 50, "mean"), f"SELECT 'y' AS axis, y AS at, {r('avg(v)', 'v')} FROM pix WHERE y BETWEEN 5 AND 30 AND x BETWEEN 7 AND 50 GROUP BY y UNION ALL SELECT 'x', x, round(avg(v), 5) FROM pix WHERE y BETWEEN 5 AND 30 AND x BETWEEN 7 AND 50 GROUP BY x", "pix")
@@ -37,6 +37,6 @@ VAR = "t AS (SELECT element, e, v, (coalesce(lead(e) OVER w, e) - coalesce(lag(e
 query("edge_atomic_sigma", lambda s, d: quantify.edge_atomic_sigma(SUM(s, d), s.createDataFrame(EDGES, "element string, s0 double, s1 double, ratio double, sigma double")), f", {SUM_SQL}, {values('ed(element, s0, s1, ratio, sigma)', EDGES)}, {VAR} SELECT element, {r('100 * q / qs', 'atomic_pct')}, {r('100 * sqrt(((1 - q / qs) ** 2 * v + (q / qs) ** 2 * (vs - v)) / qs ** 2)', 'atomic_sigma')} FROM su", "cube")
 KF = values("kf(symbol, k)", list(quantify.K_FACTORS.items()))
 query("zeta_from_k", lambda s, d: quantify.zeta_from_k(FOUND(s, d), 520.0), f", {FOUND_SQL}, {KF} SELECT symbol, {r('coalesce(k, 1) * 520.0::DOUBLE', 'zeta')} FROM fs LEFT JOIN kf USING (symbol)", "cube")
-UNITS = F.when(F.col("ch") % 3 == 0, " eV").when(F.col("ch") % 3 == 1, "keV").otherwise("px")
-query("energies_in_kev", lambda s, d: SUM(s, d).select("ch", quantify.to_kev(F.col("e"), UNITS).alias("kev")), f", {SUM_SQL} SELECT ch, {r('CASE WHEN ch % 3 = 0 THEN e / 1000 ELSE e END', 'kev')} FROM u", "cube")
+UNITS = lambda: F.when(F.col("ch") % 3 == 0, " eV").when(F.col("ch") % 3 == 1, "keV").otherwise("px")
+query("energies_in_kev", lambda s, d: SUM(s, d).select("ch", quantify.to_kev(F.col("e"), UNITS()).alias("kev")), f", {SUM_SQL} SELECT ch, {r('CASE WHEN ch % 3 = 0 THEN e / 1000 ELSE e END', 'kev')} FROM u", "cube")
 query("pyramid", lambda s, d: raster.pyramid(A.field(s, d), 3, 32).withColumn("v", F.col("v") + 1e-7), f", z AS (SELECT z::INT AS z, (y - 1) // (1 << z) AS r, (x - 1) // (1 << z) AS c, avg(v) AS v FROM field, range(3) q(z) GROUP BY ALL) SELECT z, (r // 32)::INT AS ty, (c // 32)::INT AS tx, (r % 32 + 1)::INT AS y, (c % 32 + 1)::INT AS x, {r('v + 1e-7::DOUBLE', 'v')} FROM z", "field")
