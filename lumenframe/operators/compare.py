@@ -141,3 +141,40 @@ def ancestry(steps: DataFrame) -> DataFrame:
 def methods(chain: DataFrame) -> DataFrame:
     """The steps of ancestry() in words, first to last: output, text."""
     return chain.groupBy("output").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), "op"))), lambda s: s["op"]), "; ").alias("text"))
+
+
+def lattice_vectors(points: DataFrame, neighbours: int = 6, min_angle: float = 15.0, sample: int = 400, bins: int = 36) -> DataFrame:
+    """Two lattice vectors from columns (ds_id, id, y, x): ds_id, a1x, a1y, a2x, a2y, ox, oy (the column nearest to the middle), spacing.
+
+    The first `sample` columns by id look for their nearest neighbours among all columns of their raster, so rows are as many
+    as columns times that number at most. Steps of 0.3 to 1.8 times the median distance of nearest neighbours, turned to
+    point to +x, are counted by direction in bins of 180 degrees; a1 is the mean of those within 12 degrees of the fullest
+    one, a2 of those near the fullest of the directions more than min_angle off. Rasters of fewer than four columns, and those whose
+    steps don't give two such directions with two steps each that aren't on a line, have no row.
+    """
+    order = F.row_number().over(W.partitionBy(DS).orderBy("id"))
+    mid = points.groupBy(DS).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.count("*").alias("n")).where("n >= 4")
+    p = points.join(mid, DS)
+    origin = p.groupBy(DS).agg(F.min_by(F.struct("x", "y"), F.struct(F.round(F.pow(F.col("x") - F.col("mx"), F.lit(2)) + F.pow(F.col("y") - F.col("my"), F.lit(2)), 9), "id")).alias("o"))
+    # The first columns by id: a bound for each raster before any are ranked against each other.
+    few = p.select(DS, "id", "x", "y").withColumn("rank", order).where(F.col("rank") <= sample)
+    other = p.select(DS, F.col("id").alias("oid"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    d2 = F.round(F.pow(F.col("ox") - F.col("x"), F.lit(2)) + F.pow(F.col("oy") - F.col("y"), F.lit(2)), 9)
+    near = few.join(other, DS).where("oid <> id").withColumn("d2", d2)
+    near = near.withColumn("k", F.row_number().over(W.partitionBy(DS, "id").orderBy("d2", "oid"))).where(F.col("k") <= neighbours)
+    steps = materialize(near.select(DS, "k", F.sqrt("d2").alias("far"), (F.col("ox") - F.col("x")).alias("u"), (F.col("oy") - F.col("y")).alias("w")), "lattice-steps")
+    spacing = steps.where("k = 1 AND far > 0").groupBy(DS).agg(F.percentile("far", 0.5).alias("spacing"))
+    v = steps.join(spacing, DS).where("far > 0.3 * spacing AND far < 1.8 * spacing")
+    turn = F.when((F.col("u") < 0) | ((F.abs("u") < 1e-9) & (F.col("w") < 0)), -1.0).otherwise(1.0)
+    v = v.select(DS, "spacing", (turn * F.col("u")).alias("u"), (turn * F.col("w")).alias("w")).withColumn("angle", F.atan2("w", "u"))
+    v = materialize(v.withColumn("bin", F.least(F.lit(bins - 1), F.floor((F.col("angle") + math.pi / 2) / (math.pi / bins)))), "lattice-directions")
+    off = lambda c: F.abs(F.pmod(F.col("angle") - F.col(c) + math.pi / 2, F.lit(math.pi)) - math.pi / 2)
+    fullest = lambda t, c: t.groupBy(DS, "bin").agg(F.count("*").alias("n")).groupBy(DS).agg(((F.max_by("bin", F.struct("n", -F.col("bin"))) + 0.5) * (math.pi / bins) - math.pi / 2).alias(c))
+    mean = lambda t, c: t.groupBy(DS).agg(F.avg("u").alias(f"{c}x"), F.avg("w").alias(f"{c}y"), F.count("*").alias("n")).where("n >= 2").drop("n")
+    one = v.join(fullest(v, "c1"), DS)
+    a1 = mean(one.where(off("c1") <= math.radians(12)), "a1")
+    rest = one.where(off("c1") > math.radians(min_angle))
+    a2 = mean(rest.join(fullest(rest, "c2"), DS).where(off("c2") <= math.radians(12)), "a2")
+    out = a1.join(a2, DS).join(spacing, DS).join(origin, DS)
+    flat = F.abs(F.col("a1x") * F.col("a2y") - F.col("a1y") * F.col("a2x")) < 1e-6 * F.col("spacing") * F.col("spacing")
+    return out.where(~flat).select(DS, "a1x", "a1y", "a2x", "a2y", F.col("o.x").alias("ox"), F.col("o.y").alias("oy"), "spacing")

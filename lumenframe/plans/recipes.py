@@ -157,7 +157,7 @@ def resolve(step: dict, spark: SparkSession | None = None) -> tuple[Op, dict[str
     if unknown := set(given) - set(fields.names):
         raise ValueError(f"{name}: unknown parameters {sorted(unknown)}")
     if missing := [c for c in fields.names if given.get(c) is None and c not in op.defaults]:
-        raise ValueError(f"{name}: {missing} needed")
+        raise ValueError(f"{name}: {', '.join(missing)} is needed")
     if not fields.names:
         return op, {}
     text = {c: v if isinstance(v, str) else json.dumps(v) for c, v in given.items() if v is not None}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenframe import adapters as A
-from lumenframe.operators import measure, quantify, raster, regions, texture
+from lumenframe.operators import compare, measure, quantify, raster, regions, texture
 from lumenframe.plans.analysis_queries import SUM, SUM_SQL, values
 from lumenframe.plans.registry import query, r, rounded
 from lumenframe.plans.structure_queries import STEPS
@@ -40,3 +40,10 @@ query("zeta_from_k", lambda s, d: quantify.zeta_from_k(FOUND(s, d), 520.0), f",
 UNITS = lambda: F.when(F.col("ch") % 3 == 0, " eV").when(F.col("ch") % 3 == 1, "keV").otherwise("px")
 query("energies_in_kev", lambda s, d: SUM(s, d).select("ch", quantify.to_kev(F.col("e"), UNITS()).alias("kev")), f", {SUM_SQL} SELECT ch, {r('CASE WHEN ch % 3 = 0 THEN e / 1000 ELSE e END', 'kev')} FROM u", "cube")
 query("pyramid", lambda s, d: raster.pyramid(A.field(s, d), 3, 32).withColumn("v", F.col("v") + 1e-7), f", z AS (SELECT z::INT AS z, (y - 1) // (1 << z) AS r, (x - 1) // (1 << z) AS c, avg(v) AS v FROM field, range(3) q(z) GROUP BY ALL) SELECT z, (r // 32)::INT AS ty, (c // 32)::INT AS tx, (r % 32 + 1)::INT AS y, (c % 32 + 1)::INT AS x, {r('v + 1e-7::DOUBLE', 'v')} FROM z", "field")
+# A lattice of all suppliers: rows of ten, each shifted, with small errors
+GRID = lambda s, d: A.table(s, d, "supplier").select(F.lit("g").alias("ds_id"), F.col("s_suppkey").alias("id"), (7.0 * (F.col("s_suppkey") % 10) + 1.5 * F.expr("s_suppkey div 10") + (F.col("s_suppkey") % 7) / 20.0).alias("x"), (6.0 * F.expr("s_suppkey div 10") + (F.col("s_suppkey") % 5) / 20.0).alias("y"))
+GRID_SQL = "g AS (SELECT s_suppkey AS id, 7.0::DOUBLE * (s_suppkey % 10) + 1.5::DOUBLE * (s_suppkey // 10) + (s_suppkey % 7) / 20.0::DOUBLE AS x, 6.0::DOUBLE * (s_suppkey // 10) + (s_suppkey % 5) / 20.0::DOUBLE AS y FROM supplier)"
+NEAREST = "fw AS (SELECT * FROM g ORDER BY id LIMIT 400), nn AS (SELECT fw.id, g.x - fw.x AS u, g.y - fw.y AS w, sqrt((g.x - fw.x) ** 2 + (g.y - fw.y) ** 2) AS far, row_number() OVER (PARTITION BY fw.id ORDER BY round((g.x - fw.x) ** 2 + (g.y - fw.y) ** 2, 9), g.id) AS k FROM fw JOIN g ON g.id <> fw.id), sp AS (SELECT quantile_cont(far, 0.5) AS spacing FROM nn WHERE k = 1), vv AS (SELECT CASE WHEN u < 0 OR abs(u) < 1e-9 AND w < 0 THEN -u ELSE u END AS u, CASE WHEN u < 0 OR abs(u) < 1e-9 AND w < 0 THEN -w ELSE w END AS w FROM nn, sp WHERE k <= 6 AND far > 0.3::DOUBLE * spacing AND far < 1.8::DOUBLE * spacing), va AS MATERIALIZED (SELECT u, w, atan2(w, u) AS a, least(35, floor((atan2(w, u) + pi() / 2) / (pi() / 36)))::INT AS b FROM vv)"
+OFF = "abs((a - c + pi() / 2) - floor((a - c + pi() / 2) / pi()) * pi() - pi() / 2)"
+MAIN = f"m1 AS (SELECT (b + 0.5::DOUBLE) * (pi() / 36) - pi() / 2 AS c FROM va GROUP BY b ORDER BY count(*) DESC, b LIMIT 1), re AS (SELECT va.* FROM va, m1 WHERE {OFF} > radians(15)), m2 AS (SELECT (b + 0.5::DOUBLE) * (pi() / 36) - pi() / 2 AS c FROM re GROUP BY b ORDER BY count(*) DESC, b LIMIT 1), a1 AS (SELECT avg(u) AS a1x, avg(w) AS a1y FROM va, m1 WHERE {OFF} <= radians(12)), a2 AS (SELECT avg(u) AS a2x, avg(w) AS a2y FROM re, m2 WHERE {OFF} <= radians(12)), og AS (SELECT x AS ox, y AS oy FROM g, (SELECT avg(x) AS mx, avg(y) AS my FROM g) ORDER BY round((x - mx) ** 2 + (y - my) ** 2, 9), id LIMIT 1)"
+query("lattice_vectors", lambda s, d: compare.lattice_vectors(GRID(s, d)), f"WITH {GRID_SQL}, {NEAREST}, {MAIN} SELECT " + ", ".join(r(c) for c in ("a1x", "a1y", "a2x", "a2y", "ox", "oy", "spacing")) + " FROM a1, a2, og, sp")

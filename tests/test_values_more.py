@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.operators import fits, measure, quantify, raster, regions, texture
+from lumenframe.operators import compare, fits, measure, quantify, raster, regions, texture
 
 RNG = np.random.default_rng(4)
 
@@ -124,3 +124,13 @@ def test_self_affine_growth_and_noise(spark):
     assert min(r["mean"] for r in p) == 0 and max(r["max"] for r in p) == 1
     box = measure.box_integrate(frame(spark, img), 2, 3, 5, 9, "mean").where("axis = 'y' AND at = 4").first()
     assert box["v"] == pytest.approx(img[3, 2:9].mean())
+
+
+def test_lattice_vectors(spark):
+    rows = [(ds, 20 * i + j, 50 + a[0] * i + b[0] * j + RNG.normal(0, 0.05), 40 + a[1] * i + b[1] * j + RNG.normal(0, 0.05)) for ds, a, b in (("a", (9.0, 1.0), (2.0, 7.0)), ("b", (6.0, 0.0), (3.0, 5.2))) for i in range(20) for j in range(20)]
+    rows += [("few", k, 1.0 * k, 0.0) for k in range(3)] + [("line", k, 1.0 * k, 0.0) for k in range(9)]
+    got = {r["ds_id"]: r for r in compare.lattice_vectors(spark.createDataFrame(rows, "ds_id string, id long, x double, y double")).collect()}
+    assert set(got) == {"a", "b"}
+    for ds, area in (("a", 61.0), ("b", 31.2)):
+        r = got[ds]
+        assert abs(r["a1x"] * r["a2y"] - r["a1y"] * r["a2x"]) == pytest.approx(area, rel=0.03)
