@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.operators.quantiles import blocks, cumulated, quantiles
 from lumenframe.operators.raster import DS, finite, plane_level, shape
+from lumenframe.session import beside, materialize
 
 
 def image_stats(img: DataFrame) -> DataFrame:
@@ -143,18 +144,21 @@ def fit_weibull(pop: DataFrame, steps: int = 10) -> DataFrame:
     """Maximum likelihood Weibull fit of the positive values per group: grp, kind, n, shape, scale, loglik, aic.
 
     Newton's steps for the shape on the logarithms less their mean, each one an aggregate; values all equal have no fit.
+    Where groups are few, what is known of them is broadcast to their values, so no group is one task.
     """
     t = pop.where(finite(F.col("v")) & (F.col("v") > 0)).select("grp", F.log("v").alias("t"))
     s = t.groupBy("grp").agg(F.count("*").alias("n"), F.avg("t").alias("m"), F.stddev_pop("t").alias("sd")).where("sd > 1e-12")
-    z = t.join(s, "grp").select("grp", (F.col("t") - F.col("m")).alias("z"))
+    s = materialize(s, "weibull-groups")
+    near = beside(s)
+    z = t.join(near(s), "grp").select("grp", (F.col("t") - F.col("m")).alias("z"))
     k = s.select("grp", "n", "m", (math.pi / math.sqrt(6) / F.col("sd")).alias("k"))
     p = F.exp(F.col("k") * F.col("z"))
     for _ in range(steps):
-        sums = z.join(k, "grp").groupBy("grp", "n", "m", "k").agg(F.sum(p).alias("s0"), F.sum(p * F.col("z")).alias("s1"), F.sum(p * F.col("z") * F.col("z")).alias("s2"))
+        sums = z.join(near(k), "grp").groupBy("grp", "n", "m", "k").agg(F.sum(p).alias("s0"), F.sum(p * F.col("z")).alias("s1"), F.sum(p * F.col("z") * F.col("z")).alias("s2"))
         mean = F.col("s1") / F.col("s0")
         step = (mean - 1 / F.col("k")) / (F.col("s2") / F.col("s0") - mean * mean + 1 / (F.col("k") * F.col("k")))
         k = sums.select("grp", "n", "m", F.greatest(F.col("k") - step, F.col("k") / 2).alias("k"))
-    out = z.join(k, "grp").groupBy("grp", "n", "m", "k").agg((F.log(F.avg(p)) / F.first("k")).alias("ls"))
+    out = z.join(near(k), "grp").groupBy("grp", "n", "m", "k").agg((F.log(F.avg(p)) / F.first("k")).alias("ls"))
     loglik = F.col("n") * (F.log("k") - F.col("k") * (F.col("m") + F.col("ls")) + (F.col("k") - 1) * F.col("m") - 1)
     return out.select("grp", F.lit("weibull").alias("kind"), "n", F.col("k").alias("shape"), F.exp(F.col("m") + F.col("ls")).alias("scale"), loglik.alias("loglik"), (4 - 2 * loglik).alias("aic"))
 
