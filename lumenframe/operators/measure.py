@@ -182,7 +182,8 @@ def fit_all(pop: DataFrame, least: int = 8) -> DataFrame:
     all_ = ok.groupBy("grp").agg(F.count("*").alias("total"))
     fits = fit_normal_lognormal(ok).withColumn("shape", F.lit(None).cast("double")).unionByName(fit_weibull(ok).withColumn("loc", F.lit(0.0)))
     fits = fits.join(all_, "grp").where((F.col("total") >= least) & (F.col("n") == F.col("total"))).drop("total")
-    t = cumulated(ok, ["grp"]).join(fits.select("grp", "kind", "loc", "scale", "shape"), "grp")
+    fits = materialize(fits, "fits")
+    t = cumulated(ok, ["grp"]).join(beside(fits)(fits.select("grp", "kind", "loc", "scale", "shape")), "grp")
     v = F.col("v")
     cdf = F.when(F.col("kind") == "weibull", 1 - F.exp(-F.pow(v / F.col("scale"), F.col("shape")))).otherwise(normal_cdf((F.when(F.col("kind") == "normal", v).otherwise(F.log(v)) - F.col("loc")) / F.col("scale")))
     t = t.withColumn("c", cdf)
@@ -205,9 +206,9 @@ def histogram_bins(pop: DataFrame, most: int = 200) -> DataFrame:
     s = s.join(quantiles(v, ["grp"], [0.25, 0.75]), "grp").withColumn("iqr", F.col("q")[1] - F.col("q")[0])
     step = 2 * F.col("iqr") / F.cbrt(F.col("n").cast("double"))
     bins = F.least(F.lit(most), F.greatest(F.lit(1), F.coalesce(F.ceil(F.try_divide(F.col("hi") - F.col("lo"), step)), F.ceil(F.sqrt("n"))))).cast("int")
-    s = s.withColumn("bins", bins)
+    s = materialize(s.withColumn("bins", bins), "bins")
     at = F.coalesce(F.least(F.col("bins") - 1, F.floor(F.try_divide(F.col("v") - F.col("lo"), (F.col("hi") - F.col("lo")) / F.col("bins")))), F.lit(0)).cast("int")
-    return v.join(s.select("grp", "lo", "hi", "bins"), "grp").groupBy("grp", "bins", at.alias("bin")).agg(F.count("*").alias("n"))
+    return v.join(beside(s)(s.select("grp", "lo", "hi", "bins")), "grp").groupBy("grp", "bins", at.alias("bin")).agg(F.count("*").alias("n"))
 
 
 def trapezoid(traces: DataFrame) -> DataFrame:
