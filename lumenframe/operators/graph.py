@@ -24,7 +24,8 @@ def star_roots(links: DataFrame, name: str = "stars") -> DataFrame:
     """Smallest node reachable from each node of links (g, u, v): g, node, root. g keeps graphs apart.
 
     Links count in both directions; repeats and self-links are allowed. Large stars hang the larger neighbours of a node on
-    its smallest one, small stars the node and its smaller neighbours. The rounds end when the links no longer change.
+    its smallest one, small stars the node and its smaller neighbours. The rounds end when the links no longer change. They
+    merge sorted links, as tables broadcast in each round would add up in the driver.
     """
 
     def state(t: DataFrame) -> tuple:
@@ -36,9 +37,9 @@ def star_roots(links: DataFrame, name: str = "stars") -> DataFrame:
     while before[0]:
         both = e.unionByName(e.select("g", F.col("v").alias("u"), F.col("u").alias("v")))
         smallest = both.groupBy("g", "u").agg(F.min("v").alias("m"))
-        large = both.join(smallest, ["g", "u"]).where("v > u").select("g", F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = both.hint("merge").join(smallest, ["g", "u"]).where("v > u").select("g", F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         smallest = large.groupBy("g", "u").agg(F.min("v").alias("m"))
-        small = large.join(smallest, ["g", "u"]).select("g", F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x"))
+        small = large.hint("merge").join(smallest, ["g", "u"]).select("g", F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x"))
         after = materialize(small.select("g", "x.u", "x.v").where("u <> v").distinct(), name)
         now = state(after)
         drop_table(e)

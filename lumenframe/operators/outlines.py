@@ -129,7 +129,7 @@ def contour_rings(labels: DataFrame) -> DataFrame:
     """Steps of contour_steps() with ring, the smallest point of the ring that each is on."""
     steps = materialize(contour_steps(labels), "contour-steps")
     roots = star_roots(steps.select(F.struct(DS, "label").alias("g"), "u", "v"), "contour-rings")
-    return steps.join(roots.select(F.col(f"g.{DS}").alias(DS), F.col("g.label").alias("label"), F.col("node").alias("u"), F.col("root").alias("ring")), [DS, "label", "u"])
+    return steps.hint("merge").join(roots.select(F.col(f"g.{DS}").alias(DS), F.col("g.label").alias("label"), F.col("node").alias("u"), F.col("root").alias("ring")), [DS, "label", "u"])
 
 
 def ring_areas(rings: DataFrame) -> DataFrame:
@@ -154,13 +154,13 @@ def ordered_rings(rings: DataFrame) -> DataFrame:
     """Points of contour_rings() in order: ds_id, label, ring, i (from 0, the ring's smallest point), y, x.
 
     Pointer doubling: each point knows how many steps lead to the ring's end from it, twice as far in each round, so a ring of n
-    points takes log n joins.
+    points takes log n joins. They merge sorted points, as tables broadcast in each round would add up in the driver.
     """
     key = [DS, "label", "ring"]
     at = materialize(rings.select(*key, F.col("u").alias("p"), F.when(F.col("v") != F.col("ring"), F.col("v")).alias("next"), F.lit(1).cast("long").alias("far"), "y0", "x0"), "ring-order")
     while not at.where("next is not null").isEmpty():
         on = at.select(*key, F.col("p").alias("next"), F.col("next").alias("beyond"), F.col("far").alias("more"))
-        longer = at.join(on, [*key, "next"], "left")
+        longer = at.hint("merge").join(on, [*key, "next"], "left")
         new = materialize(longer.select(*key, "p", F.col("beyond").alias("next"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), "y0", "x0"), "ring-order")
         drop_table(at)
         at = new
