@@ -160,8 +160,16 @@ def circle_fit(points: DataFrame) -> DataFrame:
     return points.join(c, "ring").groupBy("ring", "n", "cx", "cy", "radius").agg(F.sqrt(F.avg(far * far)).alias("rms"))
 
 
+#: Vertices of rings that one task holds.
+VERTICES = 500_000
+
+
 def ring_steps(vertices: DataFrame) -> DataFrame:
-    """Closed rings (ring, i, x, y) as steps from one vertex to the next, the last one back to the first: adds x2, y2, at."""
+    """Closed rings (ring, i, x, y) as steps from one vertex to the next, the last one back to the first: adds x2, y2, at.
+
+    Rings are dealt to tasks of about VERTICES each, so what a task holds doesn't grow with the table.
+    """
+    vertices = vertices.repartition(1 + vertices.count() // VERTICES, "ring")
     w = W.partitionBy("ring").orderBy("i")
     first = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     to = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(first))
