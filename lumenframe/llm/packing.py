@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import table
-from lumenframe.llm.tokens import slices, tokenizer, vocabulary, with_end
+from lumenframe.llm.tokens import TEXT_BYTES, UNITS, slices, tokenizer, vocabulary, with_end
 from lumenframe.session import materialize
 
 PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -60,19 +60,13 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def pieces(docs: DataFrame, tokenizer_file: str, end_id: int = 0, most: int = 2048, id_col: str = "doc_id", text_col: str = "text", max_units: int = 800_000) -> DataFrame:
-    """Pieces of tokenized documents: doc_id, piece, start, length, ids_crc32.
-
-    max_units bounds the units that a task keeps the ids of: fewer take less memory and more time.
-
-    Null and empty texts have the end id only. Rows that repeat an id have pieces of their own; null ids stay null. An
-    empty table gives no pieces; other columns aren't read.
-    """
+def _cut(tokenizer_file: str, end_id: int, most: int, max_units: int):
+    """id, text -> pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_file, max_units)
         for whole in batches:
-            for b in slices(whole):
+            for b in slices(whole, TEXT_BYTES):
                 ids, at = with_end(*tok.encode(b.column(1)), end_id)
                 own, piece, start, length = cuts(np.diff(at), most)
                 raw = memoryview(ids.astype("<u4")).cast("B")
@@ -81,7 +75,18 @@ def pieces(docs: DataFrame, tokenizer_file: str, end_id: int = 0, most: int = 20
                 cols = [b.column(0).take(pa.array(own)), piece.astype(np.int32), start, length, np.array(crc, np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, PIECE, strict=True)], [t.name for t in PIECE])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return run
+
+
+def pieces(docs: DataFrame, tokenizer_file: str, end_id: int = 0, most: int = 2048, id_col: str = "doc_id", text_col: str = "text", max_units: int = UNITS) -> DataFrame:
+    """Pieces of tokenized documents: doc_id, piece, start, length, ids_crc32.
+
+    max_units bounds the units that a task keeps the ids of: fewer take less memory and more time.
+
+    Null and empty texts have the end id only. Rows that repeat an id have pieces of their own; null ids stay null. An
+    empty table gives no pieces; other columns aren't read.
+    """
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_cut(tokenizer_file, end_id, most, max_units), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def _pack_chunk(t: pa.Table, capacity: int, slack: int, base: int) -> Iterator[pa.RecordBatch]:

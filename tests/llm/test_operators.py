@@ -228,6 +228,25 @@ def test_records_and_packing(docs, spark):
         read_frame(io.BytesIO(data[:-1] + b"?"))
 
 
+def test_memory_of_a_task_that_cuts_pieces():
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lumenframe.llm.packing import _cut
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(VOCAB[:500], k=3000)) for _ in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    tokenizer(vocabulary()).encode(pa.array(texts[:1]))
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in _cut(vocabulary(), 0, 2048, 400_000)(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows >= 500 and most < 80e6
+
+
 def test_units_against_the_library():
     import random
 
