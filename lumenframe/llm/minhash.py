@@ -13,8 +13,8 @@ Bands of registers are the keys of buckets of candidates. Documents with equal s
    change as components merge and blocks are dealt anew, so a round takes all pairs in it and leaves out those already
    checked by comparing with a table of them. A bitmap of
    element parities rules out pairs whose sets differ in too many elements: the bits in which two bitmaps differ are at
-   most as many as the elements in which the sets differ, so no link is lost. Each round goes on with the buckets that
-   the one before left with more than one component.
+   most as many as the elements in which the sets differ, so no link is lost. Each round goes on with the buckets of
+   which the one before left pairs beyond its window, if they hold more than one component.
 
 No pairs within a component are made, so a large group of near copies costs about as many checks as it has members.
 """
@@ -132,13 +132,13 @@ def _small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
 
 
 def shingle_sets(docs: DataFrame, k: int, what: str) -> DataFrame:
-    """id, n, key, regs, parity (what='sketch') or id, members (what='set', the sorted hashes as bytes) of documents with an id."""
+    """id, n, key, regs, parity (what='sketch') or id, members (what='set', the sorted hashes) of documents with an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _small(batches):
             s, at = shingles(b.column(1), k)
             if what == "set":
-                yield pa.RecordBatch.from_arrays([b.column(0), _binary(s, at)], ["id", "members"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(s.view(np.int64)))], ["id", "members"])
                 continue
             raw, n = memoryview(s).cast("B") if len(s) else memoryview(b""), np.diff(at)
             key = [blake2b(raw[8 * i : 8 * j], digest_size=16).digest() if j > i else None for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
@@ -146,7 +146,7 @@ def shingle_sets(docs: DataFrame, k: int, what: str) -> DataFrame:
             regs, parity = _binary(registers(s, at).ravel(), each * BUCKETS), _binary(parities(s, at).ravel(), each * (PARITY // 8))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(key, pa.binary()), regs, parity], ["id", "n", "key", "regs", "parity"])
 
-    return docs.mapInArrow(run, "id long, members binary" if what == "set" else "id long, n long, key binary, regs binary, parity binary")
+    return docs.mapInArrow(run, "id long, members array<long>" if what == "set" else "id long, n long, key binary, regs binary, parity binary")
 
 
 def _bands(rows: int):
@@ -160,21 +160,6 @@ def _bands(rows: int):
     return run
 
 
-def _linked(num: int, den: int):
-    """Keep pairs a, b whose sets sa, sb have den * |intersection| >= num * |union|."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(den * both >= num * (len(x) + len(y) - both) and both > 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["src", "dst"]).filter(pa.array(ok, pa.bool_()))
-
-    return run
-
-
 def plausible(n: tuple, regs: tuple, parity: tuple, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Whether two sets' sizes, parities and estimate allow a link, and the estimates (0 where the first two don't)."""
     differ = np.bitwise_count(parity[0] ^ parity[1]).sum(axis=1, dtype=np.int64)
@@ -207,19 +192,19 @@ def _pairs(m: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compare(num: int, den: int, last: int):
-    """Pairs of different components in each group of rows: g (group), side, id, n, comp, regs, parity, sorted by g.
+    """Pairs of different components in each group of rows: g (group), bucket, side, id, n, comp, regs, parity, sorted by g.
 
     A group is a candidate bucket or, of a large one, one or two of its blocks (side tells which); yields a, b for pairs
-    whose sizes, estimates and parities allow a link and that are among the last first by similarity for one of the two, and a row of
-    nulls if pairs beyond these are left.
+    whose sizes, estimates and parities allow a link and that are among the last first by similarity for one of the two, and a row
+    with the bucket alone if pairs beyond these are left in a group of it.
     """
 
     def close(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         n, comp, regs, parity = rows["n"], rows["comp"], rows["regs"], rows["parity"]
-        keep = (comp[i] != comp[j]) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
-        i, j = i[keep], j[keep]
-        for s in range(0, len(i), 50_000):
-            a, b = i[s : s + 50_000], j[s : s + 50_000]
+        for s in range(0, len(i), 20_000):
+            a, b = i[s : s + 20_000], j[s : s + 20_000]
+            keep = (comp[a] != comp[b]) & (den * np.minimum(n[a], n[b]) >= num * np.maximum(n[a], n[b]))
+            a, b = a[keep], b[keep]
             ok, est = plausible((n[a], n[b]), (regs[a], regs[b]), (parity[a], parity[b]), num, den)
             yield a[ok], b[ok], est[ok]
 
@@ -233,15 +218,14 @@ def _compare(num: int, den: int, last: int):
 
     def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).combine_chunks()
-        rows = {c: t.column(c).to_numpy() for c in ("side", "id", "n", "comp")}
+        rows = {c: t.column(c).to_numpy() for c in ("bucket", "side", "id", "n", "comp")}
         rows["regs"], rows["parity"] = _unpacked(t.column("regs"), t.column("parity"))
         g = t.column("g").to_numpy()
         starts = np.append(np.flatnonzero(np.append(True, g[1:] != g[:-1])), len(g))
-        left = False
+        left = [np.zeros(0, np.int64)]
 
         def done(some: list) -> Iterator[pa.RecordBatch]:
             """What whole groups have: their pairs are gone before those of the next ones come."""
-            nonlocal left
             i, j = (np.concatenate(x) for x in zip(*some, strict=True))
             some.clear()
             found = list(close(rows, i, j))
@@ -252,8 +236,9 @@ def _compare(num: int, den: int, last: int):
             ia, ib = rows["id"][a], rows["id"][b]
             best = np.minimum(ranks(gid * (1 << 32) + a, est, ib), ranks(gid * (1 << 32) + b, est, ia))
             now = best < last
-            left |= not now.all()
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ia[now], ib[now])), pa.array(np.maximum(ia[now], ib[now]))], ["a", "b"])
+            left.append(np.unique(rows["bucket"][a[~now]]))
+            ia, ib = ia[now], ib[now]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ia, ib)), pa.array(np.maximum(ia, ib)), pa.nulls(len(ia), pa.int64())], ["a", "b", "bucket"])
 
         some: list = []
         size = 0
@@ -271,8 +256,9 @@ def _compare(num: int, den: int, last: int):
                 size = 0
         if some:
             yield from done(some)
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64())], ["a", "b"])
+        again = np.unique(np.concatenate(left))
+        if len(again):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(again), pa.int64()), pa.nulls(len(again), pa.int64()), pa.array(again)], ["a", "b", "bucket"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -315,13 +301,15 @@ def hyperminhash_components(docs: DataFrame, k: int = 5, num: int = 80, den: int
     members = inside.select(F.xxhash64("id").alias("digest")).distinct()
     bits = filter_bits(members.count())
     wanted = probe_filter(texts.withColumn("digest", F.xxhash64("id")), build_filter(members, bits), bits)
-    sets = materialize(shingle_sets(wanted.select("id", "text"), k, "set"), "hmh-sets")
+    sets = materialize(shingle_sets(wanted.select("id", "text"), k, "set").where(F.size("members") > 0), "hmh-sets")
     regs = classes.select("id", "n", "regs", "parity")
 
     def verified(pairs: DataFrame) -> DataFrame:
         with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("sb")), "b")
-        with_sets = with_b.join(sets.select(F.col("id").alias("a"), F.col("members").alias("sa")), "a").select("a", "b", "sa", "sb")
-        return materialize(with_sets.mapInArrow(_linked(num, den), "src long, dst long"), "hmh-links")
+        with_sets = with_b.join(sets.select(F.col("id").alias("a"), F.col("members").alias("sa")), "a")
+        # den * both >= num * union, with both of the union's terms on one side
+        linked = F.lit(num + den) * F.size(F.array_intersect("sa", "sb")) >= F.lit(num) * (F.size("sa") + F.size("sb"))
+        return materialize(with_sets.where(linked).select(F.col("a").alias("src"), F.col("b").alias("dst")), "hmh-links")
 
     def hopeful(pairs: DataFrame) -> DataFrame:
         both = pairs.join(regs.selectExpr("id AS a", "n AS na", "regs AS ra", "parity AS pa"), "a").join(regs.selectExpr("id AS b", "n AS nb", "regs AS rb", "parity AS pb"), "b")
@@ -369,18 +357,19 @@ def hyperminhash_components(docs: DataFrame, k: int = 5, num: int = 80, den: int
         low = F.when(large & in_c0, p).otherwise(0)
         high = F.when(large, p + q - 1).otherwise(0)
         spread = labelled.withColumn("own", own).withColumn("other", F.explode(F.sequence(low, high)))
-        spread = spread.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("g"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "id", "comp")
-        groups = spread.join(regs, "id").select("g", "side", "id", "n", "comp", "regs", "parity").repartition("g").sortWithinPartitions("g", "id")
-        found = materialize(groups.mapInArrow(_compare(num, den, last), "a long, b long").distinct(), "hmh-found")
-        more = not found.where("a is null").isEmpty()
-        pairs = materialize(found.where("a is not null").join(checked, ["a", "b"], "left_anti"), "hmh-pairs")
+        spread = spread.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "bucket", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "id", "comp")
+        groups = spread.join(regs, "id").select("g", "bucket", "side", "id", "n", "comp", "regs", "parity").repartition("g").sortWithinPartitions("g", "id")
+        found = materialize(groups.mapInArrow(_compare(num, den, last), "a long, b long, bucket long").distinct(), "hmh-found")
+        again = materialize(found.where("a is null").select("bucket"), "hmh-again")
+        pairs = materialize(found.where("a is not null").select("a", "b").join(checked, ["a", "b"], "left_anti"), "hmh-pairs")
         drop_table(found)
         checked = checked.union(pairs)
         if not pairs.isEmpty():
             comps = merged(comps, verified(pairs))
-        if not more:
+        if again.isEmpty():
             break
-        last *= 8
+        # A bucket whose pairs were all in the window is done: each is checked or within a component.
+        open_, last = open_.join(again, "bucket"), last * 8
     drop_table(sets)
     drop_table(open_)
     ids = sketches.select("id", "n", "key").join(classes.select("key", F.col("id").alias("rep")), "key", "left")

@@ -133,6 +133,34 @@ def test_vectors(spark):
     assert all(got[i]["n_links"] == 0 for i in (900, 901, 902, 903, 904))
 
 
+def test_buckets_with_all_pairs_in_the_window_are_done():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lumenframe.llm.minhash import BUCKETS, PARITY, _compare
+
+    def batch(bucket, side, alike):
+        n = len(side)
+        regs = np.ones((n, BUCKETS), np.uint16) if alike else np.random.default_rng(n).integers(1, 1 << 16, (n, BUCKETS)).astype(np.uint16)
+        cols = [np.full(n, bucket), np.full(n, bucket), side, np.arange(n), np.full(n, 100), np.arange(n)]
+        binary = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (regs, np.zeros((n, PARITY // 8), np.uint8))]
+        return pa.RecordBatch.from_arrays([*map(pa.array, cols), *binary], ["g", "bucket", "side", "id", "n", "comp", "regs", "parity"])
+
+    run, found = _compare(80, 100, 2), {}
+    for b in run(iter([batch(7, np.zeros(2, int), True), batch(8, np.zeros(9, int), True)])):
+        for r in b.to_pylist():
+            found.setdefault(r["bucket"], []).append((r["a"], r["b"]))
+    assert found[8] == [(None, None)] and 7 not in found and (0, 1) in found[None]
+    wide = [batch(9, np.arange(2048) % 2, False)]
+    list(run(iter(wide)))
+    tracemalloc.start()
+    list(run(iter(wide)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6
+
+
 def test_vectors_of_a_large_group_of_near_copies(spark):
     rng = np.random.default_rng(4)
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
