@@ -431,3 +431,17 @@ def test_marginals_and_gradient():
     x[y == 1] = 99
     w, tr = fit(x, y, np.ones(y.shape, bool))
     assert w[99] * PARTS + tr[0, 1] > tr[0, 0] and w[7] * PARTS + tr[0, 1] < tr[0, 0]
+
+
+def test_passages_at_the_threshold_that_begin_or_end_with_unlike_words():
+    from lumenframe.llm.passages import passages
+
+    x = list(range(100))
+    y = list(range(500, 600))
+    y[25:75] = x[25:75]
+    for i in (25, 26, 30, 31, 40, 41, 55, 60, 73, 74):  # 10 of the 50 words from 25 on, two at either end
+        y[i] = 700 + i
+    ((x0, x1, y0, y1, similarity, _),) = passages(x, y, [[42, 49, 42, 49]], 50, 80)
+    assert x0 == y0 <= 27 and 73 <= x1 == y1 == x0 + 50 and similarity == 0.8
+    y[50] = 750
+    assert not list(passages(x, y, [[42, 49, 42, 49]], 50, 80))
