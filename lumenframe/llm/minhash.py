@@ -299,7 +299,7 @@ def hyperminhash_components(docs: DataFrame, k: int = 5, num: int = 80, den: int
     inside = materialize(buckets.join(shared, "bucket").select("bucket", "id", "low", "size"), "hmh-inside")
     drop_table(buckets)
     members = inside.select(F.xxhash64("id").alias("digest")).distinct()
-    bits = filter_bits(members.count())
+    bits = filter_bits(inside.agg(F.approx_count_distinct("id")).first()[0])
     wanted = probe_filter(texts.withColumn("digest", F.xxhash64("id")), build_filter(members, bits), bits)
     sets = materialize(shingle_sets(wanted.select("id", "text"), k, "set").where(F.size("members") > 0), "hmh-sets")
     regs = classes.select("id", "n", "regs", "parity")
@@ -319,11 +319,14 @@ def hyperminhash_components(docs: DataFrame, k: int = 5, num: int = 80, den: int
         """comps after more links: these are between components, of which only they are looked at."""
         if comps is None:
             return materialize(components(links), "hmh-comps")
-        own = lambda c: links.select(c, F.col(c).alias("id")).distinct().join(comps, "id", "left").select(c, F.coalesce("component_id", "id").alias(f"{c}_comp"))
-        ends = materialize(links.join(own("src"), "src").join(own("dst"), "dst"), "hmh-ends")
-        joined = components(ends.select(F.col("src_comp").alias("src"), F.col("dst_comp").alias("dst"))).selectExpr("id AS component_id", "component_id AS to")
-        ids = comps.union(ends.select("src", "src_comp").union(ends.select("dst", "dst_comp"))).distinct()
-        return materialize(ids.join(joined, "component_id", "left").select("id", F.coalesce("to", "component_id").alias("component_id")), "hmh-comps")
+        if links.isEmpty():
+            return comps
+        own = lambda c: comps.select(F.col("id").alias(c), F.col("component_id").alias(f"{c}_comp"))
+        ends = links.join(own("src"), "src", "left").join(own("dst"), "dst", "left")
+        joined = components(ends.select(F.coalesce("src_comp", "src").alias("src"), F.coalesce("dst_comp", "dst").alias("dst")))
+        moved = comps.join(joined.selectExpr("id AS component_id", "component_id AS to"), "component_id", "left").select("id", F.coalesce("to", "component_id").alias("component_id"))
+        # joined has the rows of documents that had no link before.
+        return materialize(moved.union(joined).distinct(), "hmh-comps")
 
     def still_open(members: DataFrame, comps: DataFrame) -> DataFrame:
         """Members of the buckets that hold more than one component: bucket, id, low, size, comp, c0 (the smallest one's)."""
@@ -343,9 +346,11 @@ def hyperminhash_components(docs: DataFrame, k: int = 5, num: int = 80, den: int
         comps = merged(comps, verified(pairs))
     # A pair that hopeful() leaves out is left out by _compare() too.
     checked = checked.union(pairs)
-    open_, last = open_.where("size > 2"), 4
+    open_, last, found = open_.where("size > 2"), 4, None
     while True:
         open_ = still_open(open_, comps)
+        if found is not None:
+            drop_table(found)
         # A small bucket is one block. In a large one, blocks meet two by two, but members of the smallest component,
         # which have nothing to compare among themselves, have blocks of their own that meet only the others'.
         others = open_.where((F.col("size") > block) & (F.col("comp") != F.col("c0"))).groupBy("bucket").agg(F.count("*").alias("rest"))
@@ -360,9 +365,8 @@ def hyperminhash_components(docs: DataFrame, k: int = 5, num: int = 80, den: int
         spread = spread.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "bucket", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "id", "comp")
         groups = spread.join(regs, "id").select("g", "bucket", "side", "id", "n", "comp", "regs", "parity").repartition("g").sortWithinPartitions("g", "id")
         found = materialize(groups.mapInArrow(_compare(num, den, last), "a long, b long, bucket long").distinct(), "hmh-found")
-        again = materialize(found.where("a is null").select("bucket"), "hmh-again")
+        again = found.where("a is null").select("bucket")
         pairs = materialize(found.where("a is not null").select("a", "b").join(checked, ["a", "b"], "left_anti"), "hmh-pairs")
-        drop_table(found)
         checked = checked.union(pairs)
         if not pairs.isEmpty():
             comps = merged(comps, verified(pairs))
@@ -372,6 +376,7 @@ def hyperminhash_components(docs: DataFrame, k: int = 5, num: int = 80, den: int
         open_, last = open_.join(again, "bucket"), last * 8
     drop_table(sets)
     drop_table(open_)
+    drop_table(found)
     ids = sketches.select("id", "n", "key").join(classes.select("key", F.col("id").alias("rep")), "key", "left")
     ids = ids.join(comps.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
     component = F.coalesce("component_id", "rep", "id")
