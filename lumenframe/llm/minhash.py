@@ -15,6 +15,11 @@ Bands of registers are the keys of buckets of candidates. Documents with equal s
    element parities rules out pairs whose sets differ in too many elements: the bits in which two bitmaps differ are at
    most as many as the elements in which the sets differ, so no link is lost. Each round goes on with the buckets of
    which the one before left pairs beyond its window, if they hold more than one component.
+   A bucket with more members than a block is first cut into smaller ones: with the elements of all sets in one order,
+   those of few sets first, sets that link share an element near the front of both. So its members meet in the buckets
+   of these elements, of which each has as many as its size allows, and not all with all. Members that don't link
+   differ in elements of their own, which come first, so most buckets have one member and are gone. Only what is in
+   an element's bucket of more than a block is compared block by block.
 
 No pairs within a component are made, so a large group of near copies costs about as many checks as it has members.
 """
@@ -42,6 +47,8 @@ BUCKETS = 1 << P_BITS
 COLLIDE = 0.169919487159739
 #: Bits of a set's bitmap of parities.
 PARITY = 2048
+#: Counters of the sets that hold an element; elements share them.
+COUNTERS, PARTS = 1 << 17, 16
 
 
 def shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -186,6 +193,53 @@ def _hopeful(num: int, den: int):
     return run
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """members -> part, counts: how many elements of the sets of a task fall on each counter."""
+    n = np.zeros(COUNTERS, np.int64)
+    for b in _small(batches):
+        n += np.bincount(b.column(0).flatten().to_numpy() & (COUNTERS - 1), minlength=COUNTERS)
+    if n.any():
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(list(n.reshape(PARTS, -1)), pa.list_(pa.int64()))], ["part", "counts"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """part, counts of several tasks -> those of all."""
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for part, n in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            sums[part] = sums.get(part, 0) + n.values.to_numpy()
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.list_(pa.int64()))], ["part", "counts"])
+
+
+def held_by(sets: DataFrame) -> np.ndarray:
+    """COUNTERS numbers: about how many of the sets hold an element, by its last bits."""
+    added = sets.select("members").mapInArrow(_counted, "part int, counts array<long>").repartition("part").mapInArrow(_added, "part int, counts array<long>")
+    out = np.zeros((PARTS, COUNTERS // PARTS), np.int64)
+    for r in added.collect():  # COUNTERS numbers, however many sets
+        out[r["part"]] = r["counts"]
+    return out.ravel()
+
+
+def _fronts(held: np.ndarray, num: int, den: int):
+    """id, members -> bucket (an element), id, n, top: the elements that can be the first one shared with a set that links.
+
+    Elements come in the order of held and then of their hashes. If the first that two sets share is at place p of one
+    with n elements, they share n - p at most, so a link needs another set of top elements at most, and of num / den of n at least.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _small(batches):
+            x, n = b.column(1).flatten().to_numpy(), np.diff(b.column(1).offsets.to_numpy())
+            own = np.repeat(np.arange(len(n)), n)
+            x = x[np.lexsort((x, held[x & (COUNTERS - 1)], own))]
+            size = n[own].astype(np.int64)
+            top = (num + den) * (size - np.arange(len(x)) + np.repeat(np.cumsum(n) - n, n)) // num - size
+            front = den * top >= num * size
+            yield pa.RecordBatch.from_arrays([pa.array(x[front]), b.column(0).take(pa.array(own[front])), pa.array(size[front]), pa.array(top[front])], ["bucket", "id", "n", "top"])
+
+    return run
+
+
 @lru_cache(8)
 def _pairs(m: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(m, 1)
@@ -292,11 +346,15 @@ def hyperminhash_components(docs: DataFrame, k: int = 5, num: int = 80, den: int
     sketches = materialize(shingle_sets(texts, k, "sketch"), "hmh-sketches")
     classes = materialize(sketches.where("n > 0").groupBy("key", "n", "regs", "parity").agg(F.min("id").alias("id")), "hmh-classes")
     buckets = materialize(classes.select("id", "n", "regs").mapInArrow(_bands(rows), "bucket long, id long, n long").select("bucket", "id"), "hmh-bands")
-    # Bands whose buckets hold the same documents need only one of them.
-    prints = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"f{i}") for i in (0, 1)]
-    shared = buckets.groupBy("bucket").agg(F.min("id").alias("low"), F.count("*").alias("size"), *prints).where("size > 1")
-    shared = shared.groupBy("low", "size", "f0", "f1").agg(F.min("bucket").alias("bucket"))
-    inside = materialize(buckets.join(shared, "bucket").select("bucket", "id", "low", "size"), "hmh-inside")
+
+    def shared(buckets: DataFrame) -> DataFrame:
+        """bucket, id, low, size of buckets of several documents; of those that hold the same ones only one."""
+        prints = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"f{i}") for i in (0, 1)]
+        several = buckets.groupBy("bucket").agg(F.min("id").alias("low"), F.count("*").alias("size"), *prints).where("size > 1")
+        several = several.groupBy("low", "size", "f0", "f1").agg(F.min("bucket").alias("bucket"))
+        return buckets.join(several, "bucket").select("bucket", "id", "low", "size")
+
+    inside = materialize(shared(buckets), "hmh-inside")
     drop_table(buckets)
     members = inside.select(F.xxhash64("id").alias("digest")).distinct()
     bits = filter_bits(inside.agg(F.approx_count_distinct("id")).first()[0])
@@ -334,6 +392,13 @@ def hyperminhash_components(docs: DataFrame, k: int = 5, num: int = 80, den: int
         mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket", "c0")
         return materialize(labelled.join(mixed, "bucket"), "hmh-open")
 
+    def narrowed(wide: DataFrame) -> DataFrame:
+        """bucket, id, low, size of buckets in which any two members of wide buckets meet that link: of elements at the front of both."""
+        held = sets.join(wide.select("id").distinct(), "id").select("id", "members")
+        fronts = materialize(held.mapInArrow(_fronts(held_by(held), num, den), "bucket long, id long, n long, top long"), "hmh-fronts")
+        least = fronts.groupBy("bucket").agg(F.min("n").alias("least"), F.count("*").alias("size")).where("size > 1").select("bucket", "least")
+        return shared(fronts.join(least, "bucket").where("top >= least").select("bucket", "id"))
+
     centres = inside.where("id <> low").repartition("id").groupBy("id", "low").agg(F.count("*").alias("times"))
     checked = materialize(centres.groupBy("id").agg(F.max_by("low", F.struct("times", -F.col("low"))).alias("a")).select("a", F.col("id").alias("b")), "hmh-pairs")
     comps = merged(None, verified(checked))
@@ -346,10 +411,13 @@ def hyperminhash_components(docs: DataFrame, k: int = 5, num: int = 80, den: int
         comps = merged(comps, verified(pairs))
     # A pair that hopeful() leaves out is left out by _compare() too.
     checked = checked.union(pairs)
-    open_, last, found = open_.where("size > 2"), 4, None
+    open_, last, found = still_open(open_.where("size > 2"), comps), 4, None
+    wide = open_.where(F.col("size") > block)
+    if not wide.isEmpty():
+        open_ = still_open(open_.where(F.col("size") <= block).select("bucket", "id", "low", "size").union(narrowed(wide)), comps)
     while True:
-        open_ = still_open(open_, comps)
         if found is not None:
+            open_ = still_open(open_, comps)
             drop_table(found)
         # A small bucket is one block. In a large one, blocks meet two by two, but members of the smallest component,
         # which have nothing to compare among themselves, have blocks of their own that meet only the others'.

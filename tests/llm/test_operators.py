@@ -120,6 +120,49 @@ def test_near_duplicates_linked_by_one_pair_of_many(spark):
     assert got == want and len(set(want.values())) == 6 * 61
 
 
+def test_rows_compared_of_a_large_bucket_grow_as_its_members(spark, monkeypatch):
+    """Copies of one text with 1 to 9 of 150 words changed, of which most don't link: rows compared grow in proportion to the members,
+    where members that all meet block by block made them grow with the square."""
+    import random
+
+    from lumenframe.llm import minhash
+
+    compare, dealt = minhash._compare, []
+
+    def counted(*args):
+        run, n = compare(*args), spark.sparkContext.accumulator(0)
+        dealt.append(n)
+
+        def count(batches):
+            for b in batches:
+                n.add(b.num_rows)
+                yield b
+
+        return lambda batches: run(count(batches))
+
+    monkeypatch.setattr(minhash, "_compare", counted)
+    rows = {}
+    for m in (80, 320):
+        rng = random.Random(m)
+        texts = []
+        for i in range(m):
+            w = [f"w{k}" for k in range(150)]
+            for k in rng.sample(range(150), 1 + i % 9):
+                w[k] = f"x{i}_{k}"
+            texts.append(w)
+        for i in (7, 8):  # far from the others, but not from this one
+            texts.append([*texts[i][:75], "y", *texts[i][76:]])
+        sets = [{tuple(w[k : k + 5]) for k in range(146)} for w in texts]
+        links = [(a, b) for b in range(len(texts)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+        want = union_find(range(len(texts)), links)
+        dealt.clear()
+        docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+        assert {r["doc_id"]: r["component_id"] for r in hyperminhash_components(docs, block=8).collect()} == want
+        assert want[m] == 7 and want[m + 1] == 8
+        rows[m] = sum(n.value for n in dealt)
+    assert 0 < rows[320] <= 5 * rows[80], rows
+
+
 def test_vectors(spark):
     base = RNG.normal(size=(40, 16))
     rows = [(i, [float(x) for x in base[i % 40] + 0.04 * RNG.normal(size=16)], i % 2) for i in range(240)]
